@@ -240,7 +240,20 @@ matched as (
   from (select *, row_number() over (partition by list_id, hash order by line) as turn from listed) l
   left join known k on l.hash = k.hash)"""
 
+# any altered byte changes the hash, so a marked body stands for each altered variant
+_VARIANT_FILES = S.FILES.replace("files as (", "plain as (", 1) + """,
+files as (
+  select submission_id * 10 + v.i as submission_id, v.name as variant, submission_id as submission, k, ord, p.name,
+    case when v.i between 1 and 5 then v.name || '|' || body else body end as body
+  from (select *, row_number() over (partition by submission_id order by ord) - 1 as pos, count(*) over (partition by submission_id) // 2 as mid from plain) p
+  cross join (values (0, 'original'), (1, 'bit'), (2, 'block'), (3, 'cut'), (4, 'shift'), (5, 'invert'), (6, 'omit')) v(i, name)
+  where v.i <> 6 or (pos <> mid and pos <> mid + 1)
+)"""
+
 ORACLES = {
+    "variant_comparison": S.with_ledger(
+        "select submission as submission_id, variant, verdict, n_files, n_modified, n_unknown from (select distinct submission, variant, submission_id from files) f join ("
+        + _GLOBAL + ") g using (submission_id)", _VARIANT_FILES, S.VERDICTS),
     "global_verdict": S.with_verdicts(_GLOBAL),
     "file_verdicts": S.with_verdicts("""select submission_id, ord, name, actual_hash, size, status, c_session as session_id, c_seq as seq,
   matched_by, renamed, anchor_delay_ms, problems, warnings from verdict"""),

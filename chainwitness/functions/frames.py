@@ -34,17 +34,38 @@ def bytes_to_grey(data: pd.Series) -> pd.Series:
     return data.map(lambda d: np.frombuffer(d, np.uint8).astype(np.int32), na_action="ignore")
 
 
+@F.pandas_udf(T.BinaryType())
+def grey_to_bytes(grey: pd.Series) -> pd.Series:
+    """One byte per grey."""
+    return grey.map(lambda g: np.asarray(g, np.uint8).tobytes(), na_action="ignore")
+
+
+def bound(value, use):
+    """``use(value)`` with the value computed once.
+
+    A Spark lambda re-evaluates an outer expression for every element it visits; as
+    an element of a one-item array the value becomes a lambda variable instead.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def _column(number):
+    return F.lit(number) if isinstance(number, int) else number
+
+
 def resize(grey, width, height, to_width, to_height):
     """Nearest-neighbour samples of a frame, as Spark expressions."""
-    w, h = F.lit(width) if isinstance(width, int) else width, F.lit(height) if isinstance(height, int) else height
-    x_step, y_step = w / F.lit(to_width), h / F.lit(to_height)
+    w, h = _column(width), _column(height)
 
-    def sample(i):
-        x = F.least(F.floor((i % to_width) * x_step), w - 1)
-        y = F.least(F.floor(F.floor(i / to_width) * y_step), h - 1)
-        return F.element_at(grey, (y * w + x + 1).cast("int"))
+    def samples(g):
+        def sample(i):
+            x = F.least(F.floor((i % to_width) * (w / F.lit(to_width))), w - 1)
+            y = F.least(F.floor(F.floor(i / to_width) * (h / F.lit(to_height))), h - 1)
+            return F.element_at(g, (y * w + x + 1).cast("int"))
 
-    return F.transform(F.sequence(F.lit(0), F.lit(to_width * to_height - 1)), sample)
+        return F.transform(F.sequence(F.lit(0), F.lit(to_width * to_height - 1)), sample)
+
+    return bound(grey, samples)
 
 
 def pack_bits(bits):
@@ -55,8 +76,11 @@ def pack_bits(bits):
 
 
 def _at_least_mean(values, n):
-    total = F.aggregate(values, F.lit(0).cast("bigint"), lambda acc, v: acc + v)
-    return F.transform(values, lambda v: F.when(v * n >= total, 1).otherwise(0))
+    def bits(v):
+        total = F.aggregate(v, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        return bound(total, lambda t: F.transform(v, lambda x: F.when(x * n >= t, 1).otherwise(0)))
+
+    return bound(values, bits)
 
 
 def average_hash(grey, width, height):
@@ -64,15 +88,14 @@ def average_hash(grey, width, height):
 
 
 def difference_hash(grey, width, height):
-    small = resize(grey, width, height, 9, 8)
+    def bits(small):
+        def bit(i):
+            at = (F.floor(i / 8) * 9 + i % 8).cast("int")
+            return F.when(F.element_at(small, at + 1) > F.element_at(small, at + 2), 1).otherwise(0)
 
-    def bit(i):
-        at = F.floor(i / 8) * 9 + i % 8
-        return F.when(
-            F.element_at(small, (at + 1).cast("int")) > F.element_at(small, (at + 2).cast("int")), 1
-        ).otherwise(0)
+        return F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
 
-    return pack_bits(F.transform(F.sequence(F.lit(0), F.lit(63)), bit))
+    return pack_bits(bound(resize(grey, width, height, 9, 8), bits))
 
 
 def _nearest(grey, width, height, n):
@@ -128,9 +151,12 @@ def hamming_similarity(a, b, n_bits=HASH_BITS):
 
 def feature_vector(grey, width, height):
     """64 values in [0, 1]: nearest samples over their maximum."""
-    small = resize(grey, width, height, 8, 8)
-    top = F.greatest(F.array_max(small), F.lit(1))
-    return F.transform(small, lambda v: v / top)
+
+    def scaled(small):
+        top = F.greatest(F.array_max(small), F.lit(1))
+        return bound(top, lambda t: F.transform(small, lambda v: v / t))
+
+    return bound(resize(grey, width, height, 8, 8), scaled)
 
 
 # -- perturbations --------------------------------------------------------------------
@@ -197,10 +223,15 @@ def crop(grey, width, height, share=0.75):
 
 def splice(grey, other):
     """First half of one frame, then the start of another."""
-    half = F.floor(F.size(grey) / 2).cast("int")
-    missing = F.size(grey) - half
-    donor = F.transform(
-        F.sequence(F.lit(1), missing),
-        lambda i: F.coalesce(F.get(other, i - 1), F.lit(0)),
-    )
-    return F.concat(F.slice(grey, 1, half), donor)
+
+    def spliced(g):
+        half = F.floor(F.size(g) / 2).cast("int")
+        donor = bound(
+            other,
+            lambda o: F.transform(
+                F.sequence(F.lit(1), F.size(g) - half), lambda i: F.coalesce(F.get(o, i - 1), F.lit(0))
+            ),
+        )
+        return F.concat(F.slice(g, 1, half), donor)
+
+    return bound(grey, spliced)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 def _checked(a, b, value):
     return F.when(F.size(a) == F.size(b), value).otherwise(
-        F.raise_error(F.lit("Vector length mismatch"))
+        F.raise_error(F.lit("Vector length mismatch")).cast("double")
     )
 
 

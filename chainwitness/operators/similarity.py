@@ -28,6 +28,15 @@ def _band(bits, i):
     return F.shiftrightunsigned(bits, BAND_BITS * i).bitwiseAND(0xFFFF).cast("int")
 
 
+def _near_values(bits, i, radius):
+    """The values of band i within a radius of its own value, as (band, v)."""
+
+    def flipped(mask):
+        return F.struct(F.lit(i).alias("band"), _band(bits, i).bitwiseXOR(mask).alias("v"))
+
+    return F.transform(F.array(*[F.lit(m) for m in _masks(radius)]), flipped)
+
+
 def distinct_hashes(rows, bits="bits"):
     """Each hash once with the number of rows that have it."""
     return rows.groupBy(F.col(bits).alias("bits")).agg(F.count(F.lit(1)).alias("n"))
@@ -48,17 +57,7 @@ def near_hashes(rows, bits="bits", max_distance=V.MAX_HAMMING):
     radii = band_radii(max_distance)
     used = [i for i in range(BANDS) if radii[i] >= 0]
     own = F.array(*[F.struct(F.lit(i).alias("band"), _band(F.col("bits"), i).alias("v")) for i in used])
-    near = F.concat(
-        *[
-            F.transform(
-                F.array(*[F.lit(m) for m in _masks(radii[i])]),
-                lambda m, i=i: F.struct(
-                    F.lit(i).alias("band"), _band(F.col("bits"), i).bitwiseXOR(m).alias("v")
-                ),
-            )
-            for i in used
-        ]
-    )
+    near = F.concat(*[_near_values(F.col("bits"), i, radii[i]) for i in used])
     a = hashes.select(F.col("bits").alias("hash_a"), F.col("n").alias("n_a"), F.inline(own))
     b = hashes.select(F.col("bits").alias("hash_b"), F.col("n").alias("n_b"), F.inline(near))
     apart = F.col("hash_a").bitwiseXOR(F.col("hash_b"))

@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
+from chainwitness.functions.frames import bytes_to_grey
 from chainwitness.operators.chain import build_chains
 from chainwitness.operators.ordered import block_of, running_count
 from chainwitness.session import stage
@@ -114,6 +115,10 @@ def devices(spark, sf_dir):
 
 def conv_files(spark, sf_dir):
     """Submitted files, one submission per conversation."""
+    return once(spark, sf_dir, "files", lambda: _conversation_files(spark, sf_dir))
+
+
+def _conversation_files(spark, sf_dir):
     segments = _conversation_segments(spark, sf_dir).select("conv_id", "seq", "session_id", "content")
     sizes = segments.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     k, conv, seq = F.col("conv_id") % 10, F.col("conv_id"), F.col("seq")
@@ -215,3 +220,41 @@ def incidents(spark, sf_dir):
             F.col("event_id").alias("incident_id"), "device_id", F.col("started_at").alias("pressed_at")
         )
     )
+
+
+# -- frames and vectors -----------------------------------------------------------------
+
+
+def embedding_frames(spark, sf_dir):
+    """Each embedding as doubles and as an 8x8 frame of greys."""
+    x = F.col("embedding").cast("array<double>")
+    grey = F.transform(
+        x, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v * 220 + 128))).cast("int")
+    )
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id", "label", x.alias("vector"), grey.alias("grey"),
+        F.lit(8).alias("width"), F.lit(8).alias("height"),
+    )
+
+
+def document_frames(spark, sf_dir):
+    """The bytes of each whole text as a frame 64 wide, the last row filled with zeros."""
+    content = F.encode("text", "UTF-8")
+    n = F.octet_length(content)
+    padded = F.concat(content, F.unhex(F.repeat(F.lit("00"), F.pmod(-n, F.lit(64)))))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", content.alias("content"), bytes_to_grey(padded).alias("grey"),
+        F.lit(64).alias("width"), F.ceil(n / 64).cast("int").alias("height"),
+    )
+
+
+def anchored_pairs(spark, sf_dir):
+    """Each embedding beside the first embedding of its label and of the next label."""
+    rows = embedding_frames(spark, sf_dir)
+    anchors = rows.groupBy("label").agg(
+        F.min_by(F.struct("vec_id", "vector", "grey"), "vec_id").alias("anchor")
+    )
+    asked = rows.withColumn("is_genuine", F.explode(F.array(F.lit(True), F.lit(False)))).withColumn(
+        "_at", F.when(F.col("is_genuine"), F.col("label")).otherwise((F.col("label") + 1) % 10)
+    )
+    return asked.join(anchors.withColumnRenamed("label", "_at"), "_at").drop("_at")
