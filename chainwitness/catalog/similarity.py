@@ -6,6 +6,7 @@ from chainwitness import fixed_values as V
 from chainwitness.functions import digests, frames, tamper, vectors
 from chainwitness.operators import similarity
 from chainwitness.plans import evaluation as ev
+from chainwitness.session import spread
 from chainwitness.testing import fixtures as X
 
 COSINE_STEPS = (0.1, 0.3, 0.5, 0.7, 0.9, 1.0)
@@ -24,7 +25,7 @@ def _weighted(values):
 
 def to_grey(spark, d):
     grey = frames.to_grey(F.encode("text", "UTF-8"))
-    return X.table(spark, d, "documents").select("doc_id", grey.alias("g")).select(
+    return spread(X.table(spark, d, "documents")).select("doc_id", grey.alias("g")).select(
         "doc_id", F.size("g").cast("bigint").alias("n_pixels"), _weighted(F.col("g")).alias("checksum")
     )
 
@@ -153,13 +154,13 @@ def evaluation_summary(spark, d):
 
 def ssdeep_digest(spark, d):
     digest = digests.fuzzy_digest(F.encode("text", "UTF-8"))
-    return X.table(spark, d, "documents").select("doc_id", digest.alias("f")).select("doc_id", "f.*")
+    return spread(X.table(spark, d, "documents")).select("doc_id", digest.alias("f")).select("doc_id", "f.*")
 
 
 def ssdeep_similarity(spark, d):
     """Each text against a copy with one bit flipped and a copy cut to four fifths."""
     content = F.encode("text", "UTF-8")
-    rows = X.table(spark, d, "documents").select(
+    rows = spread(X.table(spark, d, "documents")).select(
         "doc_id", digests.fuzzy_digest(content).alias("a"),
         digests.fuzzy_digest(tamper.flip_one_bit(content)).alias("flipped"),
         digests.fuzzy_digest(tamper.truncate(content)).alias("cut"),
@@ -172,7 +173,7 @@ def ssdeep_similarity(spark, d):
 
 def tlsh_digest(spark, d):
     digest = digests.locality_digest(F.encode("text", "UTF-8"))
-    return X.table(spark, d, "documents").select("doc_id", digest.alias("f")).select(
+    return spread(X.table(spark, d, "documents")).select("doc_id", digest.alias("f")).select(
         "doc_id", F.col("f.checksum").cast("bigint").alias("checksum"),
         F.col("f.length_bucket").cast("bigint").alias("length_bucket"), F.lower(F.hex("f.body")).alias("body"),
     )
@@ -180,7 +181,7 @@ def tlsh_digest(spark, d):
 
 def tlsh_distance(spark, d):
     content = F.encode("text", "UTF-8")
-    rows = X.table(spark, d, "documents").select(
+    rows = spread(X.table(spark, d, "documents")).select(
         "doc_id", digests.locality_digest(content).alias("a"),
         digests.locality_digest(tamper.truncate(content)).alias("b"),
     )
@@ -207,7 +208,7 @@ def metric_comparison(spark, d):
 def tamper_bytes(spark, d):
     content = F.encode("text", "UTF-8")
     digest = lambda c: F.sha2(c, 256)
-    return X.table(spark, d, "documents").select(
+    return spread(X.table(spark, d, "documents")).select(
         "doc_id", digest(tamper.flip_one_bit(content)).alias("flipped"),
         digest(tamper.zero_block(content)).alias("zeroed"), digest(tamper.truncate(content)).alias("cut"),
         digest(tamper.invert_block(content)).alias("inverted"), digest(tamper.shift_block(content)).alias("shifted"),

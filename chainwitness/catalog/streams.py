@@ -1 +1,140 @@
-QUERIES, ORACLES = {}, {}
+"""Queries that run a stream over all available input and return its stored result."""
+
+from pyspark.sql import functions as F
+
+from chainwitness import fixed_values as V
+from chainwitness.catalog import sql as S
+from chainwitness.catalog.ledger import big
+from chainwitness.functions import records as R
+from chainwitness.plans.monitor import monitor_counters
+from chainwitness.session import new_dir
+from chainwitness.streaming import live
+from chainwitness.testing import fixtures as X
+
+# replayed input spans months in a few batches, so nothing counts as late
+REPLAY = "3650 days"
+SLICES = 4
+
+
+def _feed(rows, spark, slice_of, copies=1):
+    """Store rows as a folder of files in a shuffled arrival order; return its path."""
+    path = new_dir(spark, "feed")
+    for _ in range(copies):
+        rows.repartition(SLICES, slice_of % SLICES).write.mode("append").parquet(path)
+    return path
+
+
+def _run(frame, mode, spark, write):
+    out, state = new_dir(spark, "stream-out"), new_dir(spark, "stream-state")
+    live.drain(frame.writeStream.outputMode(mode).foreachBatch(write(out)), state)
+    return out
+
+
+def _store(path):
+    return live.rollup_batch(path)
+
+
+def stream_ingest_dedup(spark, d):
+    """A feed with every record sent twice, appended to an empty ledger."""
+    source = X.conv_ledger(spark, d).drop("conv_id").select(*live.LEDGER.names)
+    feed = _feed(source, spark, F.xxhash64("id"), copies=2)
+    path, rejected = new_dir(spark, "ledger"), new_dir(spark, "rejected")
+    live.prepare_ledger(spark, path)
+    now = F.timestamp_millis(F.lit(1800000000000))
+    writer = live.read_stream(spark, feed, files_per_batch=2).writeStream.foreachBatch(
+        live.ingest_batch(path, rejected, X.devices(spark, d), now)
+    )
+    live.drain(writer, new_dir(spark, "stream-state"))
+    return live.read_ledger(spark, path).select(
+        "id", "session_id", *big("seq"), "chain_hash", F.unix_millis("created_at").alias("created_ms"),
+        F.unix_millis("expires_at").alias("expires_ms"),
+    )
+
+
+def _conv_feed(spark, d):
+    rows = X.conv_ledger(spark, d).drop("conv_id").select(*live.LEDGER.names)
+    return _feed(rows, spark, F.xxhash64("id"))
+
+
+def _links(spark, feed):
+    read = lambda: live.read_stream(spark, feed, files_per_batch=1)
+    out = _run(live.link_results(read(), read(), REPLAY), "append", spark, _store)
+    return spark.read.parquet(out)
+
+
+def stream_links(spark, d):
+    """Link results of a feed that arrives out of order."""
+    return _links(spark, _conv_feed(spark, d)).select("session_id", *big("seq"), "link_ok")
+
+
+def stream_live_check(spark, d):
+    """Check on arrival with the links found so far; records arrive out of order."""
+    feed = _conv_feed(spark, d)
+    arrivals = live.distinct_arrivals(live.read_stream(spark, feed, files_per_batch=1), REPLAY)
+    checked = live.arrival_checks(arrivals, X.devices(spark, d))
+    out = _run(checked, "append", spark, _store)
+    status = live.live_status(spark.read.parquet(out), _links(spark, feed))
+    return status.select("id", "session_id", *big("seq"), "check", "note")
+
+
+def _event_feed(spark, d):
+    rows = X.evt_rows(spark, d).drop("_ts")
+    return _feed(rows, spark, F.col("event_id") % 7), rows.schema
+
+
+def stream_rollup(spark, d):
+    """Running journey index over the arrival feed."""
+    feed, schema = _event_feed(spark, d)
+    stream = live.read_stream(spark, feed, schema, files_per_batch=1)
+    out = _run(live.live_journeys(stream), "update", spark, _store)
+    return live.current_journeys(spark, out)
+
+
+def stream_counters(spark, d):
+    """Running totals of the feed; the last stored row is the current state."""
+    feed, schema = _event_feed(spark, d)
+    stream = live.read_stream(spark, feed, schema, files_per_batch=1)
+    out = _run(monitor_counters(stream), "complete", spark, _store)
+    return spark.read.parquet(out).orderBy(F.desc(live.BATCH)).limit(1).drop(live.BATCH)
+
+
+def stream_arrival_windows(spark, d):
+    """Arrivals per five minutes, repeats of an id dropped on the way."""
+    feed, schema = _event_feed(spark, d)
+    stream = live.distinct_arrivals(live.read_stream(spark, feed, schema, files_per_batch=1), REPLAY)
+    late = R.is_late_anchor(R.anchor_delay_ms())
+    out = _run(
+        stream.select("id", "created_at", late.alias("delayed")), "append", spark, _store
+    )
+    return spark.read.parquet(out).groupBy(F.window("created_at", "5 minutes").alias("w")).agg(
+        F.count(F.lit(1)).alias("n_records"), F.count_if("delayed").alias("n_delayed")
+    ).select(F.unix_millis("w.start").alias("window_ms"), "n_records", "n_delayed")
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        stream_ingest_dedup, stream_links, stream_live_check, stream_rollup, stream_counters,
+        stream_arrival_windows,
+    )
+}
+
+_NOTE = S.joined(
+    ("not chain_ok", f"'{V.LIVE_BAD_CHAIN}'"), ("not signature_ok", f"'{V.LIVE_BAD_SIGNATURE}'"),
+    ("not coalesce(link_ok, true)", f"'{V.LIVE_BAD_LINK}'"), sep=", ",
+)
+
+ORACLES = {
+    "stream_ingest_dedup": S.with_ledger(
+        "select id, session_id, seq, chain_hash, 1800000000000 as created_ms, 1800000000000 + 30 * 86400000::bigint as expires_ms from led",
+        checks=False),
+    "stream_links": S.with_ledger("select session_id, seq, link_ok from chk where seq > 0 and link_ok is not null"),
+    "stream_live_check": S.with_ledger(
+        f"select id, session_id, seq, case when n = '' then 'ok' else 'bad' end as \"check\", n as note from (select id, session_id, seq, {_NOTE} as n from chk) t"),
+    "stream_rollup": S.with_events("""select session_id, any_value(device_id) as device_id, count(*) as n_records, min(started_at) as first_at, max(ended_at) as last_at,
+  count(*) filter ("check" = 'bad') as n_bad, greatest(max(created_ms - ended_at), 0) as max_delay_ms from evt group by 1"""),
+    "stream_counters": S.with_events("""select count(*) as n_total, count(*) filter ("check" = 'ok') as n_ok, count(*) filter ("check" = 'bad') as n_bad,
+  count(*) filter (created_ms - ended_at > 60000) as n_delayed from evt"""),
+    "stream_arrival_windows": S.with_events("""select created_ms // 300000 * 300000 as window_ms, count(*) as n_records,
+  count(*) filter (created_ms - ended_at > 60000) as n_delayed from evt group by 1"""),
+}

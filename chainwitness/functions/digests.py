@@ -127,19 +127,20 @@ def locality_distance(a, b):
     """12 per length class, 1 for another checksum, and the code differences."""
 
     def byte(col, i):
-        return F.conv(F.hex(F.substring(col, i, 1)), 16, 10).cast("int")
-
-    def codes_apart(x, y):
-        parts = [
-            F.abs(F.shiftright(x, s).bitwiseAND(3) - F.shiftright(y, s).bitwiseAND(3))
-            for s in (0, 2, 4, 6)
-        ]
-        return parts[0] + parts[1] + parts[2] + parts[3]
-
-    body = F.aggregate(
-        F.sequence(F.lit(1), F.lit(32)), F.lit(0),
-        lambda acc, i: acc + codes_apart(byte(a["body"], i), byte(b["body"], i)),
+        return F.conv(F.hex(F.substring(col, i, F.lit(1))), 16, 10).cast("int")
+
+    def codes_apart(both):
+        x, y = both["x"], both["y"]
+        return sum(
+            (F.abs(F.shiftright(x, s).bitwiseAND(3) - F.shiftright(y, s).bitwiseAND(3)) for s in (2, 4, 6)),
+            F.abs(x.bitwiseAND(3) - y.bitwiseAND(3)),
+        )
+
+    pairs = F.transform(
+        F.sequence(F.lit(1), F.lit(32)),
+        lambda i: F.struct(byte(a["body"], i).alias("x"), byte(b["body"], i).alias("y")),
     )
+    body = F.aggregate(pairs, F.lit(0), lambda acc, both: acc + codes_apart(both))
     return (
         F.abs(a["length_bucket"] - b["length_bucket"]) * 12
         + F.when(a["checksum"] != b["checksum"], 1).otherwise(0)

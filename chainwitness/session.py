@@ -57,3 +57,13 @@ def stage(df: DataFrame, name="stage"):
     path = new_dir(df.sparkSession, name)
     df.write.mode("errorifexists").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame):
+    """Use all cores for costly per-row work on a scan with few splits.
+
+    A scan with at least as many splits as cores, the normal case on a cluster,
+    stays as it is and moves no data.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)

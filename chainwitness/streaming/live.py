@@ -6,6 +6,7 @@ state partitions, and either side of a link may arrive first.
 """
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
@@ -43,8 +44,8 @@ def prepare_ledger(spark, path, schema=LEDGER):
 
 
 def read_ledger(spark, path, schema=LEDGER):
-    full = schema.add(BATCH, "long") if BATCH not in schema.names else schema
-    return spark.read.schema(full).parquet(path)
+    batch = T.StructField(BATCH, T.LongType())
+    return spark.read.schema(T.StructType([*schema.fields, batch])).parquet(path)
 
 
 def ingest_batch(path, rejected_path, devices=None, now=None, schema=LEDGER):
@@ -53,11 +54,9 @@ def ingest_batch(path, rejected_path, devices=None, now=None, schema=LEDGER):
     Each batch owns a folder that a repeated run overwrites, and its own earlier
     output is not counted as known, so a replay after a failure changes nothing.
     """
-    fields = type(schema)(list(schema.fields))
-
     def write(rows, batch_id):
         spark = rows.sparkSession
-        stored = read_ledger(spark, path, fields).where(F.col(BATCH) != batch_id)
+        stored = read_ledger(spark, path, schema).where(F.col(BATCH) != batch_id)
         clock = F.current_timestamp() if now is None else now
         checked = check_rules(rows, devices)
         good = checked.where(F.size("failed") == 0).drop("failed")

@@ -7,7 +7,7 @@ from chainwitness.functions import records as R
 from chainwitness.functions.frames import bytes_to_grey
 from chainwitness.operators.chain import build_chains
 from chainwitness.operators.ordered import block_of, running_count
-from chainwitness.session import stage
+from chainwitness.session import spread, stage
 from chainwitness.testing.signing import public_key_udf, sign_udf
 
 ZEROS = "0" * 64
@@ -242,7 +242,7 @@ def document_frames(spark, sf_dir):
     content = F.encode("text", "UTF-8")
     n = F.octet_length(content)
     padded = F.concat(content, F.unhex(F.repeat(F.lit("00"), F.pmod(-n, F.lit(64)))))
-    return table(spark, sf_dir, "documents").select(
+    return spread(table(spark, sf_dir, "documents")).select(
         "doc_id", content.alias("content"), bytes_to_grey(padded).alias("grey"),
         F.lit(64).alias("width"), F.ceil(n / 64).cast("int").alias("height"),
     )
