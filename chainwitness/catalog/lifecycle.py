@@ -8,6 +8,7 @@ from chainwitness.catalog.ledger import SEP, big
 from chainwitness.functions import records as R
 from chainwitness.plans import lifecycle as life
 from chainwitness.plans import monitor
+from chainwitness.session import spread
 from chainwitness.sources import ledger as src
 from chainwitness.testing import fixtures as X
 
@@ -28,9 +29,10 @@ def _with_now(df, now):
 
 def _order_lines(spark, d):
     order, line, kind = F.col("l_orderkey"), F.col("l_linenumber"), F.col("l_orderkey") % 13
-    digest = F.sha2(F.concat_ws("|", order.cast("string"), line.cast("string"), F.col("l_partkey").cast("string")), 256)
+    text = F.concat_ws("|", order.cast("string"), line.cast("string"), F.col("l_partkey").cast("string"))
+    digest = F.col("digest")
     ship = R.epoch_ms(F.col("l_shipdate"))
-    return X.table(spark, d, "lineitem").select(
+    return spread(X.table(spark, d, "lineitem")).withColumn("digest", F.sha2(text, 256)).select(
         F.concat_ws(":", order.cast("string"), line.cast("string"), F.col("l_partkey").cast("string"),
                     F.col("l_suppkey").cast("string"), F.col("l_quantity").cast("int").cast("string"),
                     F.col("l_extendedprice").cast("decimal(18,2)").cast("string")).alias("id"),

@@ -25,21 +25,21 @@ def texts(*pairs):
 def sequence_links(ledger, devices=None, block_rows=BLOCK_ROWS):
     """One row per (session, seq): first copy, the record before it, the session key.
 
-    Columns: session_id, seq, copies, first_key, prev (seq, chain_hash, ended_at) and
-    head (device_id of the session's first record); with ``devices`` also the key of
-    that device.
+    Columns: session_id, seq, first_key, prev (seq, chain_hash, ended_at) and
+    session_device (of the session's first record); with ``devices`` also its key.
     """
     ends = ledger.groupBy(*SEQ_KEY).agg(
-        F.count(F.lit(1)).alias("copies"),
-        F.min(F.struct("created_at", "id", "device_id")).alias("first"),
+        F.min(F.struct("created_at", "id")).alias("first_key"),
         F.max(F.struct("created_at", "id", "chain_hash", "ended_at")).alias("last"),
     )
     ends = ends.withColumn(BLOCK, block_of(F.col("seq"), block_rows)).withColumn(
         "_here", F.struct("seq", F.col("last.chain_hash"), F.col("last.ended_at"))
     )
-    blocks = ends.groupBy("session_id", BLOCK).agg(
-        F.max_by("_here", "seq").alias("_tail"),
-        F.min_by(F.col("first.device_id"), "seq").alias("_head"),
+    # from the ledger itself, so both aggregates run side by side
+    position = F.struct("seq", "created_at", "id")
+    blocks = ledger.groupBy("session_id", block_of(F.col("seq"), block_rows).alias(BLOCK)).agg(
+        F.max_by(F.struct("seq", "chain_hash", "ended_at"), position).alias("_tail"),
+        F.min_by("device_id", position).alias("_head"),
     )
     across = Window.partitionBy("session_id").orderBy(BLOCK)
     blocks = blocks.select(
@@ -64,8 +64,7 @@ def sequence_links(ledger, devices=None, block_rows=BLOCK_ROWS):
         ends.withColumn("_near", F.lag("_here").over(within))
         .join(blocks, ["session_id", BLOCK], "left")
         .withColumn("prev", F.coalesce("_near", "_carried"))
-        .withColumn("first_key", F.struct(F.col("first.created_at"), F.col("first.id")))
-        .drop(BLOCK, "_near", "_carried", "_here", "first", "last")
+        .drop(BLOCK, "_near", "_carried", "_here", "last")
     )
 
 
@@ -137,7 +136,7 @@ def check_records(
             (~F.col("link_ok"), F.lit(V.RECORD_BAD_LINK)),
             (F.col("repeated_seq"), F.lit(V.RECORD_REPEATED_SEQ)),
         ),
-    ).drop("prev", "first_key", "signature", "copies")
+    ).drop("prev", "first_key", "signature")
 
 
 def time_gaps(checks):

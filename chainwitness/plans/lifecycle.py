@@ -18,33 +18,50 @@ REQUIRED = (
 # -- validity ------------------------------------------------------------------------
 
 
-def check_rules(rows, devices=None):
-    """Add ``failed``: names of the table rules each record breaks."""
-    bad = lambda cond: ~F.coalesce(cond, F.lit(True))
-    hexes = ("segment_hash", "prev_chain_hash", "chain_hash")
-    rules = [
-        *[(F.col(c).isNull(), f"{c} is missing") for c in REQUIRED if c in rows.columns],
-        (bad(F.col("seq") >= 0), "seq is negative"),
-        *[(bad(F.col(c).rlike(V.HEX64_PATTERN)), f"{c} is no SHA-256 hash") for c in hexes if c in rows.columns],
-        (bad(F.col("ended_at") >= F.col("started_at")), "ended_at is before started_at"),
-        (bad(F.col("byte_size") > 0), "byte_size is not positive"),
-    ]
-    if "frame_count" in rows.columns:
-        rules.append((bad(F.col("frame_count") >= 0), "frame_count is negative"))
-    if devices is not None:
-        known = devices.select(F.col("id").alias("device_id"), F.lit(True).alias("_known")).distinct()
-        rows = rows.join(known, "device_id", "left")
-        rules.append((F.col("_known").isNull() & F.col("device_id").isNotNull(), "device is unknown"))
-    checked = rows.withColumn("failed", texts(*[(c, F.lit(t)) for c, t in rules]))
-    return checked.drop("_known")
+def _broken(cond):
+    return ~F.coalesce(cond, F.lit(True))
+
+
+def rules(columns, with_devices=False):
+    """(condition of breaking it, name) for each table rule that the columns allow."""
+    out = [(F.col(c).isNull(), f"{c} is missing") for c in REQUIRED if c in columns]
+    out.append((_broken(F.col("seq") >= 0), "seq is negative"))
+    for c in ("segment_hash", "prev_chain_hash", "chain_hash"):
+        if c in columns:
+            out.append((_broken(F.col(c).rlike(V.HEX64_PATTERN)), f"{c} is no SHA-256 hash"))
+    out.append((_broken(F.col("ended_at") >= F.col("started_at")), "ended_at is before started_at"))
+    out.append((_broken(F.col("byte_size") > 0), "byte_size is not positive"))
+    if "frame_count" in columns:
+        out.append((_broken(F.col("frame_count") >= 0), "frame_count is negative"))
+    if with_devices:
+        out.append((F.col("_known").isNull() & F.col("device_id").isNotNull(), "device is unknown"))
+    return out
+
+
+def _with_known(rows, devices):
+    if devices is None:
+        return rows
+    known = devices.select(F.col("id").alias("device_id"), F.lit(True).alias("_known")).distinct()
+    return rows.join(known, "device_id", "left")
+
+
+def _any_broken(rows, devices):
+    broken = F.lit(False)
+    for cond, _ in rules(rows.columns, devices is not None):
+        broken = broken | cond
+    return broken
 
 
 def valid_rows(rows, devices=None):
-    return check_rules(rows, devices).where(F.size("failed") == 0).drop("failed")
+    """Records that break no rule, by one boolean filter."""
+    return _with_known(rows, devices).where(~_any_broken(rows, devices)).drop("_known")
 
 
 def quarantined_rows(rows, devices=None):
-    return check_rules(rows, devices).where(F.size("failed") > 0)
+    """Records that break a rule, with the names of the broken rules in ``failed``."""
+    names = texts(*[(c, F.lit(t)) for c, t in rules(rows.columns, devices is not None)])
+    bad = _with_known(rows, devices).where(_any_broken(rows, devices))
+    return bad.withColumn("failed", names).drop("_known")
 
 
 def drift(before, after, key="id", columns=None):

@@ -12,7 +12,7 @@ from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
 from chainwitness.functions.ecdsa import signature_ok
 from chainwitness.operators.audit import texts
-from chainwitness.plans.lifecycle import check_rules
+from chainwitness.plans.lifecycle import quarantined_rows, valid_rows
 from chainwitness.plans.monitor import journey_index
 from chainwitness.schemas import LEDGER
 from chainwitness.sources.ledger import append_records, write_batch
@@ -58,10 +58,9 @@ def ingest_batch(path, rejected_path, devices=None, now=None, schema=LEDGER):
         spark = rows.sparkSession
         stored = read_ledger(spark, path, schema).where(F.col(BATCH) != batch_id)
         clock = F.current_timestamp() if now is None else now
-        checked = check_rules(rows, devices)
-        good = checked.where(F.size("failed") == 0).drop("failed")
+        good = valid_rows(rows, devices)
         write_batch(append_records(good, stored, clock).select(*schema.names), path, batch_id)
-        write_batch(checked.where(F.size("failed") > 0), rejected_path, batch_id)
+        write_batch(quarantined_rows(rows, devices), rejected_path, batch_id)
 
     return write
 

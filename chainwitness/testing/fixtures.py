@@ -158,6 +158,10 @@ def _conversation_files(spark, sf_dir):
 
 def conv_manifests(spark, sf_dir):
     """One hash list per conversation with varied line ends, case, marks and defects."""
+    return once(spark, sf_dir, "manifests", lambda: _conversation_manifests(spark, sf_dir))
+
+
+def _conversation_manifests(spark, sf_dir):
     lines = _conversation_segments(spark, sf_dir).groupBy("conv_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("seq", "segment_hash"))), lambda s: s["segment_hash"]
