@@ -280,7 +280,7 @@ chk as (""", 1).replace("select c.submission_id, case", "select submission_id, v
     "duplicate_submissions": "select doc_id, sha256(text) as content_hash from (select *, row_number() over (partition by text order by doc_id) as r from documents) t where r > 1",
     "filename_hint": S.with_verdicts("select submission_id, ord, name, hint_session, hint_seq from hinted"),
     "size_change": f"""with {S.SEGMENTS}, {S.FILES} select submission_id, count(*) as n_before, count(*) as n_after,
-  sum(size)::bigint as bytes_before, sum(cut)::bigint as bytes_after, 0 as n_removed,
+  sum(size)::bigint as bytes_before, sum(cut)::bigint as bytes_after, 0::bigint as n_removed,
   floor((1 - sum(cut)::double / sum(size)::double) * 100 + 0.5::double)::bigint as percent_smaller
 from (select submission_id, strlen(body) as size, floor(strlen(body) * 0.8::double)::bigint as cut from files) t group by 1""",
     "omit_middle": f"""with {S.SEGMENTS}, {S.FILES} select submission_id, ord, name from (

@@ -13,15 +13,10 @@ from chainwitness.sources import ledger as src
 from chainwitness.testing import fixtures as X
 
 
-def _now(spark, d):
-    """One millisecond after the last event, as a one-row relation joined by broadcast."""
-    return X.evt_rows(spark, d).agg((F.max("ended_at") + 1).alias("now_ms"))
-
-
-def _with_now(df, now):
-    """Attach the clock: a single-row aggregate, so the broadcast is of fixed size."""
-    one = F.lit(1)
-    return df.withColumn("_k", one).join(F.broadcast(now.withColumn("_k", one)), "_k").drop("_k")
+def _with_now(df, spark, d):
+    """Attach the clock, one millisecond after the last event, as a scalar subquery."""
+    last = X.evt_rows(spark, d).agg((F.max("ended_at") + 1).alias("now_ms"))
+    return df.withColumn("now_ms", last.scalar())
 
 
 # -- validity and ingest on order lines -----------------------------------------------
@@ -137,7 +132,7 @@ def distinct_arrivals(spark, d):
 
 
 def expiry_projection(spark, d):
-    rows = _with_now(X.evt_rows(spark, d), _now(spark, d))
+    rows = _with_now(X.evt_rows(spark, d), spark, d)
     left = R.seconds_left(F.col("ended_at"), F.col("now_ms"), V.CACHE_RETENTION_MS * 20)
     return rows.select("event_id", left.alias("seconds_left"), (left == 0).alias("expiring"))
 
@@ -146,7 +141,7 @@ def expiry_projection(spark, d):
 
 
 def _purge(spark, d):
-    rows = _with_now(X.evt_rows(spark, d), _now(spark, d)).withColumn(
+    rows = _with_now(X.evt_rows(spark, d), spark, d).withColumn(
         "expires_at", F.col("created_at") + F.expr("INTERVAL 15 DAYS")
     )
     objects = X.table(spark, d, "events").select("user_id").distinct().where("user_id % 5 = 0").select(
@@ -168,7 +163,7 @@ def _cache(spark, d):
 
 
 def cache_retention(spark, d):
-    rows = _with_now(_cache(spark, d), _now(spark, d))
+    rows = _with_now(_cache(spark, d), spark, d)
     fates = life.cache_retention(rows, F.col("now_ms"), retention_ms=10 * 86_400_000)
     return fates.select("event_id", "device_id", "fate")
 

@@ -23,12 +23,12 @@ def test_near_hashes_equal_brute_force(spark):
     signed = [v - 2**64 if v >= 2**63 else v for v in values]
     df = spark.createDataFrame([(v,) for v in signed], "bits bigint")
     counts = {v: signed.count(v) for v in signed}
-    for limit in (0, 3, 10, 13):
+    for limit, hot in ((0, 100), (2, 1), (3, 100), (10, 100), (10, 1), (10, 4), (13, 2)):
         want = {
             (a, b): (counts[a], counts[b], ((a ^ b) & (2**64 - 1)).bit_count())
             for a in counts for b in counts if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= limit
         }
-        got = [tuple(r) for r in similarity.near_hashes(df, max_distance=limit).collect()]
+        got = [tuple(r) for r in similarity.near_hashes(df, max_distance=limit, hot_bucket=hot).collect()]
         assert len(got) == len(want)  # no pair twice
         assert {(a, b): (n, m, d) for a, b, n, m, d in got} == want
 

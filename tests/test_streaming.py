@@ -41,7 +41,7 @@ def test_late_predecessor_still_yields_its_link(spark, tmp_path):
 
     def arrive(*rows):
         df = spark.createDataFrame(rows, "id string, session_id string, seq int, prev_chain_hash string, chain_hash string")
-        df.withColumn("created_at", F.timestamp_seconds(F.col("seq"))).coalesce(1).write.mode("append").parquet(feed)
+        df.withColumn("created_at", F.timestamp_seconds(F.col("seq") + 1000)).coalesce(1).write.mode("append").parquet(feed)
 
     schema = spark.createDataFrame([], SLIM).schema
 
@@ -69,7 +69,7 @@ def test_running_state_is_the_newest_batch(spark, tmp_path):
 def test_warm_start_adds_known_predecessors(spark, tmp_path):
     known, feed, out = (str(tmp_path / n) for n in ("known", "feed", "out"))
     make = lambda *rows: spark.createDataFrame(rows, "id string, session_id string, seq int, prev_chain_hash string, chain_hash string").withColumn(
-        "created_at", F.timestamp_seconds(F.col("seq")))
+        "created_at", F.timestamp_seconds(F.col("seq") + 1000))
     make(("r0", "s", 0, "g", "h0")).write.parquet(known)
     make(("r1", "s", 1, "h0", "h1")).write.parquet(feed)
     schema = spark.createDataFrame([], SLIM).schema
