@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from chainwitness import fixed_values as V
 from chainwitness.catalog import sql as S
 from chainwitness.catalog.ledger import AUDIT_SELECT, SEP, SESSION_PROBLEMS, big
 from chainwitness.functions import records as R

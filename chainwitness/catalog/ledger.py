@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from chainwitness import fixed_values as V
 from chainwitness.catalog import sql as S
 from chainwitness.functions import records as R
 from chainwitness.functions.ecdsa import signature_ok
@@ -29,7 +28,7 @@ def chain_hash_check(spark, d):
 
 
 def chain_build_fold(spark, d):
-    built = build_chains(X._conversation_segments(spark, d).drop("content"))
+    built = build_chains(X.conversation_segments(spark, d).drop("content"))
     return built.select("conv_id", *big("seq"), "prev_chain_hash", "chain_hash")
 
 

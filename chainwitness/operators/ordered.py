@@ -80,3 +80,10 @@ def mark_first(df: DataFrame, keys, order, out):
         .withColumn(out, F.struct(*order) == F.col("_first"))
         .drop("_first")
     )
+
+
+def first_per_key(df: DataFrame, keys, order):
+    """The first row of each key group, by one aggregate that combines before the shuffle."""
+    rest = [c for c in df.columns if c not in keys]
+    firsts = df.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"))
+    return firsts.select(*keys, "_row.*").select(*df.columns)

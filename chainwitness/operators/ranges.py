@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from chainwitness.operators.ordered import BLOCK_ROWS, block_of, last_known, running_count
 
 EXPAND_CHUNK = 10_000
+TEXT_RANGES = 10_000
 
 
 def gaps(df, keys, seq="seq", block_rows=BLOCK_ROWS):
@@ -51,18 +52,33 @@ def runs(df, keys, seq="seq", block_rows=BLOCK_ROWS):
     )
 
 
-def range_text(ranges, keys, out):
-    """Join ranges per key as ``#1–#3, #5``: one text per key, as long as its report."""
-    item = lambda r: F.when(
-        r["from_seq"] == r["to_seq"], F.concat(F.lit("#"), r["from_seq"].cast("string"))
-    ).otherwise(
-        F.concat(
-            F.lit("#"), r["from_seq"].cast("string"),
-            F.lit("–#"), r["to_seq"].cast("string"),
-        )
+def _as_text(first, last):
+    return F.when(first == last, F.concat(F.lit("#"), first.cast("string"))).otherwise(
+        F.concat(F.lit("#"), first.cast("string"), F.lit("–#"), last.cast("string"))
+    )
+
+
+def range_text(ranges, keys, out, limit=TEXT_RANGES):
+    """Join ranges per key as ``#1–#3, #5``.
+
+    A key with more than ``limit`` ranges is never gathered into one row. Its text
+    names the first and last range and their number; the ranges themselves, which
+    are the input rows, stay the full account.
+    """
+    keys = list(keys)
+    span = F.struct("from_seq", "to_seq")
+    # one key per ``limit`` ranges at most, which bounds the broadcast
+    long = F.broadcast(
+        ranges.groupBy(*keys)
+        .agg(F.count(F.lit(1)).alias("_n"), F.min(span).alias("_a"), F.max(span).alias("_b"))
+        .where(F.col("_n") > limit)
     )
-    return ranges.groupBy(*keys).agg(
-        F.array_join(
-            F.transform(F.array_sort(F.collect_list(F.struct("from_seq", "to_seq"))), item), ", "
-        ).alias(out)
+    item = lambda r: _as_text(r["from_seq"], r["to_seq"])
+    listed = ranges.join(long.select(*keys), keys, "left_anti").groupBy(*keys).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(span)), item), ", ").alias(out)
+    )
+    summed = long.select(
+        *keys,
+        F.format_string("%s, …, %s (%d ranges)", item(F.col("_a")), item(F.col("_b")), "_n").alias(out),
     )
+    return listed.unionByName(summed)

@@ -89,7 +89,9 @@ def near_hashes(rows, bits="bits", max_distance=V.MAX_HAMMING, hot_bucket=HOT_BU
     it is very close, so no pair appears twice and nothing is de-duplicated later.
     Buckets with more than ``hot_bucket`` hashes are split by a second band.
     """
-    hashes = distinct_hashes(rows, bits)
+    # each hash becomes hundreds of rows below: keep the small distinct set spread out
+    partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashes = distinct_hashes(rows, bits).repartition(partitions)
     radii = band_radii(max_distance)
     used = [i for i in range(BANDS) if radii[i] >= 0]
     own = F.array(*[F.struct(F.lit(i).alias("band"), _band(F.col("bits"), i).alias("v")) for i in used])

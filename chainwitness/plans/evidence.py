@@ -138,7 +138,8 @@ def file_verdicts(matched, checks):
     )
     grouped = lambda n: F.format_number(n, 0)
     return joined.select(
-        "submission_id", "ord", "name", "actual_hash", "size",
+        "submission_id", "ord", "name", *[c for c in ("origin", "note") if c in matched.columns],
+        "actual_hash", "size",
         status.alias("status"),
         F.when(by_hash | by_name, F.col("session_id")).alias("session_id"),
         F.when(by_hash | by_name, F.col("seq")).alias("seq"),
@@ -316,3 +317,9 @@ def report_documents(verification):
     return heads.unionByName(files).unionByName(sessions)
 
 
+
+
+def write_report(verification, path):
+    """Write the report documents as JSON lines, partitioned by part."""
+    documents = report_documents(verification).select("part", "document")
+    documents.write.mode("errorifexists").partitionBy("part").text(path)

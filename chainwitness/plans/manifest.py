@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
 from chainwitness.functions.ecdsa import signature_ok
-from chainwitness.operators.audit import SEQ_KEY, check_records
+from chainwitness.operators.audit import SEQ_KEY, audit_sessions, check_records
 from chainwitness.operators.ordered import BLOCK_ROWS
 from chainwitness.session import stage
 from chainwitness.sources.ledger import find_by_hashes, find_sessions
@@ -21,6 +21,11 @@ class ManifestReport:
     errors: DataFrame
     entries: DataFrame
     checks: DataFrame
+    block_rows: int = BLOCK_ROWS
+
+    def sessions(self):
+        """Audit of every session that holds a listed hash."""
+        return audit_sessions(self.checks, self.block_rows)
 
 
 def session_is_clean(checks):
@@ -83,7 +88,7 @@ def verify_manifests(
         )
     )
     errors = parsed.where(F.col("error").isNotNull()).select(list_id, "error")
-    return ManifestReport(errors=errors, entries=matched, checks=checks)
+    return ManifestReport(errors=errors, entries=matched, checks=checks, block_rows=block_rows)
 
 
 def manifest_counts(matched, list_id="list_id"):

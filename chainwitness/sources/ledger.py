@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
-from chainwitness.operators.ordered import mark_first
+from chainwitness.operators.ordered import first_per_key
 
 
 def find_by_hashes(ledger, hashes, col="segment_hash"):
@@ -47,9 +47,11 @@ def distinct_arrivals(rows):
 
 
 def not_yet_stored(rows, stored, key, order):
-    """First row per key among ``rows`` whose key is not stored yet."""
-    fresh = rows.join(stored.select(*key), list(key), "left_anti")
-    return mark_first(fresh, key, order, "_is_first").where("_is_first").drop("_is_first")
+    """First row per key among ``rows`` whose key is not stored yet.
+
+    Rows are reduced to one per key first; the anti join then reuses their partitioning.
+    """
+    return first_per_key(rows, list(key), order).join(stored.select(*key), list(key), "left_anti")
 
 
 def stamp(rows, now, retention_days=V.LEDGER_RETENTION_DAYS):

@@ -40,7 +40,7 @@ def millis_to_timestamp(ms):
 # -- conversations: ledger, devices, submissions ---------------------------------
 
 
-def _conversation_segments(spark, sf_dir):
+def conversation_segments(spark, sf_dir):
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
     numbered = running_count(
         turns, ["conv_id"], ["turn"], "_n", block_of(F.col("turn"))
@@ -71,7 +71,7 @@ def _conversation_segments(spark, sf_dir):
 
 
 def _conversation_ledger(spark, sf_dir):
-    core = _conversation_segments(spark, sf_dir).drop("content")
+    core = conversation_segments(spark, sf_dir).drop("content")
     k, seq = F.col("conv_id") % 10, F.col("seq")
     chained = build_chains(core)
     cut = (k == 6) & (seq == 1)
@@ -119,7 +119,7 @@ def conv_files(spark, sf_dir):
 
 
 def _conversation_files(spark, sf_dir):
-    segments = _conversation_segments(spark, sf_dir).select("conv_id", "seq", "session_id", "content")
+    segments = conversation_segments(spark, sf_dir).select("conv_id", "seq", "session_id", "content")
     sizes = segments.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"))
     k, conv, seq = F.col("conv_id") % 10, F.col("conv_id"), F.col("seq")
     withheld = (
@@ -162,7 +162,7 @@ def conv_manifests(spark, sf_dir):
 
 
 def _conversation_manifests(spark, sf_dir):
-    lines = _conversation_segments(spark, sf_dir).groupBy("conv_id").agg(
+    lines = conversation_segments(spark, sf_dir).groupBy("conv_id").agg(
         F.transform(
             F.array_sort(F.collect_list(F.struct("seq", "segment_hash"))), lambda s: s["segment_hash"]
         ).alias("h")
@@ -235,7 +235,7 @@ def embedding_frames(spark, sf_dir):
     grey = F.transform(
         x, lambda v: F.least(F.lit(255), F.greatest(F.lit(0), F.floor(v * 220 + 128))).cast("int")
     )
-    return table(spark, sf_dir, "embeddings").select(
+    return spread(table(spark, sf_dir, "embeddings")).select(
         "vec_id", "label", x.alias("vector"), grey.alias("grey"),
         F.lit(8).alias("width"), F.lit(8).alias("height"),
     )

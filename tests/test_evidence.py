@@ -121,6 +121,15 @@ def test_sessions(report):
     assert doubled["n_records"] == 7 and doubled["bad_seqs"] == "#1"
 
 
+def test_written_report(spark, report, tmp_path):
+    path = str(tmp_path / "report")
+    evidence.write_report(report, path)
+    rows = spark.read.text(path)
+    assert rows.where("part = 'verdict'").count() == 13
+    fields = rows.where("part = 'file'").select(F.json_object_keys("value")).first()[0]
+    assert fields[:3] == ["name", "status", "sha256"]
+
+
 def test_record_checks(world):
     ledger, devices = world
     plain = by_key(audit.check_records(ledger, devices), "id")
@@ -167,6 +176,7 @@ def test_manifest_statuses(spark, world):
     assert rows[2, 1]["status"] == "INVALID_RECORD"
     assert sum(k[0] == 3 for k in rows) == 205
     assert [tuple(r) for r in report.errors.collect()] == [(4, "Line 1 must start with a 64-character SHA-256 hash.")]
+    assert {r["session_id"] for r in report.sessions().collect()} == {SESSIONS["clean"], SESSIONS["shifted"]}
     counts = by_key(manifest.manifest_counts(report.entries), "list_id")
     assert tuple(counts[1,])[1:] == (4, 2, 1, 1)
 

@@ -66,6 +66,12 @@ def test_gaps_runs_and_text(spark):
         }
 
 
+def test_long_texts_are_summed_up(spark):
+    df = spark.createDataFrame([("a", i) for i in (1, 2, 4, 6, 8)] + [("b", 1), ("b", 3)], "key string, seq bigint")
+    text = ranges.range_text(ranges.runs(df, ["key"]), ["key"], "t", limit=2)
+    assert {r["key"]: r["t"] for r in text.collect()} == {"a": "#1–#2, …, #8 (4 ranges)", "b": "#1, #3"}
+
+
 def test_a_far_off_number_stays_one_range(spark):
     df = spark.createDataFrame([("a", 0), ("a", 2**40)], "key string, seq bigint")
     assert [tuple(r) for r in ranges.gaps(df, ["key"]).collect()] == [("a", 1, 2**40 - 1, 2**40 - 1)]
