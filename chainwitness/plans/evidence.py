@@ -245,23 +245,23 @@ def global_verdicts(files, involved, checks, missing, strict=False):
 
 def verify_evidence(
     files, ledger, devices, *, mutate=None, protocol=V.DEFAULT_PROTOCOL,
-    prefix=V.DEFAULT_FILE_PREFIX, verify_with=signature_ok, strict=False,
-    block_rows=BLOCK_ROWS, staged=stage,
+    prefix=V.DEFAULT_FILE_PREFIX, exact_coordinates=False, verify_with=signature_ok,
+    strict=False, block_rows=BLOCK_ROWS, staged=stage,
 ):
     """Verify submissions: ``files`` has submission_id, ord, name and content.
 
     ``mutate`` is applied to the ledger rows before they are audited. ``staged``
-    stores the two results that several branches read (hash matches and record
-    checks); pass ``lambda df: df`` to keep one lazy plan.
+    stores what several branches read (hash matches, rows of the sessions involved,
+    record checks, file verdicts); pass ``lambda df: df`` to keep one lazy plan.
     """
     matched = staged(match_by_hash(hashed(files, prefix), ledger))
     involved = involved_sessions(matched)
-    rows = find_sessions(ledger, involved)
+    rows = staged(find_sessions(ledger, involved))
     if mutate is not None:
         rows = rows.transform(mutate)
     checks = staged(
         check_records(
-            rows, devices, protocol, block_rows=block_rows, verify_with=verify_with,
+            rows, devices, protocol, exact_coordinates, block_rows, verify_with,
             keep=("segment_hash", "byte_size"),
         )
     )

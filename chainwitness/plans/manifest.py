@@ -58,15 +58,16 @@ def registered_hashes(candidates, checks):
 
 def verify_manifests(
     manifests, ledger, devices, *, list_id="list_id", body="body",
-    protocol=V.DEFAULT_PROTOCOL, verify_with=signature_ok, block_rows=BLOCK_ROWS, staged=stage,
+    protocol=V.DEFAULT_PROTOCOL, exact_coordinates=False, verify_with=signature_ok,
+    block_rows=BLOCK_ROWS, staged=stage,
 ):
     """Check any number of hash lists in one job; video bytes are never looked at."""
     parsed = parse(manifests, list_id, body)
     listed = staged(entries(parsed, list_id))
-    candidates = find_by_hashes(ledger, listed, "hash")
-    rows = find_sessions(ledger, candidates)
+    candidates = staged(find_by_hashes(ledger, listed, "hash"))
+    rows = staged(find_sessions(ledger, candidates))
     checks = staged(
-        check_records(rows, devices, protocol, block_rows=block_rows, verify_with=verify_with)
+        check_records(rows, devices, protocol, exact_coordinates, block_rows, verify_with)
     )
     known = registered_hashes(candidates, checks)
     # an accepted list has at most 2,000 entries, which bounds each window group
