@@ -6,6 +6,7 @@ import os
 
 import duckdb
 import pytest
+from plan_checks import assert_scales
 
 import __spark_entry__ as entry
 
@@ -36,6 +37,8 @@ def rows(columns, data):
 @pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SKIPPED))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SMALL)
+    if not name.startswith("stream_"):
+        assert_scales(df)
     cursor = duck.execute(entry.oracle_sql()[name])
     columns = [c[0] for c in cursor.description]
     assert sorted(df.columns) == sorted(columns)
