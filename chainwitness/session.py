@@ -1,11 +1,30 @@
 """Session settings, and tables staged in the cluster's shared folder."""
 
+import shutil
 import tempfile
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+_shipped = set()
+
+
+def ship_package(spark):
+    """Send this package to the executors, whose Python workers import its functions.
+
+    The driver serves the archive to every executor; it is sent once per application.
+    """
+    context = spark.sparkContext
+    if context.applicationId not in _shipped:
+        package = Path(__file__).resolve().parent
+        archive = shutil.make_archive(
+            f"{tempfile.mkdtemp(prefix='chainwitness-')}/chainwitness", "zip", package.parent, package.name
+        )
+        context.addPyFile(archive)
+        _shipped.add(context.applicationId)
+    return spark
 
 
 def build_session(app="chainwitness", master=None, **conf):
@@ -24,7 +43,7 @@ def build_session(app="chainwitness", master=None, **conf):
         builder = builder.master(master)
     for key, value in settings.items():
         builder = builder.config(key, value)
-    return builder.getOrCreate()
+    return ship_package(builder.getOrCreate())
 
 
 def shared_dir(spark):
