@@ -18,8 +18,8 @@ from pyspark.sql import types as T
 from chainwitness.llm.common import arrow_rows, small_slices
 from chainwitness.llm.pieces import ENCODE_BYTES, PieceEncoder, is_latin, pre_tokens
 
-ENCODED = "_id bigint, _hash bigint, _ids array<int>"
-DECODED = "_id bigint, _hash bigint, _ids array<int>, _decoded string"
+ENCODED = "_id bigint, _hash int, _ids array<int>"
+DECODED = "_id bigint, _hash int, _ids array<int>, _decoded string"
 
 
 def byte_letters():
@@ -153,7 +153,7 @@ def encode(docs: DataFrame, tokenizer_file) -> DataFrame:
 
     def run(batches):
         _, encoder = _tools(source.value)
-        schema = pa.schema([("_id", pa.int64()), ("_hash", pa.int64()), ("_ids", pa.list_(pa.int32()))])
+        schema = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_ids", pa.list_(pa.int32()))])
         for batch in small_slices(batches, max_bytes=ENCODE_BYTES):
             ids, counts = encoder.encode(batch.column("_text").to_pylist())
             offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
@@ -174,7 +174,7 @@ def decode(encoded: DataFrame, tokenizer_file) -> DataFrame:
         vocabulary, _ = _tools(source.value)
         look = vocabulary.bytes_of.__getitem__
         schema = pa.schema([
-            ("_id", pa.int64()), ("_hash", pa.int64()), ("_ids", pa.list_(pa.int32())), ("_decoded", pa.string())
+            ("_id", pa.int64()), ("_hash", pa.int32()), ("_ids", pa.list_(pa.int32())), ("_decoded", pa.string())
         ])
         for whole in batches:
             for at in range(0, whole.num_rows, 1000):

@@ -1,6 +1,8 @@
 """Registered queries of this folder: one per operator, and the SQL of those that SQL can state."""
 
-from chainwitness.llm import bpe, token_files
+from pyspark.sql import functions as F
+
+from chainwitness.llm import bpe, substring_dedup, token_files
 from chainwitness.llm.common import identified, table
 
 END_ID = 2
@@ -22,5 +24,13 @@ def op5_bpe_codec(spark, sf_dir):
     return bpe.digests(bpe.decode(encoded, _tokenizer_file()))
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_bpe_codec)}
+def op3_substring_dedup(spark, sf_dir):
+    kept = substring_dedup.remove_repeats(identified(table(spark, sf_dir, "documents")))
+    return kept.select(
+        F.col("_id").alias("doc_id"), F.col("_n_words").alias("n_words"), F.col("_n_removed").alias("n_removed"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op5_bpe_codec, op3_substring_dedup)}
 ORACLES = {}

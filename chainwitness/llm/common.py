@@ -34,7 +34,7 @@ def identified(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
     Only these columns go on, so further columns of the input may bear any name.
     """
     return docs.select(
-        F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text")
+        F.col(id_col).alias("_id"), F.hash(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text")
     )
 
 
