@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chainwitness.llm import bpe, substring_dedup, token_files
+from chainwitness.llm import bpe, decontamination, substring_dedup, token_files
 from chainwitness.llm.common import identified, table
 
 END_ID = 2
@@ -32,5 +32,12 @@ def op3_substring_dedup(spark, sf_dir):
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op5_bpe_codec, op3_substring_dedup)}
-ORACLES = {}
+def op8_decontamination(spark, sf_dir):
+    pairs = decontamination.overlaps(
+        identified(table(spark, sf_dir, "documents")), identified(table(spark, sf_dir, "benchmark"), "item_id")
+    )
+    return pairs.drop("_hash").withColumnRenamed("_id", "doc_id")
+
+
+QUERIES = {f.__name__: f for f in (op1_token_files, op3_substring_dedup, op5_bpe_codec, op8_decontamination)}
+ORACLES = {"op8_decontamination": decontamination.ORACLE}
