@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chainwitness.llm import bpe, decontamination, substring_dedup, token_files
+from chainwitness.llm import bpe, decontamination, line_dedup, substring_dedup, token_files
 from chainwitness.llm.common import identified, table
 
 END_ID = 2
@@ -39,5 +39,15 @@ def op8_decontamination(spark, sf_dir):
     return pairs.drop("_hash").withColumnRenamed("_id", "doc_id")
 
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op3_substring_dedup, op5_bpe_codec, op8_decontamination)}
+def op9_line_dedup(spark, sf_dir):
+    kept = line_dedup.remove_lines(identified(table(spark, sf_dir, "documents")))
+    return kept.select(
+        F.col("_id").alias("doc_id"), F.col("_n_lines").alias("n_lines"), F.col("_n_removed").alias("n_removed"),
+        F.sha2("_kept", 256).alias("kept_sha256"),
+    )
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_token_files, op3_substring_dedup, op5_bpe_codec, op8_decontamination, op9_line_dedup,
+)}
 ORACLES = {"op8_decontamination": decontamination.ORACLE}
