@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chainwitness.llm import bpe, decontamination, embedding_dedup, jaccard_join, line_dedup, substring_dedup, token_files
+from chainwitness.llm import bpe, decontamination, embedding_dedup, jaccard_join, line_dedup, lm_scoring, substring_dedup, token_files
 from chainwitness.llm.common import identified, table
 
 END_ID = 2
@@ -56,8 +56,13 @@ def op10_embedding_dedup(spark, sf_dir):
     return embedding_dedup.linked(table(spark, sf_dir, "embeddings"))
 
 
+def op6_lm_scoring(spark, sf_dir):
+    scored = lm_scoring.score(identified(table(spark, sf_dir, "documents")))
+    return scored.drop("_hash").withColumnRenamed("_id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_files, op3_substring_dedup, op5_bpe_codec, op7_ngram_jaccard_join, op8_decontamination,
+    op1_token_files, op3_substring_dedup, op5_bpe_codec, op6_lm_scoring, op7_ngram_jaccard_join, op8_decontamination,
     op9_line_dedup, op10_embedding_dedup,
 )}
 ORACLES = {"op8_decontamination": decontamination.ORACLE}
