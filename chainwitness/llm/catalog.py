@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chainwitness.llm import bpe, decontamination, embedding_dedup, jaccard_join, line_dedup, lm_scoring, substring_dedup, token_files
+from chainwitness.llm import bpe, decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, substring_dedup, token_files
 from chainwitness.llm.common import identified, table
 
 END_ID = 2
@@ -61,8 +61,15 @@ def op6_lm_scoring(spark, sf_dir):
     return scored.drop("_hash").withColumnRenamed("_id", "doc_id")
 
 
+def op4_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = language_id.predict(identified(docs), language_id.sample(docs))
+    held_out = F.coalesce(language_id.held_out(F.col("doc_id")), F.lit(False))
+    return found.select(F.col("_id").alias("doc_id"), "lang_pred", "score").withColumn("held_out", held_out)
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_token_files, op3_substring_dedup, op5_bpe_codec, op6_lm_scoring, op7_ngram_jaccard_join, op8_decontamination,
+    op1_token_files, op3_substring_dedup, op4_language_id, op5_bpe_codec, op6_lm_scoring, op7_ngram_jaccard_join, op8_decontamination,
     op9_line_dedup, op10_embedding_dedup,
 )}
 ORACLES = {"op8_decontamination": decontamination.ORACLE}
