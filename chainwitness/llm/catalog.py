@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chainwitness.llm import bpe, decontamination, embedding_dedup, jaccard_join, language_id, line_dedup, lm_scoring, substring_dedup, token_files
+from chainwitness.llm import bpe, decontamination, embedding_dedup, jaccard_join, language_id, license_rules, line_dedup, lm_scoring, substring_dedup, token_files
 from chainwitness.llm.common import identified, table
 
 END_ID = 2
@@ -24,6 +24,11 @@ def op5_bpe_codec(spark, sf_dir):
     return bpe.digests(bpe.decode(encoded, _tokenizer_file()))
 
 
+def op2_license_rules(spark, sf_dir):
+    found = license_rules.scan(identified(table(spark, sf_dir, "documents")))
+    return found.select(F.col("_id").alias("doc_id"), "license", "n_found")
+
+
 def op3_substring_dedup(spark, sf_dir):
     kept = substring_dedup.remove_repeats(identified(table(spark, sf_dir, "documents")))
     return kept.select(
@@ -69,7 +74,7 @@ def op4_language_id(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_token_files, op3_substring_dedup, op4_language_id, op5_bpe_codec, op6_lm_scoring, op7_ngram_jaccard_join, op8_decontamination,
+    op1_token_files, op2_license_rules, op3_substring_dedup, op4_language_id, op5_bpe_codec, op6_lm_scoring, op7_ngram_jaccard_join, op8_decontamination,
     op9_line_dedup, op10_embedding_dedup,
 )}
-ORACLES = {"op8_decontamination": decontamination.ORACLE}
+ORACLES = {"op2_license_rules": license_rules.ORACLE, "op8_decontamination": decontamination.ORACLE}
