@@ -8,20 +8,20 @@ from chainwitness.llm.common import identified, table
 END_ID = 2
 
 
-def _tokenizer_file():
+def tokenizer_file():
     import public_tokenizers
 
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
 def op1_token_files(spark, sf_dir):
-    folder, shards = token_files.write(identified(table(spark, sf_dir, "documents")), _tokenizer_file(), END_ID)
+    folder, shards = token_files.write(identified(table(spark, sf_dir, "documents")), tokenizer_file(), END_ID)
     return token_files.read(folder, shards)
 
 
 def op5_bpe_codec(spark, sf_dir):
-    encoded = bpe.encode(identified(table(spark, sf_dir, "documents")), _tokenizer_file())
-    return bpe.digests(bpe.decode(encoded, _tokenizer_file()))
+    encoded = bpe.encode(identified(table(spark, sf_dir, "documents")), tokenizer_file())
+    return bpe.digests(bpe.decode(encoded, tokenizer_file()))
 
 
 def op2_license_rules(spark, sf_dir):

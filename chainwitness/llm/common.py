@@ -28,19 +28,22 @@ def stage(df: DataFrame, name) -> DataFrame:
     return staged
 
 
-def identified(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame:
+def identified(docs: DataFrame, id_col="doc_id", text_col="text", carry=False) -> DataFrame:
     """``_id``, ``_hash`` and ``_text``: rows with equal (_id, _hash) hold the same id and text.
 
-    Only these columns go on, so further columns of the input may bear any name.
+    Only these columns go on, so further columns of the input may bear any name; with
+    ``carry`` the whole row follows as one struct, ``_row``.
     """
-    return docs.select(
-        F.col(id_col).alias("_id"), F.hash(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text")
-    )
+    columns = [F.col(id_col).alias("_id"), F.hash(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text")]
+    if carry:
+        columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
+    return docs.select(*columns)
 
 
-def same_row(left, right):
-    """Join condition on the two key columns of ``identified``, null ids included."""
-    return left["_id"].eqNullSafe(right["_id"]) & (left["_hash"] == right["_hash"])
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """Rows of ``docs`` whose ``_id`` and ``_hash`` are not in ``gone``, which is staged so that Spark knows its size."""
+    gone = stage(gone.select(F.col("_id").alias("i"), F.col("_hash").alias("h")).distinct(), "gone")
+    return docs.join(gone, docs["_id"].eqNullSafe(gone["i"]) & (docs["_hash"] == gone["h"]), "left_anti")
 
 
 def small_slices(batches, column="_text", max_bytes=SLICE_BYTES):

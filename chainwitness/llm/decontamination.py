@@ -93,14 +93,6 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window=WINDOW, substitutions
     )
 
 
-def clean(docs: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Rows of ``docs`` (with ``_id`` and ``_hash``) that are in none of the pairs."""
-    leaks = pairs.select(F.col("_id").alias("d"), F.col("_hash").alias("dh")).distinct()
-    return docs.join(
-        leaks, F.col("_id").eqNullSafe(F.col("d")) & (F.col("_hash") == F.col("dh")), "left_anti"
-    )
-
-
 ORACLE = f"""
 with d as (select doc_id, list_filter(string_split_regex(lower(text), '[ \\t-\\r]+'), lambda x: x <> '') as w
            from documents where text is not null),

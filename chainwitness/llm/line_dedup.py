@@ -201,9 +201,11 @@ def _rewritten(docs):
                 lines_of.append(len(lines))
                 removed.append(len(lines) - len(left))
                 texts.append("\n".join(left) if removed[-1] else text)
-            yield arrow_rows(schema, batch.column("_id"), batch.column("_hash"), lines_of, removed, texts)
+            found = arrow_rows(schema, batch.column("_id"), batch.column("_hash"), lines_of, removed, texts)
+            yield found.append_column("_row", batch.column("_row")) if carried else found
 
-    return docs.mapInArrow(run, "_id bigint, _hash int, _n_lines bigint, _n_removed bigint, _kept string")
+    carried = f", _row {docs.schema['_row'].dataType.simpleString()}" if "_row" in docs.columns else ""
+    return docs.mapInArrow(run, "_id bigint, _hash int, _n_lines bigint, _n_removed bigint, _kept string" + carried)
 
 
 def remove_lines(docs: DataFrame, words_per_edit=WORDS_PER_EDIT) -> DataFrame:
@@ -213,12 +215,12 @@ def remove_lines(docs: DataFrame, words_per_edit=WORDS_PER_EDIT) -> DataFrame:
     words in lower case (A-Z); lines of fewer than ``words_per_edit`` words must be equal. Earlier
     is by (id, text hash, line number), null ids first; an earlier line counts even if it goes
     itself. Lines without words always stay. Result, one row per input row: ``_id``, ``_hash``,
-    ``_n_lines``, ``_n_removed``, ``_kept`` (the text that is left; null stays null). Rows that
+    ``_n_lines``, ``_n_removed``, ``_kept`` (the text that is left; null stays null), and ``_row`` if carried. Rows that
     repeat both id and text are one document and get the same result. Ties cannot arise
     otherwise, as places are unique. Nothing is gathered but line numbers of one document;
     equal lines, halves and variants meet in aggregates that combine before the shuffle.
     """
-    docs = docs.select("_id", "_hash", "_text")
+    whole, docs = docs, docs.select("_id", "_hash", "_text")
     lines = _all_lines(docs.where("_text is not null"), words_per_edit)
     first = lines.groupBy("name", "check").agg(
         F.min(F.struct(*_PLACE)).alias("place"), F.first("halves").alias("halves")
@@ -228,4 +230,4 @@ def remove_lines(docs: DataFrame, words_per_edit=WORDS_PER_EDIT) -> DataFrame:
     place = [F.col(c).eqNullSafe(F.col(c + "2")) for c in _PLACE]
     kept = first.select(*_PLACE).join(near.select(*(F.col(c).alias(c + "2") for c in _PLACE)), place, "left_anti")
     kept = kept.groupBy("_id", "_hash").agg(F.collect_list("_line").alias("_lines"))
-    return _rewritten(_joined(docs, kept, "left"))
+    return _rewritten(_joined(whole, kept, "left"))
