@@ -42,7 +42,7 @@ def evidence_coverage(spark, d):
 
 def session_report(spark, d):
     return verification(spark, d).sessions().select(
-        "submission_id", "session_id",
+        "submission_id", "session_id", *big("part"),
         *big("n_records", "n_signature_ok", "n_links_broken", "n_missing_in_db", "n_submitted", "n_missing_in_evidence"),
         "missing_in_evidence", F.array_join("problems", SEP).alias("problems"),
         F.array_join("warnings", SEP).alias("warnings"), "summary",
@@ -259,7 +259,7 @@ ORACLES = {
     "status_summary": S.with_verdicts(f"select *, {_SUMMARY} as summary from (select submission_id, {_COUNTS} from verdict group by 1) t"),
     "evidence_coverage": S.with_verdicts("select * from cover"),
     "session_report": S.with_verdicts(f"""
-select submission_id, session_id, n_records, n_signature_ok, n_links_broken, n_missing_in_db, n_submitted, n_missing_in_evidence,
+select submission_id, session_id, 0::bigint as part, n_records, n_signature_ok, n_links_broken, n_missing_in_db, n_submitted, n_missing_in_evidence,
   missing_in_evidence, concat_ws(' | ', nullif({SESSION_PROBLEMS}, ''), case when missing_in_evidence <> ''
     then 'Evidence is missing segment(s) ' || missing_in_evidence || ' inside the submitted time range.' end) as problems, '' as warnings,
   'Session ' || substr(session_id, 1, 8) || ': ' || n_records || ' server record(s), ' || n_signature_ok || ' valid signature(s), ' ||

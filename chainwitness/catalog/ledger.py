@@ -66,7 +66,7 @@ def session_audit(spark, d):
 
     rows = audit.audit_sessions(stage(_checks(spark, d), "checks"))
     return rows.select(
-        "session_id", "device_id", "device_label",
+        "session_id", *big("part"), "device_id", "device_label",
         *big("n_records", "first_seq", "last_seq", "n_signature_ok", "n_chain_ok", "n_links_broken"),
         "genesis_ok", *big("n_missing_in_db"), "missing_in_db", *big("n_bad"), "bad_seqs",
         *big("n_time_gaps"), F.array_join("problems", SEP).alias("problems"),
@@ -100,7 +100,7 @@ def seq_duplicates(spark, d):
 
 def compact_ranges(spark, d):
     key = ["l_orderkey"]
-    return ranges.range_text(ranges.runs(_lines(spark, d), key), key, "ranges")
+    return ranges.range_parts(ranges.runs(_lines(spark, d), key), key, "ranges")
 
 
 def find_by_hashes(spark, d):
@@ -203,7 +203,7 @@ ORACLES = {
     "signature_check": S.with_ledger("select conv_id, seq, signature_ok from chk"),
     "genesis_status": S.with_ledger("select session_id, arg_max(link_ok, seq) filter (seq = 0) as genesis_ok from chk group by 1"),
     "session_audit": S.with_ledger(f"""
-select session_id, device_id, device_label, n_records, first_seq, last_seq, n_signature_ok, n_chain_ok,
+select session_id, 0::bigint as part, device_id, device_label, n_records, first_seq, last_seq, n_signature_ok, n_chain_ok,
   n_links_broken, genesis_ok, n_missing_in_db, missing_in_db, n_bad, bad_seqs, n_time_gaps,
   {SESSION_PROBLEMS} as problems, '' as warnings, n_bad = 0 and n_missing_in_db = 0 as clean
 from ({AUDIT_SELECT}) a"""),
@@ -213,7 +213,8 @@ from ({AUDIT_SELECT}) a"""),
     "seq_gaps": f"select l_orderkey, prev + 1 as from_seq, seq - 1 as to_seq, seq - prev - 1 as n_missing from ({_GAPS}) g where seq > prev + 1",
     "missing_seqs": f"select l_orderkey, unnest(range(prev + 1, seq)) as seq from ({_GAPS}) g where seq > prev + 1",
     "seq_duplicates": "select l_orderkey, l_linenumber::bigint as seq, count(*) - 1 as n_repeats from lineitem group by 1, 2 having count(*) > 1",
-    "compact_ranges": f"select l_orderkey, string_agg(case when a = b then '#' || a else '#' || a || '–#' || b end, ', ' order by a) as ranges from ({_RUNS}) r group by 1",
+    "compact_ranges": f"""select l_orderkey, part, string_agg(case when a = b then '#' || a else '#' || a || '–#' || b end, ', ' order by a) as ranges
+from (select *, (row_number() over (partition by l_orderkey order by a) - 1) // {ranges.PART_RANGES} as part from ({_RUNS}) r) p group by 1, 2""",
     "find_by_hashes": S.with_ledger("select conv_id, seq, segment_hash from led where segment_hash in (select sha256(body) from files)", S.FILES, checks=False),
     "session_scan": S.with_ledger("select session_id, seq, id from led where k = 9", checks=False),
     "device_lookup": S.with_ledger("select id, device_id, 'device ' || (conv_id % 8) as device_label, true as has_key from led", checks=False),

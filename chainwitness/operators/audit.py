@@ -1,8 +1,8 @@
 """Record checks and session audits over whole ledgers.
 
 Every step is keyed by (session, seq) or (session, block of seq), never by session
-alone on raw rows, so one hot session is spread over many tasks. Copies of one
-sequence number are reduced by an aggregate before they meet.
+alone on raw rows, so one hot session is spread over many tasks. Full rows are
+shuffled once; between blocks one small row per block is carried.
 """
 
 from pyspark.sql import Window
@@ -12,7 +12,7 @@ from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
 from chainwitness.functions.ecdsa import signature_ok
 from chainwitness.operators.ordered import BEFORE, BLOCK, BLOCK_ROWS, block_of
-from chainwitness.operators.ranges import range_text, runs
+from chainwitness.operators.ranges import range_parts, runs
 
 SEQ_KEY = ["session_id", "seq"]
 
@@ -22,24 +22,17 @@ def texts(*pairs):
     return F.array_compact(F.array(*[F.when(cond, text) for cond, text in pairs]))
 
 
-def sequence_links(ledger, devices=None, block_rows=BLOCK_ROWS):
-    """One row per (session, seq): first copy, the record before it, the session key.
+def ordered_records(ledger, devices=None, block_rows=BLOCK_ROWS):
+    """Ledger rows with is_first, prev and session_device, the device of the session's first record.
 
-    Columns: session_id, seq, first_key, prev (seq, chain_hash, ended_at) and
-    session_device (of the session's first record); with ``devices`` also its key.
+    Rows of one sequence number stand in (created_at, id) order; only one of them is the
+    first, also among copies that agree in all columns. ``prev`` (seq, chain_hash, ended_at) is
+    the row before a first one. With ``devices``, the key of session_device is added.
     """
-    ends = ledger.groupBy(*SEQ_KEY).agg(
-        F.min(F.struct("created_at", "id")).alias("first_key"),
-        F.max(F.struct("created_at", "id", "chain_hash", "ended_at")).alias("last"),
-    )
-    ends = ends.withColumn(BLOCK, block_of(F.col("seq"), block_rows)).withColumn(
-        "_here", F.struct("seq", F.col("last.chain_hash"), F.col("last.ended_at"))
-    )
-    # from the ledger itself, so both aggregates run side by side
+    here = F.struct("seq", "chain_hash", "ended_at")
     position = F.struct("seq", "created_at", "id")
     blocks = ledger.groupBy("session_id", block_of(F.col("seq"), block_rows).alias(BLOCK)).agg(
-        F.max_by(F.struct("seq", "chain_hash", "ended_at"), position).alias("_tail"),
-        F.min_by("device_id", position).alias("_head"),
+        F.max_by(here, position).alias("_tail"), F.min_by("device_id", position).alias("_head")
     )
     across = Window.partitionBy("session_id").orderBy(BLOCK)
     blocks = blocks.select(
@@ -59,40 +52,43 @@ def sequence_links(ledger, devices=None, block_rows=BLOCK_ROWS):
             "session_device",
             "left",
         )
-    within = Window.partitionBy("session_id", BLOCK).orderBy("seq")
+    within = Window.partitionBy("session_id", BLOCK).orderBy("seq", "created_at", "id")
     return (
-        ends.withColumn("_near", F.lag("_here").over(within))
+        ledger.withColumn(BLOCK, block_of(F.col("seq"), block_rows))
+        .withColumn("_near", F.lag(here).over(within))
         .join(blocks, ["session_id", BLOCK], "left")
-        .withColumn("prev", F.coalesce("_near", "_carried"))
-        .drop(BLOCK, "_near", "_carried", "_here", "last")
+        .withColumn("is_first", F.coalesce(F.col("_near.seq") != F.col("seq"), F.lit(True)))
+        .withColumn("prev", F.when(F.col("is_first"), F.coalesce("_near", "_carried")))
+        .drop(BLOCK, "_near", "_carried")
     )
 
 
-def link_state(is_first):
-    """True or false where the link can be judged, null after a gap or a copy."""
+def link_state():
+    """True or false where the link can be judged, null after a gap or a copy; a missing hash is no match."""
     genesis = R.genesis_hash(F.col("session_id"))
-    adjacent = is_first & (F.col("prev.seq") == F.col("seq") - 1)
-    return F.when(F.col("seq") == 0, F.col("prev_chain_hash") == genesis).when(
-        adjacent, F.col("prev_chain_hash") == F.col("prev.chain_hash")
+    adjacent = F.col("is_first") & (F.col("prev.seq") == F.col("seq") - 1)
+    return F.when(F.col("seq") == 0, F.col("prev_chain_hash").eqNullSafe(genesis)).when(
+        adjacent, F.col("prev_chain_hash").eqNullSafe(F.col("prev.chain_hash"))
     )
 
 
-def check_links(ledger, block_rows=BLOCK_ROWS):
-    """Ledger rows with link_ok, repeated_seq and gap_ms (time since the record before)."""
-    links = sequence_links(ledger, None, block_rows).select(*SEQ_KEY, "prev", "first_key")
-    is_first = F.struct("created_at", "id") == F.col("first_key")
-    adjacent = is_first & (F.col("seq") != 0) & (F.col("prev.seq") == F.col("seq") - 1)
+def _linked(rows):
+    """Adds link_ok, repeated_seq and gap_ms (time since the record before)."""
+    adjacent = F.col("is_first") & (F.col("seq") != 0) & (F.col("prev.seq") == F.col("seq") - 1)
     return (
-        ledger.join(links, SEQ_KEY, "left")
-        .withColumn("link_ok", link_state(is_first))
-        .withColumn("repeated_seq", ~is_first)
+        rows.withColumn("link_ok", link_state())
+        .withColumn("repeated_seq", ~F.col("is_first"))
         .withColumn("gap_ms", F.when(adjacent, F.col("started_at") - F.col("prev.ended_at")))
-        .drop("prev", "first_key")
     )
 
 
+def check_links(ledger, block_rows=BLOCK_ROWS):
+    """Ledger rows with link_ok, repeated_seq and gap_ms (time since the record before)."""
+    return _linked(ordered_records(ledger, None, block_rows)).drop("prev", "is_first", "session_device")
+
+
 def check_records(
-    ledger, devices, protocol=V.DEFAULT_PROTOCOL, exact_coordinates=False,
+    ledger, devices, protocol=V.DEFAULT_PROTOCOL, exact_coordinates=True,
     block_rows=BLOCK_ROWS, verify_with=signature_ok, keep=(),
 ):
     """One row per ledger record with chain_ok, signature_ok, link_ok and problems.
@@ -106,23 +102,17 @@ def check_records(
         *[c for c in keep if c not in (
             "id", "device_id", "session_id", "seq", "created_at", "started_at", "ended_at",
             "prev_chain_hash", "chain_hash", "signature")],
-        (R.chain_hash(protocol, exact_coordinates) == F.col("chain_hash")).alias("chain_ok"),
+        R.chain_hash(protocol, exact_coordinates).eqNullSafe(F.col("chain_hash")).alias("chain_ok"),
     )
-    links = sequence_links(ledger, devices, block_rows)
-    is_first = F.struct("created_at", "id") == F.col("first_key")
-    adjacent = is_first & (F.col("seq") != 0) & (F.col("prev.seq") == F.col("seq") - 1)
     checked = (
-        slim.join(links, SEQ_KEY, "left")
+        _linked(ordered_records(slim, devices, block_rows))
         .withColumn("has_key", F.coalesce("has_key", F.lit(False)))
         .withColumn(
             "signature_ok", verify_with("kty", "crv", "x", "y", "chain_hash", "signature")
         )
-        .withColumn("link_ok", link_state(is_first))
-        .withColumn("repeated_seq", ~is_first)
-        .withColumn("gap_ms", F.when(adjacent, F.col("started_at") - F.col("prev.ended_at")))
         .withColumn(
             "n_missing_before",
-            F.when(is_first, F.greatest(F.col("seq") - F.col("prev.seq") - 1, F.lit(0)))
+            F.when(F.col("is_first"), F.greatest(F.col("seq") - F.col("prev.seq") - 1, F.lit(0)))
             .otherwise(0).cast("bigint"),
         )
         .withColumn("prev_seq", F.col("prev.seq"))
@@ -136,7 +126,7 @@ def check_records(
             (~F.col("link_ok"), F.lit(V.RECORD_BAD_LINK)),
             (F.col("repeated_seq"), F.lit(V.RECORD_REPEATED_SEQ)),
         ),
-    ).drop("prev", "first_key", "signature")
+    ).drop("prev", "is_first", "signature")
 
 
 def time_gaps(checks):
@@ -181,30 +171,38 @@ def session_counts(checks):
     )
 
 
-def audit_sessions(checks, block_rows=BLOCK_ROWS):
-    """One row per session: counters, range texts, problems and warnings.
-
-    Time-gap warnings are one row each in ``time_gaps``; here they are counted.
-    """
+def session_texts(checks, block_rows=BLOCK_ROWS):
+    """Ranges of missing and of failing numbers as text parts: (session_id, part, missing_in_db, bad_seqs)."""
     sid = ["session_id"]
     bad = checks.where(F.size("problems") > 0).select(*SEQ_KEY)
-    bad_text = range_text(runs(bad, sid, "seq", block_rows), sid, "bad_seqs")
-    missing_text = range_text(missing_ranges(checks), sid, "missing_in_db")
-    audit = (
-        session_counts(checks)
-        .join(missing_text, sid, "left")
-        .join(bad_text, sid, "left")
-        .withColumn("missing_in_db", F.coalesce("missing_in_db", F.lit("")))
-        .withColumn("bad_seqs", F.coalesce("bad_seqs", F.lit("")))
-    )
+    bad_parts = range_parts(runs(bad, sid, "seq", block_rows), sid, "bad_seqs", block_rows=block_rows)
+    missing = range_parts(missing_ranges(checks), sid, "missing_in_db", block_rows=block_rows)
+    return missing.join(bad_parts, ["session_id", "part"], "full")
+
+
+def judged(rows):
+    """Adds problems, warnings and clean to rows with counters and texts of a session."""
     first = F.col("first_seq")
-    return audit.withColumn(
+    rows = rows.withColumn("missing_in_db", F.coalesce("missing_in_db", F.lit(""))).withColumn(
+        "bad_seqs", F.coalesce("bad_seqs", F.lit(""))
+    )
+    return rows.withColumn(
         "problems",
         texts(
             (~F.col("has_key"), F.lit(V.SESSION_NO_KEY)),
-            (F.col("n_missing_in_db") > 0, F.format_string(V.SESSION_MISSING, "missing_in_db")),
-            (F.col("n_bad") > 0, F.format_string(V.SESSION_BAD, "n_bad", "bad_seqs")),
+            (F.col("missing_in_db") != "", F.format_string(V.SESSION_MISSING, "missing_in_db")),
+            (F.col("bad_seqs") != "", F.format_string(V.SESSION_BAD, "n_bad", "bad_seqs")),
         ),
     ).withColumn(
         "warnings", texts((first > 0, F.format_string(V.SESSION_HEAD_EXPIRED, first, first)))
-    ).withColumn("clean", (F.size("problems") == 0) & (F.col("n_bad") == 0))
+    ).withColumn("clean", F.col("has_key") & (F.col("n_missing_in_db") == 0) & (F.col("n_bad") == 0))
+
+
+def audit_sessions(checks, block_rows=BLOCK_ROWS):
+    """Counters of each session with its range texts, problems and warnings, a row per text part.
+
+    A session with few ranges is one row, part 0. Long texts go on in further parts, which
+    repeat the counters. Time-gap warnings are one row each in ``time_gaps``; here they are counted.
+    """
+    audit = session_counts(checks).join(session_texts(checks, block_rows), "session_id", "left")
+    return judged(audit.withColumn("part", F.coalesce("part", F.lit(0))))

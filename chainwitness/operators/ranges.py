@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chainwitness.operators.ordered import BLOCK_ROWS, block_of, last_known, running_count
 
 EXPAND_CHUNK = 10_000
-TEXT_RANGES = 10_000
+PART_RANGES = 1_000
 
 
 def gaps(df, keys, seq="seq", block_rows=BLOCK_ROWS):
@@ -58,27 +58,21 @@ def _as_text(first, last):
     )
 
 
-def range_text(ranges, keys, out, limit=TEXT_RANGES):
-    """Join ranges per key as ``#1–#3, #5``.
+def range_parts(ranges, keys, out, size=PART_RANGES, block_rows=BLOCK_ROWS):
+    """The ranges of each key as texts like ``#1–#3, #5``: rows (keys, part, out).
 
-    A key with more than ``limit`` ranges is never gathered into one row. Its text
-    names the first and last range and their number; the ranges themselves, which
-    are the input rows, stay the full account.
+    A part lists ``size`` consecutive ranges, the last one of a key what is left. Together
+    the parts hold all ranges, and no row gathers more than ``size`` of them.
     """
     keys = list(keys)
-    span = F.struct("from_seq", "to_seq")
-    # one key per ``limit`` ranges at most, which bounds the broadcast
-    long = F.broadcast(
-        ranges.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"), F.min(span).alias("_a"), F.max(span).alias("_b"))
-        .where(F.col("_n") > limit)
+    numbered = running_count(ranges, keys, ["from_seq"], "_n", block_of(F.col("from_seq"), block_rows))
+    part = F.floor((F.col("_n") - 1) / size).cast("bigint")
+    return numbered.groupBy(*keys, part.alias("part")).agg(
+        F.array_join(
+            F.transform(
+                F.array_sort(F.collect_list(F.struct("from_seq", "to_seq"))),
+                lambda r: _as_text(r["from_seq"], r["to_seq"]),
+            ),
+            ", ",
+        ).alias(out)
     )
-    item = lambda r: _as_text(r["from_seq"], r["to_seq"])
-    listed = ranges.join(long.select(*keys), keys, "left_anti").groupBy(*keys).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(span)), item), ", ").alias(out)
-    )
-    summed = long.select(
-        *keys,
-        F.format_string("%s, …, %s (%d ranges)", item(F.col("_a")), item(F.col("_b")), "_n").alias(out),
-    )
-    return listed.unionByName(summed)

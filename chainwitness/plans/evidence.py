@@ -12,10 +12,10 @@ from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
 from chainwitness.functions.ecdsa import signature_ok
 from chainwitness.operators.audit import (
-    SEQ_KEY, audit_sessions, check_records, texts,
+    SEQ_KEY, check_records, judged, session_counts, session_texts, texts,
 )
-from chainwitness.operators.ordered import BLOCK_ROWS, mark_first
-from chainwitness.operators.ranges import gaps, range_text
+from chainwitness.operators.ordered import BLOCK_ROWS
+from chainwitness.operators.ranges import gaps, range_parts
 from chainwitness.session import stage
 from chainwitness.sources.evidence import hashed
 from chainwitness.sources.ledger import find_by_hashes, find_sessions, one_record_per_hash
@@ -37,17 +37,21 @@ class Verification:
     block_rows: int = BLOCK_ROWS
 
     def sessions(self):
-        """Audit of each session in each submission that involves it."""
+        """Audit of each session in each submission that involves it, a row per part of its range texts."""
+        key = ["submission_id", "session_id"]
         coverage = evidence_coverage(self.files, self.gaps)
-        audits = audit_sessions(self.checks, self.block_rows)
-        missing = range_text(
-            self.gaps, ["submission_id", "session_id"], "missing_in_evidence"
-        )
-        joined = (
-            self.involved.join(audits, "session_id", "left")
-            .join(coverage, ["submission_id", "session_id"], "left")
-            .join(missing, ["submission_id", "session_id"], "left")
+        in_ledger = session_texts(self.checks, self.block_rows)
+        missing = range_parts(self.gaps, key, "missing_in_evidence", block_rows=self.block_rows)
+        parts = (
+            self.involved.select(*key, F.lit(0).cast("bigint").alias("part"))
+            .union(self.involved.join(in_ledger, "session_id").select(*key, "part"))
+            .union(missing.select(*key, "part"))
+            .distinct()
         )
+        joined = judged(
+            parts.join(session_counts(self.checks), "session_id", "left")
+            .join(in_ledger, ["session_id", "part"], "left")
+        ).join(coverage, key, "left").join(missing, [*key, "part"], "left")
         zero, none = F.lit(0), F.array().cast("array<string>")
         absent = F.col("n_records").isNull()
         for name in ("n_records", "n_signature_ok", "n_chain_ok", "n_links_broken",
@@ -122,11 +126,11 @@ def file_verdicts(matched, checks):
     )
     delay = F.when(by_hash, R.epoch_ms(field("created_at")) - field("ended_at"))
 
-    firsts = mark_first(
-        joined.where(by_hash).select("submission_id", "session_id", "seq", "ord"),
-        ["submission_id", "session_id", "seq"], ["ord"], "is_first",
-    ).select("submission_id", "ord", "is_first")
-    joined = joined.join(firsts, ["submission_id", "ord"], "left")
+    turn = F.struct("ord", "name", "actual_hash")
+    firsts = joined.where(by_hash).groupBy("submission_id", "session_id", "seq").agg(F.min(turn).alias("first_turn"))
+    joined = joined.join(firsts, ["submission_id", "session_id", "seq"], "left").withColumn(
+        "is_first", turn == F.col("first_turn")
+    )
     repeated = by_hash & ~F.col("is_first")
 
     status = (
@@ -245,7 +249,7 @@ def global_verdicts(files, involved, checks, missing, strict=False):
 
 def verify_evidence(
     files, ledger, devices, *, mutate=None, protocol=V.DEFAULT_PROTOCOL,
-    prefix=V.DEFAULT_FILE_PREFIX, exact_coordinates=False, verify_with=signature_ok,
+    prefix=V.DEFAULT_FILE_PREFIX, exact_coordinates=True, verify_with=signature_ok,
     strict=False, block_rows=BLOCK_ROWS, staged=stage,
 ):
     """Verify submissions: ``files`` has submission_id, ord, name and content.
@@ -280,14 +284,10 @@ def compare_variants(variants, ledger, devices, **options):
     ``variants`` has a text column ``variant`` beside the file columns; each
     (submission, variant) becomes a submission of its own.
     """
-    ids = variants.select("submission_id", "variant").distinct().withColumn(
-        "_id", F.xxhash64("submission_id", "variant")
-    )
-    keyed = variants.withColumn("_id", F.xxhash64("submission_id", "variant"))
-    files = keyed.drop("submission_id", "variant").withColumnRenamed("_id", "submission_id")
-    report = verify_evidence(files, ledger, devices, **options)
-    verdicts = report.verdicts.withColumnRenamed("submission_id", "_id")
-    return ids.join(verdicts, "_id").drop("_id")
+    files = variants.withColumn("submission_id", F.struct("submission_id", "variant")).drop("variant")
+    verdicts = verify_evidence(files, ledger, devices, **options).verdicts
+    rest = [c for c in verdicts.columns if c != "submission_id"]
+    return verdicts.select("submission_id.submission_id", "submission_id.variant", *rest)
 
 
 def report_documents(verification):
@@ -310,7 +310,7 @@ def report_documents(verification):
     sessions = verification.sessions().select(
         "submission_id", F.lit("session").alias("part"), F.lit(0).alias("ord"),
         F.to_json(
-            F.struct("session_id", "device_id", "n_records", "n_signature_ok", "n_chain_ok",
+            F.struct("session_id", "part", "device_id", "n_records", "n_signature_ok", "n_chain_ok",
                      "n_links_broken", "missing_in_db", "missing_in_evidence", "problems", "warnings")
         ).alias("document"),
     )

@@ -183,3 +183,31 @@ def test_manifest_statuses(spark, world):
 
 def test_signature_text_is_base64(world):
     assert len(base64.b64decode(world[0].first()["signature"])) == 64
+
+
+def test_copies_of_a_record_are_repeats_and_count_once(world):
+    ledger, devices = world
+    clean = ledger.where((F.col("session_id") == SESSIONS["clean"]) & F.col("seq").isin(0, 3))
+    twice = clean.unionByName(clean.where("seq = 3"))
+    checks = audit.check_records(twice, devices)
+    rows = checks.orderBy("seq", "repeated_seq").select("seq", "repeated_seq", "n_missing_before").collect()
+    assert [tuple(r) for r in rows] == [(0, False, 0), (3, False, 2), (3, True, 0)]
+    row = audit.audit_sessions(checks).first()
+    assert (row["part"], row["n_missing_in_db"], row["missing_in_db"], row["bad_seqs"]) == (0, 2, "#1–#2", "#3")
+
+
+def test_files_with_one_turn_are_not_multiplied(world, spark):
+    ledger, devices = world
+    files = spark.createDataFrame(
+        [("tie", 0, name("clean", 1), blob("clean", 1)), ("tie", 0, "copy.webm", blob("clean", 1))],
+        "submission_id string, ord int, name string, content binary")
+    rows = evidence.verify_evidence(files, ledger, devices).files.orderBy("name").collect()
+    assert [(r["name"], r["status"]) for r in rows] == [(name("clean", 1), "AUTHENTIC"), ("copy.webm", "DUPLICATE")]
+
+
+def test_a_missing_hash_breaks_the_link(world):
+    ledger, devices = world
+    clean = ledger.where(F.col("session_id") == SESSIONS["clean"]).withColumn(
+        "prev_chain_hash", F.when(F.col("seq") != 2, F.col("prev_chain_hash")))
+    bad = {r["seq"]: (r["chain_ok"], r["link_ok"]) for r in audit.check_records(clean, devices).collect()}
+    assert bad[2] == (False, False) and bad[1] == (True, True)

@@ -54,7 +54,7 @@ def test_gaps_runs_and_text(spark):
     numbers = {"a": [1, 2, 3, 5], "b": [4], "c": [0, 10, 10, 11, 40]}
     df = spark.createDataFrame([(k, v) for k, vs in numbers.items() for v in vs], "key string, seq bigint")
     for size in (1, 3, 1000):
-        text = ranges.range_text(ranges.runs(df, ["key"], block_rows=size), ["key"], "t")
+        text = ranges.range_parts(ranges.runs(df, ["key"], block_rows=size), ["key"], "t", block_rows=size)
         assert {r["key"]: r["t"] for r in text.collect()} == {"a": "#1–#3, #5", "b": "#4", "c": "#0, #10–#11, #40"}
         gaps = ranges.gaps(df, ["key"], block_rows=size)
         missing = ranges.expand(gaps, ["key"], chunk=4)
@@ -66,10 +66,13 @@ def test_gaps_runs_and_text(spark):
         }
 
 
-def test_long_texts_are_summed_up(spark):
-    df = spark.createDataFrame([("a", i) for i in (1, 2, 4, 6, 8)] + [("b", 1), ("b", 3)], "key string, seq bigint")
-    text = ranges.range_text(ranges.runs(df, ["key"]), ["key"], "t", limit=2)
-    assert {r["key"]: r["t"] for r in text.collect()} == {"a": "#1–#2, …, #8 (4 ranges)", "b": "#1, #3"}
+def test_parts_of_a_long_text_hold_all_ranges(spark):
+    df = spark.range(25_000).select(F.lit("a").alias("key"), (F.col("id") * 2).alias("seq"))
+    df = df.union(spark.createDataFrame([("b", 1), ("b", 3)], df.schema))
+    parts = ranges.range_parts(ranges.runs(df, ["key"]), ["key"], "t", size=1000).orderBy("key", "part").collect()
+    assert [r["part"] for r in parts] == [*range(25), 0]
+    assert all(r["t"].count("#") <= 1000 for r in parts)
+    assert ", ".join(r["t"] for r in parts if r["key"] == "a") == ", ".join(f"#{2 * i}" for i in range(25_000))
 
 
 def test_a_far_off_number_stays_one_range(spark):
