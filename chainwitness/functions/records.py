@@ -14,36 +14,33 @@ def _whole(col):
 
 
 def _coordinate(col, exact):
-    if exact:
-        # exact binary value, half away from zero; needs no pre-rounded input
-        text = coordinate_text(col)
-    else:
-        text = F.format_string("%.6f", col)
+    text = coordinate_text(col) if exact else F.format_string("%.6f", col)
     usable = col.isNotNull() & ~F.isnan(col)
     return F.when(usable, text).otherwise("")
 
 
 def coordinate_text(col):
-    """Six decimals of the exact binary value of a double, for any input.
+    """Six decimals of the exact binary value of a double, half away from zero.
 
-    Coordinates written by a recorder carry at most six decimals, where the much
-    cheaper ``format_string`` gives the same text.
+    The magnitude is cut into two whole numbers of 38 bits, which doubles hold exactly, and
+    rounded in decimal arithmetic. Values beyond a million are no coordinates and are
+    formatted from their shortest decimal text.
     """
-    import pandas as pd
-
-    @F.pandas_udf("string")
-    def exact(values: pd.Series) -> pd.Series:
-        from decimal import ROUND_HALF_UP, Decimal
-
-        step = Decimal("0.000001")
-        return values.map(
-            lambda v: None if pd.isna(v) else str(Decimal(v).quantize(step, ROUND_HALF_UP))
-        )
-
-    return exact(col)
+    size = F.abs(col.cast("double"))
+    high = F.floor(size * F.lit(2.0**38))
+    low = F.floor((size * F.lit(2.0**38) - high) * F.lit(2.0**38))
+    whole = lambda n, digits=38: F.lit(str(n)).cast(f"decimal({digits},0)")
+    units = high.cast("decimal(20,0)") * whole(2**38, 12) + low.cast("decimal(12,0)")
+    doubled = units.cast("decimal(30,0)") * whole(10**6, 7) + whole(2**75)
+    millionths = F.call_function("div", doubled, whole(2**76, 23))
+    text = F.concat(
+        F.when(col < 0, "-").otherwise(""), F.floor(millionths / 10**6).cast("string"), F.lit("."),
+        F.lpad((millionths % 10**6).cast("string"), 6, "0"),
+    )
+    return F.when(size < 10**6, text).otherwise(F.format_string("%.6f", col))
 
 
-def canonical_record(protocol=V.DEFAULT_PROTOCOL, exact_coordinates=False, prefix=""):
+def canonical_record(protocol=V.DEFAULT_PROTOCOL, exact_coordinates=True, prefix=""):
     """The serialised record that the chain hash covers; nulls become empty fields."""
 
     def c(name):
@@ -52,8 +49,8 @@ def canonical_record(protocol=V.DEFAULT_PROTOCOL, exact_coordinates=False, prefi
     return F.concat_ws(
         "|",
         F.lit(protocol),
-        c("device_id"),
-        c("session_id"),
+        F.coalesce(c("device_id"), F.lit("")),
+        F.coalesce(c("session_id"), F.lit("")),
         _whole(c("seq")),
         _whole(c("started_at")),
         _whole(c("ended_at")),
@@ -64,12 +61,12 @@ def canonical_record(protocol=V.DEFAULT_PROTOCOL, exact_coordinates=False, prefi
         _whole(c("height")),
         _coordinate(c("latitude"), exact_coordinates),
         _coordinate(c("longitude"), exact_coordinates),
-        c("segment_hash"),
-        c("prev_chain_hash"),
+        F.coalesce(c("segment_hash"), F.lit("")),
+        F.coalesce(c("prev_chain_hash"), F.lit("")),
     )
 
 
-def chain_hash(protocol=V.DEFAULT_PROTOCOL, exact_coordinates=False):
+def chain_hash(protocol=V.DEFAULT_PROTOCOL, exact_coordinates=True):
     return F.sha2(canonical_record(protocol, exact_coordinates), 256)
 
 
