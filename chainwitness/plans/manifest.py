@@ -2,7 +2,7 @@
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
@@ -58,11 +58,14 @@ def registered_hashes(candidates, checks):
 
 def verify_manifests(
     manifests, ledger, devices, *, list_id="list_id", body="body",
-    protocol=V.DEFAULT_PROTOCOL, exact_coordinates=False, verify_with=signature_ok,
-    block_rows=BLOCK_ROWS, staged=stage,
+    protocol=V.DEFAULT_PROTOCOL, exact_coordinates=True, verify_with=signature_ok,
+    block_rows=BLOCK_ROWS, staged=stage, max_hashes=None,
 ):
-    """Check any number of hash lists in one job; video bytes are never looked at."""
-    parsed = parse(manifests, list_id, body)
+    """Check any number of hash lists in one job; video bytes are never looked at.
+
+    ``max_hashes`` rejects longer lists; without it a list may have any length.
+    """
+    parsed = parse(manifests, list_id, body, max_hashes)
     listed = staged(entries(parsed, list_id))
     candidates = staged(find_by_hashes(ledger, listed, "hash"))
     rows = staged(find_sessions(ledger, candidates))
@@ -70,17 +73,16 @@ def verify_manifests(
         check_records(rows, devices, protocol, exact_coordinates, block_rows, verify_with)
     )
     known = registered_hashes(candidates, checks)
-    # an accepted list has at most 2,000 entries, which bounds each window group
-    turn = F.row_number().over(Window.partitionBy(list_id, "hash").orderBy("line"))
+    first = listed.groupBy(list_id, "hash").agg(F.min("line").alias("_first"))
     status = (
-        F.when(F.col("_turn") > 1, "DUPLICATE")
+        F.when(F.col("line") > F.col("_first"), "DUPLICATE")
         .when(F.col("valid").isNull(), "NOT_FOUND")
         .when(F.col("valid"), "REGISTERED")
         .otherwise("INVALID_RECORD")
     )
-    shown = F.col("_turn") == 1
+    shown = F.col("line") == F.col("_first")
     matched = (
-        listed.withColumn("_turn", turn)
+        listed.join(first, [list_id, "hash"])
         .join(known, "hash", "left")
         .select(
             list_id, "line", "hash", status.alias("status"),

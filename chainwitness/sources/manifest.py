@@ -5,30 +5,34 @@ from pyspark.sql import functions as F
 from chainwitness import fixed_values as V
 
 
-def read_manifests(spark, path):
+def read_manifests(spark, path, max_bytes=None):
     """Text files of a folder as (path, size, body, accepted).
 
-    Only ``.txt`` files of at most 1,000,000 bytes are accepted; the bodies of the
-    others are not read into rows.
+    Accepted are ``.txt`` files, with ``max_bytes`` only those of at most that size. The
+    condition on size reaches the reader, which does not open refused files; a second scan
+    without contents lists them.
     """
     files = spark.read.format("binaryFile").load(path)
-    accepted = F.col("path").rlike(r"(?i)\.txt$") & (F.col("length") <= V.MANIFEST_MAX_BYTES)
-    body = F.when(accepted, F.decode(F.when(accepted, F.col("content")), "UTF-8"))
-    return files.select(
-        "path", F.col("length").alias("size"), body.alias("body"), accepted.alias("accepted")
-    )
+    accepted = F.lower(F.substring_index("path", ".", -1)) == "txt"
+    read = files.where(accepted)
+    if max_bytes is not None:
+        accepted = accepted & (F.col("length") <= max_bytes)
+        read = read.where(F.col("length") <= max_bytes)
+    size = F.col("length").alias("size")
+    taken = read.select("path", size, F.decode("content", "UTF-8").alias("body"), F.lit(True).alias("accepted"))
+    refused = files.where(~accepted).select("path", size, F.lit(None).cast("string").alias("body"), F.lit(False).alias("accepted"))
+    return taken.union(refused)
 
 
 def _trimmed(line):
     return F.regexp_replace(line, f"^[{V.BLANKS}]+|[{V.BLANKS}]+$", "")
 
 
-def parse(manifests, list_id="list_id", body="body"):
+def parse(manifests, list_id="list_id", body="body", max_hashes=None):
     """One row per list: its entries (line, hash) or the error that rejects it.
 
-    A list is one text of at most 1 MB, so it is parsed inside its row and no
-    shuffle is needed. The first failing line, or the entry after the 2,000th,
-    rejects the whole list.
+    A list is one text and is parsed inside its row, so no shuffle is needed. The first
+    failing line, or with ``max_hashes`` one entry more than that, rejects the whole list.
     """
     text = F.regexp_replace(body, r"^\x{FEFF}", "")
     lines = F.transform(
@@ -50,8 +54,9 @@ def parse(manifests, list_id="list_id", body="body"):
     before = F.when(F.col("_bad").isNull(), F.size("_lines")).otherwise(
         F.size(F.filter("_lines", lambda x: x["line"] < F.col("_bad")))
     )
+    too_long = F.lit(False) if max_hashes is None else before > max_hashes
     error = (
-        F.when(before > V.MANIFEST_MAX_HASHES, V.MANIFEST_TOO_LONG)
+        F.when(too_long, V.MANIFEST_TOO_LONG)
         .when(F.col("_bad").isNotNull(), F.format_string(V.MANIFEST_BAD_LINE, "_bad"))
         .when(F.size("_lines") == 0, V.MANIFEST_EMPTY)
     )

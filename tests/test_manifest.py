@@ -5,8 +5,8 @@ G = "cd" * 32
 BOM, NBSP = chr(0xFEFF), chr(0xA0)
 
 
-def parse(spark, body):
-    row = manifest.parse(spark.createDataFrame([(1, body)], "list_id int, body string")).first()
+def parse(spark, body, max_hashes=None):
+    row = manifest.parse(spark.createDataFrame([(1, body)], "list_id int, body string"), max_hashes=max_hashes).first()
     return row["error"], [tuple(e) for e in row["entries"] or []]
 
 
@@ -20,16 +20,17 @@ def test_rejected_lists(spark):
     assert parse(spark, "")[0] == parse(spark, " \n\n")[0] == "Add at least one SHA-256 hash."
     assert parse(spark, f"{H}\nxyz")[0] == "Line 2 must start with a 64-character SHA-256 hash."
     assert parse(spark, H + "x")[0].startswith("Line 1 ")
-    assert parse(spark, "\n".join([H] * 2000))[0] is None
-    assert parse(spark, "\n".join([H] * 2001))[0] == "Use no more than 2,000 hashes per list."
+    assert parse(spark, "\n".join([H] * 2001))[0] is None
+    assert parse(spark, "\n".join([H] * 2000), 2000)[0] is None
+    assert parse(spark, "\n".join([H] * 2001), 2000)[0] == "Use no more than 2,000 hashes per list."
     # whichever failure comes first rejects the list
-    assert parse(spark, "\n".join([H] * 2001 + ["bad"]))[0] == "Use no more than 2,000 hashes per list."
-    assert parse(spark, "\n".join(["bad"] + [H] * 2001))[0].startswith("Line 1 ")
+    assert parse(spark, "\n".join([H] * 2001 + ["bad"]), 2000)[0] == "Use no more than 2,000 hashes per list."
+    assert parse(spark, "\n".join(["bad"] + [H] * 2001), 2000)[0].startswith("Line 1 ")
 
 
 def test_files(spark, tmp_path):
     (tmp_path / "a.txt").write_text(H)
     (tmp_path / "b.TXT").write_text("x" * 1_000_001)
     (tmp_path / "c.csv").write_text(H)
-    rows = {r["path"][-5:]: (r["accepted"], r["body"]) for r in manifest.read_manifests(spark, str(tmp_path)).collect()}
+    rows = {r["path"][-5:]: (r["accepted"], r["body"]) for r in manifest.read_manifests(spark, str(tmp_path), 1_000_000).collect()}
     assert rows == {"a.txt": (True, H), "b.TXT": (False, None), "c.csv": (False, None)}
