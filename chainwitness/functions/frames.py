@@ -104,9 +104,21 @@ def _nearest(grey, width, height, n):
     return np.asarray(grey, np.float64)[(ys[:, None] * width + xs[None, :])]
 
 
-def _pack(bits):
-    value = int("".join("1" if b else "0" for b in bits), 2)
-    return value - 2**64 if value >= 2**63 else value
+def _packed(rows):
+    """Each row of bits as a signed 64-bit integer, the first bit highest."""
+    bits = np.zeros((len(rows), 64), bool)
+    bits[:, 64 - rows.shape[1]:] = rows
+    return np.packbits(bits, axis=1).view(">i8").ravel()
+
+
+def _hashed_frames(grey, width, height, samples, bits_of):
+    """Hashes of all frames of a batch at once; null where a frame is missing or empty."""
+    usable = [g is not None and len(g) > 0 and w > 0 and h > 0 for g, w, h in zip(grey, width, height)]
+    out = pd.Series(pd.NA, index=grey.index, dtype="Int64")
+    if any(usable):
+        images = np.stack([_nearest(g, int(w), int(h), samples) for g, w, h, ok in zip(grey, width, height, usable) if ok])
+        out[usable] = _packed(bits_of(images))
+    return out
 
 
 _DCT = np.cos(np.pi / 32 * (np.arange(32)[None, :] + 0.5) * np.arange(8)[:, None])
@@ -116,24 +128,24 @@ _DCT = np.cos(np.pi / 32 * (np.arange(32)[None, :] + 0.5) * np.arange(8)[:, None
 def dct_hash(grey: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """63 bits: the 8x8 lowest DCT-II terms but the constant one, against their mean."""
 
-    def one(g, w, h):
-        terms = (_DCT @ _nearest(g, w, h, 32) @ _DCT.T).ravel()[1:]
-        return _pack(terms >= terms.sum() / DCT_BITS)
+    def bits(images):
+        terms = (_DCT @ images @ _DCT.T).reshape(len(images), -1)[:, 1:]
+        return terms >= terms.sum(axis=1, keepdims=True) / DCT_BITS
 
-    return pd.Series([one(*v) for v in zip(grey, width, height)], dtype="int64")
+    return _hashed_frames(grey, width, height, 32, bits)
 
 
 @F.pandas_udf(T.LongType())
 def wavelet_hash(grey: pd.Series, width: pd.Series, height: pd.Series) -> pd.Series:
     """64 bits: 64x64 samples halved three times by rounded 2x2 means, against the mean."""
 
-    def one(g, w, h):
-        img = _nearest(g, w, h, 64)
+    def bits(images):
         for n in (32, 16, 8):
-            img = np.floor(img.reshape(n, 2, n, 2).sum(axis=(1, 3)) / 4 + 0.5)
-        return _pack((img >= img.sum() / HASH_BITS).ravel())
+            images = np.floor(images.reshape(-1, n, 2, n, 2).sum(axis=(2, 4)) / 4 + 0.5)
+        flat = images.reshape(len(images), -1)
+        return flat >= flat.sum(axis=1, keepdims=True) / HASH_BITS
 
-    return pd.Series([one(*v) for v in zip(grey, width, height)], dtype="int64")
+    return _hashed_frames(grey, width, height, 64, bits)
 
 
 def hash_hex(bits, n_bits=HASH_BITS):
