@@ -18,8 +18,12 @@ from pyspark.sql import types as T
 from chainwitness.llm.common import arrow_rows, small_slices
 from chainwitness.llm.pieces import ENCODE_BYTES, PieceEncoder, is_latin, pre_tokens
 
+KEPT = 250_000  # pre-tokens, and pairs of tokens, that one process keeps
+FOLLOWS = 250_000
 ENCODED = "_id bigint, _hash int, _ids array<int>"
 DECODED = "_id bigint, _hash int, _ids array<int>, _decoded string"
+_ENCODED = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_ids", pa.list_(pa.int32()))])
+_DECODED = _ENCODED.append(pa.field("_decoded", pa.string()))
 
 
 def byte_letters():
@@ -29,20 +33,31 @@ def byte_letters():
     return {b: chr(b if b in printable else next(rest)) for b in range(256)}
 
 
+def token_bytes(spec):
+    """The bytes of every ordinary token of a tokenizer file."""
+    to_byte = {letter: byte for byte, letter in byte_letters().items()}
+    return {t: bytes(map(to_byte.__getitem__, t)) for t in spec["model"]["vocab"] if all(c in to_byte for c in t)}
+
+
+@lru_cache(maxsize=1)
+def bytes_of_ids(source):
+    """The bytes of every id, special tokens included."""
+    spec = json.loads(source)
+    found = {spec["model"]["vocab"][t]: b for t, b in token_bytes(spec).items()}
+    found.update({a["id"]: a["content"].encode() for a in spec.get("added_tokens", ())})
+    return found
+
+
 class Vocabulary:
     """Tokens and merges of a tokenizer file, and which token may follow which."""
 
     def __init__(self, source):
         spec = json.loads(source)
-        to_byte = {letter: byte for byte, letter in byte_letters().items()}
-        model = spec["model"]
-        as_bytes = {t: bytes(map(to_byte.__getitem__, t)) for t in model["vocab"] if all(c in to_byte for c in t)}
+        model, as_bytes = spec["model"], token_bytes(spec)
         self.special = {a["content"]: a["id"] for a in spec.get("added_tokens", ())}
         if any(c.isspace() for content in self.special for c in content):
             raise ValueError("special tokens with white space are not supported")
         self.id_of = {as_bytes[t]: i for t, i in model["vocab"].items() if t in as_bytes and t not in self.special}
-        self.bytes_of = {i: b for b, i in self.id_of.items()}
-        self.bytes_of.update({i: content.encode() for content, i in self.special.items()})
         self.longest = max(map(len, self.id_of))
         self.rank, self.made_of = {}, {}
         for rank, merge in enumerate(model["merges"]):
@@ -80,7 +95,7 @@ class Vocabulary:
                     crossing = rank.get((a, b))
                     if crossing is not None and crossing < a_gone and crossing <= b_gone:
                         known = False
-            if len(self._follows) > 1_000_000:
+            if len(self._follows) > FOLLOWS:
                 self._follows.clear()
             self._follows[key] = known
         return known
@@ -129,10 +144,10 @@ class Vocabulary:
         return out
 
 
-@lru_cache(maxsize=2)
-def _tools(source):
+@lru_cache(maxsize=1)
+def _encoder(source):
     vocabulary = Vocabulary(source)
-    return vocabulary, PieceEncoder(vocabulary.parts, vocabulary.encode_sorted)
+    return PieceEncoder(vocabulary.parts, vocabulary.encode_sorted, KEPT)
 
 
 def _source(spark, tokenizer_file):
@@ -152,42 +167,53 @@ def encode(docs: DataFrame, tokenizer_file) -> DataFrame:
     source = _source(docs.sparkSession, tokenizer_file)
 
     def run(batches):
-        _, encoder = _tools(source.value)
-        schema = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_ids", pa.list_(pa.int32()))])
+        encoder = _encoder(source.value)
         for batch in small_slices(batches, max_bytes=ENCODE_BYTES):
-            ids, counts = encoder.encode(batch.column("_text").to_pylist())
-            offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(ids))
-            yield arrow_rows(schema, batch.column("_id"), batch.column("_hash"), lists)
+            ids, counts = encoder.encode(batch.column("_text"))
+            lists = pa.ListArray.from_arrays(np.append(0, np.cumsum(counts)).astype(np.int32), pa.array(ids))
+            yield arrow_rows(_ENCODED, batch.column("_id"), batch.column("_hash"), lists)
 
     return docs.select("_id", "_hash", "_text").mapInArrow(run, ENCODED)
 
 
+def _text(look, ids):
+    return b"".join(map(look, ids.tolist())).decode("utf-8", "replace")
+
+
 def decode(encoded: DataFrame, tokenizer_file) -> DataFrame:
     """Adds ``_decoded``, the text that the ids stand for, special tokens included.
 
     Bytes that are not UTF-8, as cut id sequences may give, become U+FFFD. Null ids give "".
     """
-    source = _source(encoded.sparkSession, tokenizer_file)
+    source, none = _source(encoded.sparkSession, tokenizer_file), np.zeros(0, np.int32)
 
     def run(batches):
-        vocabulary, _ = _tools(source.value)
-        look = vocabulary.bytes_of.__getitem__
-        schema = pa.schema([
-            ("_id", pa.int64()), ("_hash", pa.int32()), ("_ids", pa.list_(pa.int32())), ("_decoded", pa.string())
-        ])
+        look = bytes_of_ids(source.value).__getitem__
         for whole in batches:
-            for at in range(0, whole.num_rows, 1000):
-                batch = whole.slice(at, 1000)
-                texts = [
-                    b"".join(map(look, (x.values.to_numpy().tolist() if x.is_valid else ()))).decode("utf-8", "replace")
-                    for x in batch.column("_ids")
-                ]
-                yield arrow_rows(schema, batch.column("_id"), batch.column("_hash"), batch.column("_ids"), texts)
+            for at in range(0, whole.num_rows, 500):
+                batch = whole.slice(at, 500)
+                texts = [_text(look, x.values.to_numpy() if x.is_valid else none) for x in batch.column("_ids")]
+                yield arrow_rows(_DECODED, *(batch.column(c) for c in ("_id", "_hash", "_ids")), texts)
 
     return encoded.select("_id", "_hash", "_ids").mapInArrow(run, DECODED)
 
 
+def round_trip(docs: DataFrame, tokenizer_file) -> DataFrame:
+    """``encode`` and ``decode`` in one pass of one process: ``_id``, ``_hash``, ``_ids``, ``_decoded``."""
+    source = _source(docs.sparkSession, tokenizer_file)
+
+    def run(batches):
+        encoder, look = _encoder(source.value), bytes_of_ids(source.value).__getitem__
+        for batch in small_slices(batches, max_bytes=ENCODE_BYTES):
+            ids, counts = encoder.encode(batch.column("_text"))
+            stops = np.cumsum(counts)
+            texts = [_text(look, ids[stop - n:stop]) for stop, n in zip(stops.tolist(), counts.tolist())]
+            lists = pa.ListArray.from_arrays(np.append(0, stops).astype(np.int32), pa.array(ids))
+            yield arrow_rows(_DECODED, batch.column("_id"), batch.column("_hash"), lists, texts)
+
+    return docs.select("_id", "_hash", "_text").mapInArrow(run, DECODED)
+
+
 def digests(decoded: DataFrame) -> DataFrame:
     """Number of ids and hashes of ids and decoded text of each document."""
     return decoded.select(

@@ -1,26 +1,25 @@
 """Byte-level BPE of whole texts through the distinct pieces they consist of.
 
-A single space between two characters that are no white space always opens a token of the
-pre-tokenizer, so a text may be cut there and the pieces encoded apart. Pieces repeat: each
-distinct piece, and in it each distinct pre-token, is encoded once per batch, and recent
-ones are kept for the batches that follow in the same Python process, up to fixed numbers.
+No token spans the place where a word ends and white space begins, so texts may be cut there
+and the pieces, each a word with the white space before it, encoded apart. Pieces repeat:
+numpy finds the distinct ones of a batch by name, and each of them, and in it each distinct
+pre-token, is encoded once. Recent ones are kept for the batches that follow in the same
+Python process, up to fixed numbers.
 """
 
-import re
-
 import numpy as np
 import regex
 
+from chainwitness.llm.words import Words, byte_names
+
 # Fixed value: the pattern by which byte-level BPE cuts texts into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-KEPT_PIECES = 300_000
-KEPT_TOKENS = 900_000
-ENCODE_BYTES = 500_000  # texts encoded at once
+KEPT_PIECES = 150_000
+KEPT_TOKENS = 500_000
+ENCODE_BYTES = 2_000_000  # texts encoded at once
 LONG = 64  # longer pieces are not kept
 
-_CUT = re.compile(r"(?<=\S) (?=\S)")
 _PRE_TOKENS = regex.compile(PATTERN)
-_UNSAFE = ""  # stands for ids where a text must not be cut
 _ENDINGS = ".,;:!?|)]}"
 
 
@@ -32,24 +31,21 @@ def is_latin(segment):
 def pre_tokens(segment):
     """Pre-tokens of a segment of Latin script; most are one word, perhaps with marks after it."""
     word = segment.rstrip(_ENDINGS)
+    if word[:1] == "\n" and word[1:].isalpha():
+        return ["\n", word[1:]] if len(word) == len(segment) else ["\n", word[1:], segment[len(word):]]
     if (word[1:] if word[:1] == " " else word).isalpha():
         return [word] if len(word) == len(segment) else [word, segment[len(word):]]
     return _PRE_TOKENS.findall(segment)
 
 
-def touches_space(piece):
-    """Whether cutting at the space beside this piece is not safe."""
-    return not piece or piece[0].isspace() or piece[-1].isspace()
-
-
 class PieceEncoder:
     """Encodes texts; ``parts`` cuts a piece, ``encode_many`` encodes a list of distinct parts.
 
     Ids are little-endian 32-bit integers in ``bytes``. A part may be given as ``int``: an id.
     """
 
-    def __init__(self, parts, encode_many):
-        self.parts, self.encode_many = parts, encode_many
+    def __init__(self, parts, encode_many, kept=KEPT_TOKENS):
+        self.parts, self.encode_many, self.kept = parts, encode_many, kept
         self.inner, self.tokens = {}, {}
 
     def _add_tokens(self, cut_up):
@@ -64,7 +60,7 @@ class PieceEncoder:
         return [t for t in new if len(t) > LONG]
 
     def _encode_parts(self, cut_up):
-        if len(self.tokens) > KEPT_TOKENS:
+        if len(self.tokens) > self.kept:
             self.tokens.clear()
         long, tokens = self._add_tokens(cut_up), self.tokens
         found = [b"".join([tokens[t] for t in parts]) for parts in cut_up]
@@ -72,40 +68,45 @@ class PieceEncoder:
             del tokens[token]
         return found
 
-    def _learn(self, store, pieces, lead):
-        """Fill ``store``; a piece beside which the text must not be cut gets _UNSAFE."""
-        safe = [p for p in pieces if not touches_space(p)]
-        store.update(dict.fromkeys(pieces, _UNSAFE))
-        store.update(zip(safe, self._encode_parts([self.parts(lead + p) for p in safe])))
-
-    def _encode_odd(self, text):
-        """A text with white space beside white space: cut only where a lone space stands."""
-        head, *rest = _CUT.split(text)
-        return b"".join(self._encode_parts([self.parts(head), *(self.parts(" " + p) for p in rest)]))
-
-    def encode(self, texts):
-        """Ids of all texts in one array, and the number of ids of each text."""
-        if len(self.inner) > KEPT_PIECES:
-            self.inner.clear()
-        store = self.inner
-        lists = [t.split(" ") if t else [] for t in texts]
-        found = [list(map(store.get, pieces)) for pieces in lists]
-        missing = [[i for i, ids in enumerate(f) if ids is None] if None in f else () for f in found]
-        new = {p[i] for p, m in zip(lists, missing) for i in m if i}
-        self._learn(store, new, " ")
-        heads = {p[0] for p in lists if p}
-        first = {}
-        self._learn(first, heads, "")
-        out = []
-        for text, pieces, ids, places in zip(texts, lists, found, missing):
-            for i in places:
-                if i:
-                    ids[i] = store[pieces[i]]
-            if pieces:
-                ids[0] = first[pieces[0]]
-            out.append(self._encode_odd(text) if _UNSAFE in ids else b"".join(ids))
-        for piece in new:
-            if len(piece) > LONG:
-                del store[piece]
-        counts = np.array([len(ids) // 4 for ids in out], np.int64)
-        return np.frombuffer(b"".join(out), "<i4"), counts
+    def _cuts(self, column, whole):
+        """Begins and ends of the pieces of all texts, and the text of each; ``whole`` texts are one piece."""
+        words = Words(column, named=False)
+        ends = words.ends[~np.isin(words.text_of(), whole)] if len(whole) else words.ends
+        marks = np.zeros(len(words.data) + 1, bool)
+        marks[ends] = marks[words.offsets] = True
+        cuts = np.flatnonzero(marks)
+        return words, cuts[:-1], cuts[1:], np.searchsorted(words.offsets, cuts[:-1], side="right") - 1
+
+    def encode(self, column):
+        """Ids of all texts of a string column in one array, and the number of ids of each text.
+
+        A piece that ends with white space beyond ASCII is no safe place to cut; its text, which
+        is rare, is encoded as one piece.
+        """
+        store, whole = self.inner, np.zeros(0, np.int64)
+        if len(store) > KEPT_PIECES:
+            store.clear()
+        while True:
+            words, begins, ends, text = self._cuts(column, whole)
+            data = words.data.tobytes()
+            _, index, inverse = np.unique(byte_names(words.data, begins, ends), return_index=True, return_inverse=True)
+            keys = [data[b:e] for b, e in zip(begins[index].tolist(), ends[index].tolist())]
+            found = list(map(store.get, keys))
+            new = [i for i, ids in enumerate(found) if ids is None]
+            pieces = [keys[i].decode() for i in new]
+            unsafe = np.array([p[-1].isspace() and p[-1] > "~" for p in pieces], bool)
+            if not unsafe.any():
+                break
+            odd = np.isin(inverse, np.array(new, np.int64)[unsafe]) & ~np.isin(ends, words.offsets)
+            if not odd.any():  # at the end of a text nothing is cut
+                break
+            whole = np.union1d(whole, text[odd])
+        for i, ids, once in zip(new, self._encode_parts([self.parts(p) for p in pieces]), unsafe):
+            found[i] = ids
+            if len(keys[i]) <= LONG and not once:
+                store[keys[i]] = ids
+        pool, sizes = np.frombuffer(b"".join(found), "<i4"), np.array([len(x) // 4 for x in found], np.int64)
+        places, counts = np.cumsum(sizes) - sizes, sizes[inverse]
+        stops = np.cumsum(counts)
+        ids = pool[np.repeat(places[inverse] - stops + counts, counts) + np.arange(int(counts.sum()))]
+        return ids, np.bincount(text, counts, len(words.offsets) - 1).astype(np.int64)

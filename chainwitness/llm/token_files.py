@@ -22,8 +22,9 @@ from chainwitness.session import new_dir
 
 SEQUENCE = 2048
 ROWS_PER_BATCH = 256
-SHARD_ROWS = 16_384
+SHARD_ROWS = 4_096
 _MANY = 500
+_KEPT = 1_200_000
 
 
 @lru_cache(maxsize=2)
@@ -45,7 +46,7 @@ def _encoder(source):
             for found in library.encode_batch_fast(tokens[at:at + _MANY], add_special_tokens=False):
                 yield np.array(found.ids, "<i4").tobytes()
 
-    return PieceEncoder(parts, encode_many)
+    return PieceEncoder(parts, encode_many, _KEPT)
 
 
 def _id_type(source, end_id):
@@ -128,7 +129,7 @@ def write(docs: DataFrame, tokenizer_file, end_id, folder=None, sequence=SEQUENC
             if writer is None:
                 writer = _Writer(folder, shard, context.taskAttemptId(), sequence, id_type)
                 first = batch.column("_id")[0].as_py()
-            ids, counts = encoder.encode(batch.column("_text").to_pylist())
+            ids, counts = encoder.encode(batch.column("_text"))
             stops = np.cumsum(counts)
             ids = np.insert(ids, stops, end_id)
             writer.add(batch.column("_id"), ids, counts + 1)

@@ -62,6 +62,18 @@ def buffers(column):
     return offsets - offsets[0], data
 
 
+def byte_names(data, starts, ends, lower=False):
+    """Names of the spans [start, end) of bytes, in order and without overlap, about CHUNK bytes at a time."""
+    values, names, done = _LOWERED if lower else _VALUES, np.empty(len(starts), np.uint64), 0
+    while done < len(starts):
+        begin = starts[done]
+        last = max(done + 1, int(np.searchsorted(ends, begin + CHUNK, side="right")))
+        piece = values[data[begin:ends[last - 1]]]
+        names[done:last] = span_names(piece, starts[done:last] - begin, ends[done:last] - begin)
+        done = last
+    return names
+
+
 class Words:
     """Words of a column of texts.
 
@@ -69,7 +81,7 @@ class Words:
     ``starts`` and ``ends`` are byte places in ``data``.
     """
 
-    def __init__(self, column, lower=False):
+    def __init__(self, column, lower=False, named=True):
         self.offsets, self.data = buffers(column)
         data, n = self.data, len(self.data)
         inside = ~_SPACE[data]
@@ -81,18 +93,8 @@ class Words:
             closes[:-1] &= ~inside[1:] | edge[1:n]
         self.starts, self.ends = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.starts, self.offsets)
-        self.names = self._names(_LOWERED if lower else _VALUES)
-
-    def _names(self, values):
-        names = np.empty(len(self.starts), np.uint64)
-        done = 0
-        while done < len(self.starts):  # whole words, about CHUNK bytes at a time
-            begin = self.starts[done]
-            last = max(done + 1, int(np.searchsorted(self.ends, begin + CHUNK, side="right")))
-            piece = values[self.data[begin:self.ends[last - 1]]]
-            names[done:last] = span_names(piece, self.starts[done:last] - begin, self.ends[done:last] - begin)
-            done = last
-        return names
+        if named:
+            self.names = byte_names(data, self.starts, self.ends, lower)
 
     def counts(self):
         return np.diff(self.first)
