@@ -1,5 +1,7 @@
 """Helpers that the operators of this folder share."""
 
+import time
+
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
@@ -21,10 +23,13 @@ def stage(df: DataFrame, name) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, and let go of its shuffle files.
 
     Spark removes the files of a shuffle once the driver has collected the plan that
-    made it, so one collection here keeps the steps of a long query from adding up on disk.
+    made it, so collecting here keeps the steps of a long query from adding up on disk. Plans
+    have finalizers, hence the second collection.
     """
-    staged = _stage(df, name)
-    df.sparkSession.sparkContext._jvm.System.gc()
+    staged, system = _stage(df, name), df.sparkSession.sparkContext._jvm.System
+    system.gc()
+    time.sleep(0.2)
+    system.gc()
     return staged
 
 

@@ -106,9 +106,9 @@ def _spans(column, row):
 
 
 def _candidates(docs, window):
-    """Name (two words) and place of each window that no symbol of its own rules out."""
+    """Name (96 bits) and place of each window that no symbol of its own rules out."""
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("name", pa.int64()), ("check", pa.int64()), ("low", pa.int32())
+        ("_id", pa.int64()), ("_hash", pa.int32()), ("name", pa.int64()), ("check", pa.int32()), ("low", pa.int32())
     ])
 
     def run(batches):
@@ -124,11 +124,11 @@ def _candidates(docs, window):
             yield arrow_rows(
                 schema, batch.column("_id").take(rows), batch.column("_hash").take(rows),
                 pa.array(span_names(words.names, at, at + window).view(np.int64)),
-                pa.array(span_names(mixed(words.names), at, at + window).view(np.int64)),
+                (span_names(mixed(words.names), at, at + window) >> np.uint64(32)).astype(np.uint32).view(np.int32),
                 (at - words.first[text]).astype(np.int32),
             )
 
-    return docs.mapInArrow(run, "_id bigint, _hash int, name bigint, check bigint, low int")
+    return docs.mapInArrow(run, "_id bigint, _hash int, name bigint, check int, low int")
 
 
 def _kept(docs, window):
@@ -175,7 +175,7 @@ def remove_repeats(docs: DataFrame, window=WINDOW, rounds=ROUNDS) -> DataFrame:
     combine before the shuffle, and only what occurs once returns to its text.
     """
     docs = docs.select("_id", "_hash", "_text")
-    once = stage(_only_once(_named_symbols(docs, window, rounds), "name", *_KEY, "low", "high"), "symbols")
+    once = _only_once(_named_symbols(docs, window, rounds), "name", *_KEY, "low", "high")
     spans = once.groupBy(_KEY).agg(F.collect_list(F.struct("low", "high")).alias("_once"))
     spans = stage(spans, "spans")
 
@@ -185,6 +185,6 @@ def remove_repeats(docs: DataFrame, window=WINDOW, rounds=ROUNDS) -> DataFrame:
         return left.join(right, left["_id"].eqNullSafe(right["i"]) & (left["_hash"] == right["h"]), "left").drop("i", "h")
 
     windows = _candidates(with_spans(docs, spans), window)
-    single = stage(_only_once(windows.withColumn("key", F.struct("name", "check")), "key", *_KEY, "low"), "windows")
-    alone = single.groupBy(_KEY).agg(F.collect_list("low").alias("_alone"))
+    single = _only_once(windows.withColumn("key", F.struct("name", "check")), "key", *_KEY, "low")
+    alone = stage(single.groupBy(_KEY).agg(F.collect_list("low").alias("_alone")), "windows")
     return _kept(with_spans(with_spans(docs, spans), alone), window)
