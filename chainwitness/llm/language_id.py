@@ -152,13 +152,15 @@ def automaton(codes):
                     state = link[state]
                 link[target] = link[new] = copy
         last = new
-    table = np.full((len(steps), _WIDTH), 1, np.int32)
+    lone = len(steps)  # the state behind a class that the sample does not have
+    table = np.full((lone + 1, _WIDTH), 2 * lone * _WIDTH + 1, np.int32)
     for code, target in steps[0].items():
         table[:, code] = 2 * target * _WIDTH + 1
+    table[0] -= 1  # the first phrase is there already
     for state, own in enumerate(steps):
         for code, target in own.items():
             table[state, code] = 2 * target * _WIDTH
-    table[:, -1] = 2 * _WIDTH * np.arange(len(steps))
+    table[:, -1] = 2 * _WIDTH * np.arange(lone + 1)
     return table.ravel()
 
 

@@ -139,7 +139,8 @@ def scan(docs: DataFrame) -> DataFrame:
     """Licences found in whole texts: ``_id``, ``_hash``, ``license`` and ``n_found``, how often.
 
     ``docs`` comes from ``common.identified``. Sentences end at a line feed, or at . ! ? before white
-    space; they are compared in lower case by letters and digits alone. A rule matches sentences
+    space, so one wrapped over lines is not known; they are compared in lower case by letters and
+    digits alone. A rule matches sentences
     that follow each other directly. Texts without a licence, null and empty ones give no row; rows
     that repeat id and text are one document. Sentences are rows of their own, so long texts
     are no heavy task; only those of the known table, which is small and fixed, are gathered.
