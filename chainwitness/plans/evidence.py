@@ -16,7 +16,7 @@ from chainwitness.operators.audit import (
 )
 from chainwitness.operators.ordered import BLOCK_ROWS
 from chainwitness.operators.ranges import gaps, range_parts
-from chainwitness.session import stage
+from chainwitness.session import release, stage
 from chainwitness.sources.evidence import hashed
 from chainwitness.sources.ledger import find_by_hashes, find_sessions, one_record_per_hash
 
@@ -35,6 +35,11 @@ class Verification:
     gaps: DataFrame
     verdicts: DataFrame
     block_rows: int = BLOCK_ROWS
+    staged: tuple = ()
+
+    def release(self):
+        """Delete the tables staged for this run; its results can no longer be computed."""
+        release(*self.staged)
 
     def sessions(self):
         """Audit of each session in each submission that involves it, a row per part of its range texts."""
@@ -260,7 +265,7 @@ def verify_evidence(
     """
     matched = staged(match_by_hash(hashed(files, prefix), ledger))
     involved = involved_sessions(matched)
-    rows = staged(find_sessions(ledger, involved))
+    kept = rows = staged(find_sessions(ledger, involved))
     if mutate is not None:
         rows = rows.transform(mutate)
     checks = staged(
@@ -274,7 +279,7 @@ def verify_evidence(
     return Verification(
         files=verdicts, checks=checks, involved=involved, gaps=missing,
         verdicts=global_verdicts(verdicts, involved, checks, missing, strict),
-        block_rows=block_rows,
+        block_rows=block_rows, staged=(matched, kept, checks, verdicts) if staged is stage else (),
     )
 
 

@@ -9,7 +9,7 @@ from chainwitness import fixed_values as V
 from chainwitness.functions.ecdsa import signature_ok
 from chainwitness.operators.audit import SEQ_KEY, audit_sessions, check_records
 from chainwitness.operators.ordered import BLOCK_ROWS
-from chainwitness.session import stage
+from chainwitness.session import release, stage
 from chainwitness.sources.ledger import find_by_hashes, find_sessions
 from chainwitness.sources.manifest import entries, parse
 
@@ -22,6 +22,11 @@ class ManifestReport:
     entries: DataFrame
     checks: DataFrame
     block_rows: int = BLOCK_ROWS
+    staged: tuple = ()
+
+    def release(self):
+        """Delete the tables staged for this run; its results can no longer be computed."""
+        release(*self.staged)
 
     def sessions(self):
         """Audit of every session that holds a listed hash."""
@@ -91,7 +96,8 @@ def verify_manifests(
         )
     )
     errors = parsed.where(F.col("error").isNotNull()).select(list_id, "error")
-    return ManifestReport(errors=errors, entries=matched, checks=checks, block_rows=block_rows)
+    kept = (listed, candidates, rows, checks) if staged is stage else ()
+    return ManifestReport(errors=errors, entries=matched, checks=checks, block_rows=block_rows, staged=kept)
 
 
 def manifest_counts(matched, list_id="list_id"):

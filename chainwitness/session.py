@@ -78,6 +78,18 @@ def stage(df: DataFrame, name="stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(*frames):
+    """Delete the staged tables that these DataFrames read; they and what builds on them end with it."""
+    for df in frames:
+        spark, root = df.sparkSession, shared_dir(df.sparkSession)
+        jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+        root = jvm.org.apache.hadoop.fs.Path(root).toUri().getPath()
+        for folder in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+            path = jvm.org.apache.hadoop.fs.Path(folder)
+            if path.toUri().getPath().startswith(root + "/"):
+                path.getFileSystem(conf).delete(path, True)
+
+
 def spread(df: DataFrame):
     """Use all cores for costly per-row work on a scan with few splits.
 

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import os
 import random
 
 import pytest
@@ -211,3 +212,13 @@ def test_a_missing_hash_breaks_the_link(world):
         "prev_chain_hash", F.when(F.col("seq") != 2, F.col("prev_chain_hash")))
     bad = {r["seq"]: (r["chain_ok"], r["link_ok"]) for r in audit.check_records(clean, devices).collect()}
     assert bad[2] == (False, False) and bad[1] == (True, True)
+
+
+def test_staged_tables_can_be_released(world, spark, tmp_path):
+    ledger, devices = world
+    files = spark.createDataFrame([("one", 0, name("clean", 1), blob("clean", 1))], "submission_id string, ord int, name string, content binary")
+    report = evidence.verify_evidence(files, ledger, devices)
+    folders = {f.rsplit("/", 1)[0].removeprefix("file://") for df in report.staged for f in df.inputFiles()}
+    assert len(folders) == 4 and all(os.path.isdir(f) for f in folders)
+    report.release()
+    assert not any(os.path.isdir(f) for f in folders)
