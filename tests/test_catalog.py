@@ -9,6 +9,7 @@ import pytest
 from plan_checks import assert_scales
 
 import __spark_entry__ as entry
+from chainwitness.catalog import registry
 
 SMALL = "/root/testdata/sf0.001"
 # one verification stands for those that differ only in the columns they show
@@ -34,7 +35,7 @@ def rows(columns, data):
     return sorted((tuple(plain(r[i]) for i in order) for r in data), key=repr)
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.oracle_sql()) - SKIPPED))
+@pytest.mark.parametrize("name", sorted(set(registry.ORACLES) - SKIPPED))
 def test_query_equals_sql(spark, duck, name):
     df = entry.queries()[name](spark, SMALL)
     if not name.startswith("stream_"):
@@ -45,7 +46,7 @@ def test_query_equals_sql(spark, duck, name):
     assert rows(df.columns, df.collect()) == rows(columns, cursor.fetchall())
 
 
-@pytest.mark.parametrize("name", sorted(set(entry.queries()) - set(entry.oracle_sql())))
+@pytest.mark.parametrize("name", sorted(set(registry.QUERIES) - set(registry.ORACLES)))
 def test_query_without_sql_runs(spark, name):
     df = entry.queries()[name](spark, SMALL)
     assert df.count() > 0 and len(set(df.columns)) == len(df.columns)
