@@ -57,7 +57,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token ids of every document, and whether they decode to its text."""
     ship_package(spark)
     texts = docs.withColumn("text", F.coalesce("text", F.lit("")))
-    decoded = bpe.decode(bpe.encode(identified(texts), tokenizer_file()), tokenizer_file())
+    decoded = bpe.round_trip(identified(texts), tokenizer_file())
     return decoded.select(
         F.col("_id").alias("doc_id"), F.size("_ids").cast("long").alias("n_tokens"), F.col("_ids").alias("ids"),
         (F.hash("_decoded") == F.col("_hash")).alias("round_trip"),
