@@ -20,8 +20,7 @@ def op1_token_files(spark, sf_dir):
 
 
 def op5_bpe_codec(spark, sf_dir):
-    encoded = bpe.encode(identified(table(spark, sf_dir, "documents")), tokenizer_file())
-    return bpe.digests(bpe.decode(encoded, tokenizer_file()))
+    return bpe.digests(bpe.round_trip(identified(table(spark, sf_dir, "documents")), tokenizer_file()))
 
 
 def op2_license_rules(spark, sf_dir):
