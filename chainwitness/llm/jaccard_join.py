@@ -5,13 +5,13 @@ Of two sets with the wanted similarity, the first fifth of each shares a shingle
 with the same set are one node; nodes with the same size and the same first fifth are one
 group, and only groups are joined. A group whose shingles meet others is expanded, and the
 sets themselves are compared. As only classes of linked documents are wanted, pairs inside
-one class need no comparison: rounds first compare each node with one leader of its shingles,
-and what is then left between different classes is compared in full.
+one class need no comparison: each node is first compared with the leaders that most of its
+shingles have, and what is then left between different classes is compared in full.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainwitness.llm.common import arrow_rows, small_slices, stage
@@ -21,7 +21,7 @@ from chainwitness.llm.words import Words, mixed, span_names
 SHINGLE = 5
 PERCENT = 80
 SKETCH_BITS = 18
-ROUNDS = 2
+LEADERS = 2
 
 
 def _sets(column, shingle):
@@ -95,8 +95,15 @@ def _prefixes(docs, shingle, percent):
     )
 
 
-def _verified(edges, texts, shingle, percent):
-    """The edges (``a``, ``b``) whose two sets are as similar as wanted."""
+def _verified(edges, docs, rows, shingle, percent):
+    """The edges (``a``, ``b``) whose two sets are as similar as wanted; only their texts are fetched."""
+    edges = stage(edges, "pairs")
+    ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "row")
+    wanted = rows.select("row", "_id", "_hash").join(ends, "row")
+    wanted = wanted.select(F.col("row").alias("node"), F.col("_id").alias("i"), F.col("_hash").alias("h"))
+    texts = stage(
+        docs.join(wanted, docs["_id"].eqNullSafe(wanted["i"]) & (docs["_hash"] == wanted["h"])).select("node", "_text"), "texts"
+    )
     first = texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b"))
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
@@ -147,33 +154,40 @@ def linked(docs: DataFrame, shingle=SHINGLE, percent=PERCENT) -> DataFrame:
         sets.join(meeting.withColumn("meets", F.lit(True)), "group", "left").where("members > 1 or meets")
         .select("node", "group", "n"), "nodes",
     )
-    wanted = nodes.select(F.col("node").alias("row"), "node").join(rows.select("row", "_id", "_hash"), "row")
-    wanted = wanted.select("node", F.col("_id").alias("i"), F.col("_hash").alias("h"))
-    texts = stage(
-        docs.join(wanted, docs["_id"].eqNullSafe(wanted["i"]) & (docs["_hash"] == wanted["h"])).select("node", "_text"), "texts"
-    )
-    # each node against the leader that most of its shingles point to, and against its group's leader
-    votes = tokens.where("group <> lead").groupBy("group", "lead").agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("group").agg(F.max_by("lead", F.struct("votes", "lead")).alias("b"))
-    edges = nodes.join(best, "group").select(F.col("node").alias("a"), "b").union(
+    edges = _led(tokens, percent).join(nodes, "group").select(F.col("node").alias("a"), F.col("lead").alias("b")).union(
         nodes.where("node <> group").select(F.col("node").alias("a"), F.col("group").alias("b"))
     )
-    links = stage(_verified(edges, texts, shingle, percent), "links")
-    for _ in range(ROUNDS - 1):
-        classed = _classes(nodes, links)
-        edges = _other_leaders(tokens, classed)
-        links = stage(links.union(_verified(edges, texts, shingle, percent)), "links")
-    classed = _classes(nodes, links)
-    links = stage(links.union(_verified(_open_pairs(tokens, classed, percent), texts, shingle, percent)), "links")
+    links = stage(_verified(edges, docs, rows, shingle, percent), "links")
+    edges = _open_pairs(tokens, _classes(nodes, links), percent)
+    links = stage(links.union(_verified(edges, docs, rows, shingle, percent)), "links")
     return _result(rows, sets, links)
 
 
-def _other_leaders(tokens, classed):
-    """For each node one leader of another class that most of its shingles point to."""
-    lead = classed.select(F.col("node").alias("lead"), F.col("class").alias("lead_class"))
-    used = tokens.join(classed.select("node", "group", "class"), "group").join(lead, "lead").where("class <> lead_class")
-    votes = used.groupBy("node", "lead").agg(F.count(F.lit(1)).alias("votes"))
-    return votes.groupBy("node").agg(F.max_by("lead", F.struct("votes", "lead")).alias("b")).select(F.col("node").alias("a"), "b")
+def _may_link(met, percent):
+    """Those pairs (``n_a``, ``n_b``, ``common``, ``last_a``, ``last_b``) whose sets can be similar enough.
+
+    In the common order, what both sets share beyond the counted shingles follows the last of those.
+    """
+    least, most = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    rest = F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
+    return met.where((100 * least >= percent * most) & (F.col("common") + rest >= _overlap(percent)))
+
+
+def _overlap(percent):
+    return F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
+
+
+def _led(tokens, percent):
+    """``group`` and ``lead``: each group with the leaders of most of its shingles, if they may be linked."""
+    votes = tokens.where("group <> lead").groupBy("group", "lead").agg(F.count(F.lit(1)).alias("votes"))
+    order = Window.partitionBy("group").orderBy(F.desc("votes"), "lead")
+    best = votes.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= LEADERS).select("group", "lead")
+    own = tokens.select("token", "group", F.col("n").alias("n_a"), F.col("place").alias("place_a"))
+    other = tokens.select("token", F.col("group").alias("lead"), F.col("n").alias("n_b"), F.col("place").alias("place_b"))
+    met = best.join(own, "group").join(other, ["token", "lead"]).groupBy("group", "lead", "n_a", "n_b").agg(
+        F.count(F.lit(1)).alias("common"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b")
+    )
+    return _may_link(met, percent).select("group", "lead")
 
 
 def _open_pairs(tokens, classed, percent):
@@ -192,17 +206,14 @@ def _open_pairs(tokens, classed, percent):
         "token", *(F.col(c).alias(c + "_b") for c in ("node", "n", "place", "class")),
         F.explode(F.array(band - 2, band - 1, band, band + 1)).alias("band"),
     )
-    overlap = F.ceil(percent * (F.col("n_a") + F.col("n_b")) / (100 + percent))
-    pairs = left.join(right, ["token", "band"]).where(
-        F.col("class_a") != F.col("class_b")
-    ).where((F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b"))))
-    pairs = pairs.where(100 * F.col("n_a") >= percent * F.col("n_b"))
-    pairs = pairs.where(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= overlap)
+    pairs = left.join(right, ["token", "band"]).where("class_a <> class_b").where(
+        (F.col("n_a") < F.col("n_b")) | ((F.col("n_a") == F.col("n_b")) & (F.col("node_a") < F.col("node_b")))
+    ).where(100 * F.col("n_a") >= percent * F.col("n_b"))
+    pairs = pairs.where(F.least(F.col("n_a") - F.col("place_a"), F.col("n_b") - F.col("place_b")) >= _overlap(percent))
     met = pairs.groupBy("node_a", "node_b", "n_a", "n_b").agg(
         F.count(F.lit(1)).alias("common"), F.max("place_a").alias("last_a"), F.max("place_b").alias("last_b")
     )
-    rest = F.least(F.col("n_a") - F.col("last_a"), F.col("n_b") - F.col("last_b")) - 1
-    across = met.where(F.col("common") + rest >= overlap).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
+    across = _may_link(met, percent).select(F.col("node_a").alias("a"), F.col("node_b").alias("b"))
     split = classed.groupBy("group").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low <> high")
     inside = classed.join(split.select("group"), "group")
     one, two = inside.select("group", F.col("node").alias("a"), F.col("class").alias("ca")), inside.select(
