@@ -191,6 +191,7 @@ def read(folder, shards: DataFrame) -> DataFrame:
                         sums.append(total)
                     yield arrow_rows(schema, docs.column("doc_id"), starts + base, counts, sums)
 
-    return placed.repartition("shard").mapInArrow(
+    files = max(1, shards.count())  # named, so that Spark does not put these few short rows into one task
+    return placed.repartition(files, "shard").mapInArrow(
         run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
     )
