@@ -18,8 +18,9 @@ from pyspark.sql import types as T
 from chainwitness.llm.common import arrow_rows, small_slices
 from chainwitness.llm.pieces import ENCODE_BYTES, PieceEncoder, is_latin, pre_tokens
 
-KEPT = 250_000  # pre-tokens, and pairs of tokens, that one process keeps
-FOLLOWS = 250_000
+KEPT = 450_000  # pre-tokens, pairs of tokens, and pieces that one process keeps
+FOLLOWS = 450_000
+PIECES = 250_000
 ENCODED = "_id bigint, _hash int, _ids array<int>"
 DECODED = "_id bigint, _hash int, _ids array<int>, _decoded string"
 _ENCODED = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_ids", pa.list_(pa.int32()))])
@@ -147,7 +148,7 @@ class Vocabulary:
 @lru_cache(maxsize=1)
 def _encoder(source):
     vocabulary = Vocabulary(source)
-    return PieceEncoder(vocabulary.parts, vocabulary.encode_sorted, KEPT)
+    return PieceEncoder(vocabulary.parts, vocabulary.encode_sorted, KEPT, PIECES)
 
 
 def _source(spark, tokenizer_file):

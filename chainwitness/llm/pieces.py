@@ -44,8 +44,8 @@ class PieceEncoder:
     Ids are little-endian 32-bit integers in ``bytes``. A part may be given as ``int``: an id.
     """
 
-    def __init__(self, parts, encode_many, kept=KEPT_TOKENS):
-        self.parts, self.encode_many, self.kept = parts, encode_many, kept
+    def __init__(self, parts, encode_many, kept=KEPT_TOKENS, kept_pieces=KEPT_PIECES):
+        self.parts, self.encode_many, self.kept, self.kept_pieces = parts, encode_many, kept, kept_pieces
         self.inner, self.tokens = {}, {}
 
     def _add_tokens(self, cut_up):
@@ -84,7 +84,7 @@ class PieceEncoder:
         is rare, is encoded as one piece.
         """
         store, whole = self.inner, np.zeros(0, np.int64)
-        if len(store) > KEPT_PIECES:
+        if len(store) > self.kept_pieces:
             store.clear()
         while True:
             words, begins, ends, text = self._cuts(column, whole)
