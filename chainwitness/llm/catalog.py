@@ -24,7 +24,7 @@ def op5_bpe_codec(spark, sf_dir):
 
 
 def op2_license_rules(spark, sf_dir):
-    found = license_rules.scan(identified(table(spark, sf_dir, "documents")))
+    found = license_rules.scan(identified(table(spark, sf_dir, "documents")), wrapped=True)
     return found.select(F.col("_id").alias("doc_id"), "license", "n_found")
 
 

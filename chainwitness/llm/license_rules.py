@@ -135,7 +135,63 @@ def _sequence(names):
     return "".join(f"<{p}>" for part in parts for p in part.split(" "))
 
 
-def scan(docs: DataFrame) -> DataFrame:
+#: Marks in texts that are prepared for ``wrapped``: a sentence ends here; one may end here; around a known sentence.
+_END, _MAYBE, _FOUND = "\x01", "\x02", "\x03"
+_LABEL = r"\(?(?:[0-9]{1,3}|[a-z]|[ivx]{1,4})"
+
+
+def _folded(sentence):
+    """A known sentence as it stands between marks, which are taken for spaces."""
+    import regex
+
+    return regex.sub(_OTHER, " ", sentence.lower()).strip()
+
+
+def _known_pattern():
+    """Any known sentence between marks or ends of the text, longest first, its words parted by spaces or line ends."""
+    import regex
+
+    parts = {}
+    for _, sentence in SENTENCES:
+        ends = regex.sub(_ENDS, f"\\1{_END}", sentence.lower())
+        words = regex.sub(r"[^\p{L}\p{N}\x01]+", " ", ends).replace(f" {_END}", _END).strip().strip(_END)
+        parts[_folded(sentence)] = words.replace(" ", r"[ \x02]").replace(_END, r"[ \x01\x02]")
+    return r"(?<![^\x01\x02])(?:" + "|".join(parts[k] for k in sorted(parts, key=lambda k: (-len(k), k))) + r")(?![^\x01\x02])"
+
+
+def _unwrapped(docs):
+    """``left`` of documents with known sentences, in which line ends and list marks part nothing."""
+    text = F.regexp_replace(F.lower("_text"), "[\\x01-\\x03]", " ")
+    for pattern, mark in (
+        (r"\r\n?", "\n"),
+        (r"(?:^|(?<=\n))[^\p{L}\p{N}\n]*" + _LABEL + r"\)[ \t]+", ""),  # list marks: 1) (a)
+        (r"[.!?]\s+", _END),
+        (r"\n[^\p{L}\p{N}]*\n", _FOUND),
+        (r":\s+|\n", _MAYBE),
+        (r"[^\p{L}\p{N}\x01-\x03]+", " "),
+        (r"\x03 ?(?=https? )", _MAYBE),  # an address set apart belongs to its sentence
+        (r"\x03", _END),
+        (r" ?([\x01\x02]) ?", "$1"),
+        (r"(?<![\x01\x02])\x02*\x01[\x01\x02]*", _END),
+        (r"\x02+", _MAYBE),
+    ):
+        text = F.regexp_replace(text, pattern, mark)
+    marked = F.regexp_replace(F.trim(text), _known_pattern(), f"{_FOUND}$0{_FOUND}")
+    rows = docs.select("_id", "_hash", marked.alias("marked")).where(F.contains("marked", F.lit(_FOUND)))
+    pieces = F.split("marked", _FOUND)  # what stands before, a known sentence, what stands between, ...
+    folded = F.trim(F.regexp_replace(F.get("_pieces", 2 * F.col("_n") + 1), "[\\x01\\x02]", " "))
+    between = F.regexp_replace(F.get("_pieces", 2 * F.col("_n")), r"(?<![^\x01\x02])" + _LABEL + r"(?![^\x01\x02])", "")
+    apart = (F.col("_n") > 0) & (F.length(F.translate(between, " \x01\x02", "")) > 0)
+    names = F.create_map(*(F.lit(x) for name, sentence in SENTENCES for x in (_folded(sentence), name)))
+    found = rows.distinct().withColumn("_pieces", pieces).select(
+        "_id", "_hash", "_pieces", F.explode(F.sequence(F.lit(0), F.floor((F.size("_pieces") - 3) / 2).cast("int"))).alias("_n")
+    ).select("_id", "_hash", "_n", F.concat(F.when(apart, "<>").otherwise(""), F.lit("<"), names[folded], F.lit(">")).alias("part"))
+    return found.groupBy("_id", "_hash").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("_n", "part"))), lambda x: x["part"]), "").alias("left")
+    )
+
+
+def scan(docs: DataFrame, wrapped=False) -> DataFrame:
     """Licences found in whole texts: ``_id``, ``_hash``, ``license`` and ``n_found``, how often.
 
     ``docs`` comes from ``common.identified``. Sentences end at a line feed, or at . ! ? before white
@@ -144,7 +200,14 @@ def scan(docs: DataFrame) -> DataFrame:
     that follow each other directly. Texts without a licence, null and empty ones give no row; rows
     that repeat id and text are one document. Sentences are rows of their own, so long texts
     are no heavy task; only those of the known table, which is small and fixed, are gathered.
+
+    With ``wrapped`` a sentence may go over line ends, with or without comment marks, as licences
+    stand in files: blank lines and . ! ? before white space end it, a colon or a line end may.
+    Blank lines and list marks (1. 2) (a) *) between sentences do not part them. What is found without it is
+    found with it too.
     """
+    if wrapped:
+        return _matched(_unwrapped(docs), lambda names: "".join(f"<{n}>" for n in names))
     known = docs.sparkSession.createDataFrame(sorted(_known().items()), "sentence string, name string")
     cut = F.split(F.regexp_replace("_text", _ENDS, "$1\n"), "\n")
     sentences = docs.select("_id", "_hash", F.posexplode(cut).alias("place", "sentence")).withColumn(
@@ -159,9 +222,14 @@ def scan(docs: DataFrame) -> DataFrame:
     )
     start = F.struct(F.lit("").alias("text"), F.lit(-1).alias("last"))
     left = F.aggregate("names", start, step)["text"]
-    rows, counts = found.select("_id", "_hash", left.alias("left")), {}
+    return _matched(found.select("_id", "_hash", left.alias("left")), _sequence)
+
+
+def _matched(rows, sequence):
+    """How often each licence's rules match the sequence text ``left``."""
+    counts = {}
     for number, (license_name, names) in enumerate(RULES):
-        pattern = _sequence(names)
+        pattern = sequence(names)
         gone = F.replace(F.col("left"), F.lit(pattern), F.lit("<>"))
         n = ((F.length("left") - F.length(gone)) / (len(pattern) - 2)).cast("int")
         rows = rows.select("_id", "_hash", gone.alias("left"), *counts, n.alias(f"_{number}"))

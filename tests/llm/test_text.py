@@ -41,6 +41,83 @@ def test_every_rule_matches_its_own_sentences(documents):
     assert _licences(documents, rows) == [(n, name, 1) for n, (name, _) in enumerate(license_rules.RULES)]
 
 
+def test_wrapped_licence_texts(documents):
+    mit = """MIT License
+
+Copyright (c) 2020 Someone
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL
+"""
+    bsd = """Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+"""
+    names = """
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+"""
+    apache = """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+See the License for the specific language governing permissions and
+limitations under the License.
+"""
+    gpl = """This program is free software: you can redistribute it and/or modify
+it under the terms of the GNU General Public License as published by
+the Free Software Foundation, either version 3 of the License, or
+(at your option) any later version.
+
+This program is distributed in the hope that it will be useful,
+but WITHOUT ANY WARRANTY; without even the implied warranty of
+MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the
+GNU General Public License for more details.
+"""
+    mpl = "This Source Code Form is subject to the terms of the Mozilla Public License, v.\n2.0. If a copy of the MPL was not distributed with" \
+          " this file, You can\nobtain one at\nhttp://mozilla.org/MPL/2.0/."
+    marked = lambda text, mark: "".join(f"{mark}{line}".rstrip() + "\n" for line in text.split("\n"))
+    sentence = dict(reversed(license_rules.SENTENCES))
+    rows = [
+        (1, mit), (2, bsd), (3, bsd + names), (4, apache), (5, gpl), (6, mpl), (7, "/*\n" + marked(apache, " * ") + " */"), (8, marked(bsd + names, "# ")),
+        (9, marked(mit, "// ").replace("\n", "\r\n")), (10, bsd.replace("1. ", "(a) ").replace("2. ", "b) ")), (11, "Licensed under the MIT License\nand so on"),
+        (12, "All rights.\nReserved. All rights\n\nreserved."), (13, sentence["bsd_grant"] + "\n\nanother sentence\n\n" + sentence["bsd_source"]),
+        (14, mit + bsd + mit), (15, None), (16, ""), (17, "Licensed under the GNU General Public License, version\n2."), (18, "\n" * 50_000 + mit + " \n" * 50_000),
+    ]
+    found = license_rules.scan(identified(documents(rows + rows[:1])), wrapped=True).collect()
+    assert sorted((r["_id"], r["license"], r["n_found"]) for r in found) == [
+        (1, "MIT", 1), (2, "BSD-2-Clause", 1), (3, "BSD-3-Clause", 1), (4, "Apache-2.0", 1), (5, "GPL-3.0-or-later", 1), (6, "MPL-2.0", 1),
+        (7, "Apache-2.0", 1), (8, "BSD-3-Clause", 1), (9, "MIT", 1), (10, "BSD-2-Clause", 1), (11, "MIT", 1), (13, "BSD", 1),
+        (14, "BSD-2-Clause", 1), (14, "MIT", 2), (17, "GPL-2.0", 1), (18, "MIT", 1),
+    ]
+    each = [(n, "\n".join(sentence[x] for x in names)) for n, (_, names) in enumerate(license_rules.RULES)]
+    found = license_rules.scan(identified(documents(each)), wrapped=True).collect()
+    assert sorted((r["_id"], r["license"], r["n_found"]) for r in found) == [(n, name, 1) for n, (name, _) in enumerate(license_rules.RULES)]
+
+
 def _shared(document, item, window=13, substitutions=2):
     d, b = [(t or "").lower().split() for t in (document, item)]
     length, found = min(window, len(b)), 0
