@@ -17,8 +17,8 @@ from pyspark.sql import functions as F
 from chainwitness.llm.common import arrow_rows, small_slices
 
 SAMPLE_ROWS = 64  # rows of a language that a sample is taken from
-SAMPLE_ROW_CHARS = 20_000  # longer rows are left out of samples
 SAMPLE_LETTERS = 24_000  # letters and gaps of a language that its automaton is built of
+PIECES = 4  # of a text that is longer than its share of a sample
 FOLDS, HELD_OUT = 4, 2
 BLOCK = 512
 LANES = 8192
@@ -32,25 +32,58 @@ def held_out(id_col):
     return F.crc32(id_col.cast("string")) % FOLDS == HELD_OUT
 
 
-def sample(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang") -> dict[str, list[str]]:
-    """Up to SAMPLE_ROWS whole texts of each language, picked by a hash of the id; a bounded driver table."""
-    rows = docs.select(
+def _share(sizes, letters):
+    """The largest size up to which texts of these sizes can be taken so that all together have at most ``letters``."""
+    left = letters
+    for n, size in enumerate(sorted(sizes)):
+        if size * (len(sizes) - n) > left:
+            return left // (len(sizes) - n)
+        left -= size
+    return letters
+
+
+def _spread_pieces(text, share):
+    """The whole text, or pieces of it at even distances, ``share`` letters and gaps together."""
+    if len(text) > share:
+        text = " ".join("".join(c if c.isalpha() else " " for c in text).split())
+    if len(text) <= share:
+        return [text]
+    size = max(share // PIECES, 1)
+    n = min(PIECES, share)
+    return [text[at:at + size] for at in ((len(text) - size) * k // max(n - 1, 1) for k in range(n))]
+
+
+def sample(docs: DataFrame, id_col="doc_id", text_col="text", lang_col="lang", rows=SAMPLE_ROWS, letters=SAMPLE_LETTERS) -> dict[str, list[str]]:
+    """Pieces of up to ``rows`` texts of each language, picked by a hash of the id; ``letters`` characters a language.
+
+    Texts with a letter are picked whatever their length. If all of them together are longer than
+    ``letters``, those above an equal share give pieces at even distances, of letters and gaps
+    alone. The driver gets at most ``rows`` times ``letters`` characters of a language.
+    """
+    found = docs.select(
         F.col(id_col).alias("_id"), F.col(text_col).alias("_text"), F.col(lang_col).alias("_lang")
-    ).where(~held_out(F.col("_id")) & F.col("_lang").isNotNull() & (F.length("_text") <= SAMPLE_ROW_CHARS) & (F.length("_text") > 0))
-    size = F.length("_text").alias("size")
-    ranked = rows.select("_lang", "_id", F.xxhash64("_id", "_text").alias("_key"), size).withColumn(
+    ).where(~held_out(F.col("_id")) & F.col("_lang").isNotNull() & F.col("_text").rlike("\\p{L}"))
+    ranked = found.select("_lang", "_id", F.xxhash64("_id", "_text").alias("_key")).withColumn(
         "rank", F.row_number().over(Window.partitionBy("_lang").orderBy("_key", "_id"))
     )
-    picked = ranked.where(F.col("rank") <= SAMPLE_ROWS).select(
+    picked = ranked.where(F.col("rank") <= rows).select(
         F.col("_lang").alias("lang"), F.col("_id").alias("id"), F.col("_key").alias("key"))
-    found = rows.join(
+    squeezed = F.trim(F.regexp_replace("_text", "[^\\p{L}]+", " "))
+    size = max(letters // PIECES, 1)
+    at = lambda k: F.floor((F.length("_squeezed") - size) * k / (PIECES - 1)).cast("int") + 1
+    pieces = F.concat(*(F.substring("_squeezed", at(k), F.lit(size)) for k in range(PIECES)))
+    taken = found.join(
         F.broadcast(picked), (F.col("_lang") == F.col("lang")) & (F.col("_id") == F.col("id"))
         & (F.xxhash64("_id", "_text") == F.col("key"))
-    ).select("_lang", "key", "_text").distinct().toArrow()
+    ).withColumn("_squeezed", F.when(F.length("_text") > letters, squeezed)).select(
+        "_lang", "key", F.when(F.length("_text") <= letters, F.col("_text"))
+        .when(F.length("_squeezed") <= letters, F.col("_squeezed")).otherwise(pieces).alias("_text")
+    ).distinct().toArrow()
     texts = {}
-    for lang, _, text in sorted(zip(*(found.column(i).to_pylist() for i in range(3)))):
+    for lang, _, text in sorted(zip(*(taken.column(i).to_pylist() for i in range(3)))):
         texts.setdefault(lang, []).append(text)
-    return texts
+    shares = {lang: _share([len(t) for t in all_], letters) for lang, all_ in texts.items()}
+    return {lang: [p for t in all_ for p in _spread_pieces(t, shares[lang])] for lang, all_ in texts.items()}
 
 
 @lru_cache(maxsize=1)
@@ -82,7 +115,7 @@ class Model:
         self.classes = np.where(rank[letters] > 0, rank[letters], classes)
         self.tables, self.scale = [], []
         for lang in self.languages:
-            codes = self.codes(texts[lang])[0][:SAMPLE_LETTERS]
+            codes = self.codes(texts[lang])[0]
             self.tables.append(automaton(codes.tolist()))
             self.scale.append(np.log2(len(codes) + 1))
 
@@ -177,7 +210,7 @@ def predict(docs: DataFrame, texts: dict[str, list[str]]) -> DataFrame:
     first in alphabet on a tie), ``score`` (second / (best + second) of those, 0.5 to 1; 1 with one
     language; 0 if unknown) and ``bits``, the entropy per letter. Texts that are null or have no
     letter, and all texts when there is no sample, are ``und``. Repeated rows get the same result.
-    Memory: about 10 MB a language, and a few numbers per letter of a batch or of one text.
+    All of ``texts`` is used. Memory: about 10 MB a language of SAMPLE_LETTERS, and a few numbers per letter of a batch or of one text.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple((k, tuple(v)) for k, v in sorted(texts.items())))
     schema = pa.schema([

@@ -204,6 +204,21 @@ def test_languages_of_held_out_and_odd_texts(documents):
     assert language_id.predict(identified(documents([])), {"aa": ["the"]}).count() == 0
 
 
+def test_samples_are_spread_over_all_texts(documents):
+    names = ["".join(chr(97 + int(d)) for d in str(i)) for i in range(40)]
+    rows = [(i, f"{names[i]}zz " * 9_000) for i in range(40)] + [(100 + i, "ωρα καλη " * 3_000 + "1 " * 60_000) for i in range(8)] + [(200, "12 " * 99), (201, "12")]
+    langs = {i: "xx" for i, _ in rows} | {100 + i: "el" for i in range(8)} | {200: "no", 201: "no"}
+    docs = documents(rows + [(300, "ωρα"), (301, "abzz adzz")], langs | {300: None, 301: None})
+    texts = language_id.sample(docs)
+    assert sorted(texts) == ["el", "xx"] and all(0 < sum(map(len, t)) <= language_id.SAMPLE_LETTERS for t in texts.values())
+    used = [n for i, n in enumerate(names) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert all(any(f"{n}zz" in x for x in texts["xx"]) for n in used) and sum(map(len, texts["xx"])) > 0.9 * language_id.SAMPLE_LETTERS
+    found = {r["_id"]: r["lang_pred"] for r in language_id.predict(identified(docs), texts).collect()}
+    assert found[300] == "el" and found[301] == "xx"
+    less = language_id.sample(docs, letters=1_000, rows=5)
+    assert all(0 < sum(map(len, t)) <= 1_000 for t in less.values())
+
+
 def test_language_model_scores(documents):
     rows = mixed_texts() + [(None, "one two"), (500, "one")] + [(600 + i, prose(i, 80)) for i in range(20)]
     tokens = [[*words(t, lower=True), None] for _, t in rows]
