@@ -38,7 +38,7 @@ def op3_substring_dedup(spark, sf_dir):
 
 def op8_decontamination(spark, sf_dir):
     pairs = decontamination.overlaps(
-        identified(table(spark, sf_dir, "documents")), identified(table(spark, sf_dir, "benchmark"), "item_id")
+        identified(table(spark, sf_dir, "documents")), identified(table(spark, sf_dir, "benchmark"), "item_id"), short=True
     )
     return pairs.drop("_hash").withColumnRenamed("_id", "doc_id")
 

@@ -39,7 +39,37 @@ def _seeds(rows, key):
     )
 
 
-def overlaps(docs: DataFrame, benchmark: DataFrame, window=WINDOW, substitutions=SUBSTITUTIONS) -> DataFrame:
+def _runs(rows, key, lengths):
+    """One row per place and length: the hash of that many words."""
+    rows = rows.select(*key, "_words", F.explode(F.array(*(F.lit(n) for n in lengths))).alias("_n")).where(F.size("_words") >= F.col("_n"))
+    places = rows.select(*key, "_words", "_n", F.explode(F.sequence(F.lit(0), F.size("_words") - F.col("_n"))).alias("_place"))
+    return places.select(*key, "_place", F.xxhash64("_n", F.slice("_words", F.col("_place") + 1, F.col("_n"))).alias("_seed"))
+
+
+def _short_hits(texts, items, window):
+    """Places where a whole item of fewer than SPAN words stands, or half of one of fewer than ``window``."""
+    sizes = sorted(r[0] for r in items.where(F.size("_words") < window).select(F.size("_words")).distinct().collect())
+    words = texts.select("_id", "_hash", _hashed("_words").alias("_words"))
+    parts = []
+    whole, halved = [n for n in sizes if n < SPAN], [n for n in sizes if n >= SPAN]
+    key = ["item_id", "item_hash"]
+    if whole:
+        own = items.where(F.size("_words") < SPAN).select(
+            *key, F.xxhash64(F.size("_words"), _hashed("_words")).alias("_seed"), F.lit(0).alias("item_place"))
+        first = _runs(words, ["_id", "_hash"], whole).groupBy("_id", "_hash", "_seed").agg(F.min("_place").alias("_place"))
+        parts.append(first.join(own, "_seed"))
+    if halved:
+        own = items.where(F.size("_words").between(SPAN, window - 1)).select(*key, _hashed("_words").alias("_words"))
+        half = F.floor(F.size("_words") / 2).cast("int")
+        cuts = F.array(F.struct(F.lit(0).alias("at"), half.alias("n")), F.struct(half.alias("at"), (F.size("_words") - half).alias("n")))
+        own = own.select(*key, "_words", F.explode(cuts).alias("c")).select(
+            *key, F.xxhash64("c.n", F.slice("_words", F.col("c.at") + 1, F.col("c.n"))).alias("_seed"), F.col("c.at").alias("item_place"))
+        lengths = sorted({x for n in halved for x in (n // 2, n - n // 2)})
+        parts.append(_runs(words, ["_id", "_hash"], lengths).join(own, "_seed"))
+    return [p.select("_id", "_hash", *key, (F.col("_place") - F.col("item_place")).alias("shift")) for p in parts]
+
+
+def overlaps(docs: DataFrame, benchmark: DataFrame, window=WINDOW, substitutions=SUBSTITUTIONS, short=False) -> DataFrame:
     """Pairs of a document and a benchmark item that share a passage.
 
     Both inputs come from ``common.identified``. They share a passage if, with one alignment,
@@ -50,21 +80,28 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window=WINDOW, substitutions
     the row, the item or the passage is repeated. Null and empty texts, and items of fewer than
     eight words, share nothing. No group is gathered: a passage in many documents makes one
     small row in each.
+
+    With ``short`` no item is too short: fewer than eight words are found word for word, and items
+    of eight words up to ``window`` may differ in the same share of words as a window, rounded
+    down (one word by default, so that one half agrees).
     """
     items = benchmark.where("_text is not null").select(
         F.col("_id").alias("item_id"), F.col("_hash").alias("item_hash"), words_of(F.col("_text")).alias("_words")
-    ).where(F.size("_words") >= SPAN).dropDuplicates(["item_id", "item_hash"])
+    ).where(F.size("_words") >= (1 if short else SPAN)).dropDuplicates(["item_id", "item_hash"])
     items = stage(items, "items")
     seeds = stage(
-        _seeds(items.withColumn("_words", _hashed("_words")), ["item_id", "item_hash"])
+        _seeds(items.where(F.size("_words") >= SPAN).withColumn("_words", _hashed("_words")), ["item_id", "item_hash"])
         .withColumnRenamed("_place", "item_place").coalesce(1), "seeds",
     )
     texts = docs.where("_text is not null").select("_id", "_hash", words_of(F.col("_text")).alias("_words"))
-    texts = texts.where(F.size("_words") >= SPAN)
-    hits = _seeds(texts.select("_id", "_hash", _hashed("_words").alias("_words")), ["_id", "_hash"])
+    texts = texts.where(F.size("_words") >= (1 if short else SPAN))
+    hits = _seeds(texts.where(F.size("_words") >= SPAN).select("_id", "_hash", _hashed("_words").alias("_words")), ["_id", "_hash"])
     found = hits.join(seeds, "_seed").select(
         "_id", "_hash", "item_id", "item_hash", (F.col("_place") - F.col("item_place")).alias("shift")
-    ).distinct()
+    )
+    for more in _short_hits(texts, items, window) if short else ():
+        found = found.unionByName(more)
+    found = found.distinct()
     found = stage(found, "hits")
     item = items.select(
         F.col("item_id").alias("i"), F.col("item_hash").alias("h"), F.col("_words").alias("_item")
@@ -87,7 +124,9 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window=WINDOW, substitutions
         "_id", "_hash", "item_id", "n_item_words", in_window.alias("n_window"),
         F.aggregate("_equal", F.lit(0), lambda a, b: a + b).alias("n_equal"),
     )
-    needed = F.when(F.col("n_item_words") < window, F.col("n_item_words")).otherwise(window - substitutions)
+    spared = F.floor(F.col("n_item_words") * substitutions / window) if short else F.lit(0)
+    spared = F.when(F.col("n_item_words") < SPAN, 0).otherwise(spared)
+    needed = F.when(F.col("n_item_words") < window, F.col("n_item_words") - spared).otherwise(window - substitutions)
     return counted.where(F.col("n_window") >= needed).groupBy("_id", "_hash", "item_id").agg(
         *(F.max(c).alias(c) for c in ("n_item_words", "n_window", "n_equal"))
     )

@@ -50,7 +50,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that share no passage with the benchmark."""
     benchmark = identified(table(spark, sf_dir, "benchmark"), "item_id")
-    return without(identified(docs, carry=True), decontamination.overlaps(identified(docs), benchmark)).select("_row.*")
+    return without(identified(docs, carry=True), decontamination.overlaps(identified(docs), benchmark, short=True)).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -145,6 +145,30 @@ def test_decontamination_equals_all_alignments(spark, documents):
     assert decontamination.overlaps(identified(documents(rows)), identified(benchmark.limit(0), "item_id")).count() == 0
 
 
+def test_short_items_are_found(spark, documents):
+    items = [(n, " ".join(f"q{n}{k}" for k in range(n))) for n in range(1, 15)] + [(20, ""), (21, None), (22, "q30 q31 q32")]
+    rows = [(100 + n, f"{prose(n, 9)} {t.upper()} {prose(n + 1, 9)} {t}") for n, t in items[:14]] + [(n, t) for n, t in items[:14]]
+    for n, t in items[:14]:
+        for k in range(n):
+            one = [*t.split()[:k], "x", *t.split()[k + 1:]]
+            rows.append((1000 * n + k, f"{prose(n, 4)} {' '.join(one)} y"))
+            rows.append((1000 * n + 100 + k, f"{prose(n, 4)} {' '.join([*one[:(k + 3) % n], 'z', *one[(k + 3) % n + 1:]])} y"))
+        rows += [(1000 * n + 200, " ".join(t.split()[1:])), (1000 * n + 201, " ".join(t.split()[:-1]))]
+    rows += [(1, None), (2, "")]
+
+    def shares(text, item):
+        d, b = (text or "").lower().split(), (item or "").lower().split()
+        if not b or len(b) > 12:
+            return _shared(text, item)
+        needed = len(b) - (1 if len(b) >= 8 else 0)
+        return any(sum(0 <= j + s < len(d) and d[j + s] == w for j, w in enumerate(b)) >= needed for s in range(-len(b), len(d)))
+
+    benchmark = identified(spark.createDataFrame(items, ITEMS), "item_id")
+    found = decontamination.overlaps(identified(documents(rows)), benchmark, short=True).collect()
+    expected = {(i, j) for i, t in rows for j, b in items if shares(t, b)}
+    assert sorted((r["_id"], r["item_id"]) for r in found) == sorted(expected) and {j for _, j in expected} == {*range(1, 15), 22}
+
+
 def test_masks_leave_no_passage_out():
     for a in range(13):
         for b in range(a):
