@@ -91,7 +91,7 @@ def overlaps(docs: DataFrame, benchmark: DataFrame, window=WINDOW, substitutions
     items = stage(items, "items")
     seeds = stage(
         _seeds(items.where(F.size("_words") >= SPAN).withColumn("_words", _hashed("_words")), ["item_id", "item_hash"])
-        .withColumnRenamed("_place", "item_place").coalesce(1), "seeds",
+        .withColumnRenamed("_place", "item_place"), "seeds",
     )
     texts = docs.where("_text is not null").select("_id", "_hash", words_of(F.col("_text")).alias("_words"))
     texts = texts.where(F.size("_words") >= (1 if short else SPAN))

@@ -169,6 +169,25 @@ def test_short_items_are_found(spark, documents):
     assert sorted((r["_id"], r["item_id"]) for r in found) == sorted(expected) and {j for _, j in expected} == {*range(1, 15), 22}
 
 
+def test_seeds_are_made_by_several_tasks(spark, documents, monkeypatch):
+    parts, stage = {}, decontamination.stage
+
+    def noted(df, name):
+        parts[name] = df.rdd.getNumPartitions()
+        return stage(df, name)
+
+    monkeypatch.setattr(decontamination, "stage", noted)
+    items = spark.createDataFrame([(i, prose(i, 20)) for i in range(400)], ITEMS).repartition(4)
+    spark.conf.set("spark.sql.files.openCostInBytes", "64m")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        decontamination.overlaps(identified(documents([(1, prose(1, 30))])), identified(items, "item_id"))
+    finally:
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert parts["seeds"] > 1
+
+
 def test_masks_leave_no_passage_out():
     for a in range(13):
         for b in range(a):
