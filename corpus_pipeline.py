@@ -19,12 +19,18 @@ ORACLE_SQL = None
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language can be told; those without a letter, or without text, go.
 
-    Languages are learned from the labelled part of the same documents; a missing label stays.
+    Languages are learned from the labelled part of the same documents; a missing label becomes the
+    learned language, a given one stays.
     """
     ship_package(spark)
     found = language_id.predict(identified(docs), language_id.sample(docs))
-    unknown = found.where(F.col("lang_pred") == language_id.UNKNOWN)
-    return without(identified(docs, carry=True), unknown).select("_row.*")
+    found = stage(found.select("_id", "_hash", "lang_pred"), "languages")
+    rows = without(identified(docs, carry=True), found.where(F.col("lang_pred") == language_id.UNKNOWN))
+    missing = rows.where("_row.lang is null")
+    names = found.select(F.col("_id").alias("i"), F.col("_hash").alias("h"), "lang_pred").distinct()
+    learned = missing.join(names, missing["_id"].eqNullSafe(names["i"]) & (missing["_hash"] == names["h"]))
+    learned = learned.select(*(F.col("lang_pred" if c == "lang" else f"_row.`{c}`").alias(c) for c in docs.columns))
+    return rows.where("_row.lang is not null").select("_row.*").unionByName(learned)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

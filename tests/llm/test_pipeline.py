@@ -55,6 +55,14 @@ def test_stages_equal_their_plain_versions(spark, documents, tmp_path):
     assert {r["doc_id"] for r in corpus_pipeline.run(spark, sf_dir).collect()} == set(texts)
 
 
+def test_missing_labels_become_learned_languages(spark, documents, tmp_path):
+    names = sorted(LANGUAGES)
+    rows = [(i, LANGUAGES[names[i % 3]] * 5) for i in range(60)] + [(None, LANGUAGES["cc"]), (61, "12")]
+    langs = {i: None if i % 5 == 0 else names[i % 3] for i in range(60)} | {7: "bb", 8: "aa", None: None, 61: None}
+    found = corpus_pipeline.identify_language(spark, documents(rows + rows[:1], langs), str(tmp_path)).collect()
+    assert len(found) == 62 and all(r["lang"] == (langs[r["doc_id"]] or names[(r["doc_id"] or 0) % 3] if r["doc_id"] is not None else "cc") for r in found)
+
+
 def test_stages_take_an_empty_table(spark, documents, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     docs = documents([])
