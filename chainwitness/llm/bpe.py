@@ -16,11 +16,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from chainwitness.llm.common import arrow_rows, small_slices
-from chainwitness.llm.pieces import ENCODE_BYTES, PieceEncoder, is_latin, pre_tokens
+from chainwitness.llm.pieces import ENCODE_BYTES, Parts, PieceEncoder, is_latin, pre_tokens
 
-KEPT = 450_000  # pre-tokens, pairs of tokens, and pieces that one process keeps
-FOLLOWS = 450_000
-PIECES = 250_000
+FOLLOWS = 300_000  # pairs of tokens that one process keeps
 ENCODED = "_id bigint, _hash int, _ids array<int>"
 DECODED = "_id bigint, _hash int, _ids array<int>, _decoded string"
 _ENCODED = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_ids", pa.list_(pa.int32()))])
@@ -148,7 +146,7 @@ class Vocabulary:
 @lru_cache(maxsize=1)
 def _encoder(source):
     vocabulary = Vocabulary(source)
-    return PieceEncoder(vocabulary.parts, vocabulary.encode_sorted, KEPT, PIECES)
+    return PieceEncoder(Parts(vocabulary.parts, vocabulary.encode_sorted), vocabulary.special)
 
 
 def _source(spark, tokenizer_file):

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from chainwitness.llm import bpe, decontamination, embedding_dedup, jaccard_join, language_id, license_rules, line_dedup, lm_scoring, substring_dedup, token_files
+from chainwitness.llm import alignment, bpe, decontamination, embedding_dedup, jaccard_join, language_id, license_rules, line_dedup, lm_scoring, phrases, sentence_pieces, substring_dedup, token_files
 from chainwitness.llm.common import identified, table
 
 END_ID = 2
@@ -14,6 +14,12 @@ def tokenizer_file():
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def piece_file():
+    import public_tokenizers
+
+    return public_tokenizers.path("piece_bpe_32k.model")
+
+
 def op1_token_files(spark, sf_dir):
     folder, shards = token_files.write(identified(table(spark, sf_dir, "documents")), tokenizer_file(), END_ID)
     return token_files.read(folder, shards)
@@ -72,8 +78,21 @@ def op4_language_id(spark, sf_dir):
     return found.select(F.col("_id").alias("doc_id"), "lang_pred", "score").withColumn("held_out", held_out)
 
 
+def op11_phrase_mining(spark, sf_dir):
+    return phrases.best(phrases.mine(table(spark, sf_dir, "documents"))).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
+
+
+def op12_sentence_pieces(spark, sf_dir):
+    return sentence_pieces.digests(sentence_pieces.round_trip(identified(table(spark, sf_dir, "documents")), piece_file()))
+
+
+def op13_token_alignment(spark, sf_dir):
+    found = alignment.summaries(identified(table(spark, sf_dir, "documents")), tokenizer_file(), piece_file())
+    return found.drop("_hash").withColumnRenamed("_id", "doc_id")
+
+
 QUERIES = {f.__name__: f for f in (
     op1_token_files, op2_license_rules, op3_substring_dedup, op4_language_id, op5_bpe_codec, op6_lm_scoring, op7_ngram_jaccard_join, op8_decontamination,
-    op9_line_dedup, op10_embedding_dedup,
+    op9_line_dedup, op10_embedding_dedup, op11_phrase_mining, op12_sentence_pieces, op13_token_alignment,
 )}
-ORACLES = {"op2_license_rules": license_rules.ORACLE, "op8_decontamination": decontamination.ORACLE}
+ORACLES = {"op2_license_rules": license_rules.ORACLE, "op8_decontamination": decontamination.ORACLE, "op11_phrase_mining": phrases.ORACLE}

@@ -17,36 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from chainwitness.llm.common import arrow_rows, small_slices, stage
-from chainwitness.llm.pieces import ENCODE_BYTES, PieceEncoder, is_latin, pre_tokens
+from chainwitness.llm.pieces import ENCODE_BYTES, library_encoder
 from chainwitness.session import new_dir
 
 SEQUENCE = 2048
 ROWS_PER_BATCH = 256
 SHARD_ROWS = 4_096
-_MANY = 500
-_KEPT = 1_200_000
 
 
-@lru_cache(maxsize=2)
+@lru_cache(maxsize=1)
 def _encoder(source):
-    """The library's encoder behind a store of distinct pieces."""
-    from tokenizers import Tokenizer
-
-    library = Tokenizer.from_str(source)
-    library.no_truncation()
-    library.no_padding()
-    special = [t.content for t in library.get_added_tokens_decoder().values()]
-
-    def parts(piece):
-        return pre_tokens(piece) if is_latin(piece) and not any(s in piece for s in special) else [piece]
-
-    def encode_many(tokens):
-        # in lots, so that the library's own records of an encoding stay few
-        for at in range(0, len(tokens), _MANY):
-            for found in library.encode_batch_fast(tokens[at:at + _MANY], add_special_tokens=False):
-                yield np.array(found.ids, "<i4").tobytes()
-
-    return PieceEncoder(parts, encode_many, _KEPT)
+    return library_encoder(source)
 
 
 def _id_type(source, end_id):
