@@ -59,7 +59,7 @@ class _Run:
         self.langs = lang.dictionary
         of_lang, names = buffers(self.langs)
         of_lang = byte_names(names, of_lang[:-1], of_lang[1:])
-        self.names = mixed(byte_names(data, self.starts, self.ends) ^ of_lang[self.lang][self.text])
+        self.names = paired(of_lang[self.lang][self.text], byte_names(data, self.starts, self.ends))
         broken = np.cumsum(_BREAKS[data]) if n else np.zeros(0, np.int64)
         goes_on = np.zeros(len(self.starts), bool)  # the next word is in the same piece
         goes_on[:-1] = (self.text[1:] == self.text[:-1]) & (broken[self.starts[1:]] == broken[self.ends[:-1] - 1])

@@ -34,7 +34,7 @@ def plain(rows, least, longest=5):
 
 TEXTS = [(prose(i, 300, 25), lang) for i, lang in enumerate(["en", "de", None, "und", "en", "en"])]
 TEXTS += [("New York, new  york\tNEW YORK. new york city new york city" * 3, "en")] * 7  # equal rows
-TEXTS += [("", "en"), (None, "en"), (None, None), (" \t\n..", "xx"), ("a b " * 4000, "long"), ("é ä é ä ÀB àb ñ" * 9, "de"), ("one", "fr")]
+TEXTS += [("", "en"), (None, "en"), (None, None), (" \t\n..", "xx"), ("en de " * 60, "de"), ("de en " * 60, "en"), ("a b " * 4000, "long"), ("é ä é ä ÀB àb ñ" * 9, "de"), ("one", "fr")]
 
 
 @pytest.mark.parametrize("least", [3, 40])
