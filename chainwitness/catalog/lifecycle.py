@@ -8,8 +8,9 @@ from chainwitness.catalog.ledger import SEP, big
 from chainwitness.functions import records as R
 from chainwitness.plans import lifecycle as life
 from chainwitness.plans import monitor
-from chainwitness.session import spread
+from chainwitness.session import new_dir, spread
 from chainwitness.sources import ledger as src
+from chainwitness.sources.store import LedgerStore
 from chainwitness.testing import fixtures as X
 
 
@@ -61,10 +62,13 @@ def ledger_quarantine(spark, d):
 
 
 def idempotent_ingest(spark, d):
-    """Order lines appended to a ledger that already holds every third order."""
+    """Order lines appended to a ledger that already holds every third order; the batch arrives twice."""
     good = life.valid_rows(_order_lines(spark, d))
-    stored = good.where(F.col("session_id").cast("bigint") % 3 == 0)
-    added = src.append_records(good, stored, F.timestamp_millis(F.lit(1700000000000)))
+    now = F.timestamp_millis(F.lit(1700000000000))
+    store = LedgerStore(spark, new_dir(spark, "ledger"), src.stamp(good, now).schema, buckets=8)
+    store.append(good.where(F.col("session_id").cast("bigint") % 3 == 0), "stored", ["id"], lambda new: src.stamp(new, now))
+    store.append(good, "arrivals", ["id"], lambda new: src.stamp(new, now))
+    added = store.append(good, "arrivals", ["id"], lambda new: src.stamp(new, now))  # a replay adds nothing
     return added.select("id", "session_id", *big("seq"), F.unix_millis("created_at").alias("created_ms"),
                         F.unix_millis("expires_at").alias("expires_ms"))
 

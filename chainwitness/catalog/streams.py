@@ -8,7 +8,7 @@ from chainwitness.catalog.ledger import big
 from chainwitness.functions import records as R
 from chainwitness.plans.monitor import monitor_counters
 from chainwitness.session import new_dir
-from chainwitness.streaming import live
+from chainwitness.streaming import arrival, live
 from chainwitness.testing import fixtures as X
 
 # replayed input spans months in a few batches, so nothing counts as late
@@ -67,14 +67,30 @@ def stream_links(spark, d):
     return _links(spark, _conv_feed(spark, d)).select("session_id", *big("seq"), "link_ok")
 
 
+def _checked(spark, d, feed, known=None):
+    """Rows of the check on arrival over a feed."""
+    own = arrival.session_for_state(spark)
+    checked = live.arrival_checks(live.read_stream(own, feed, files_per_batch=1), X.devices(own, d))
+    out = _run(arrival.check_links(checked, known and known(own)), "append", own, _store)
+    return spark.read.parquet(out)
+
+
 def stream_live_check(spark, d):
-    """Check on arrival with the links found so far; records arrive out of order."""
-    feed = _conv_feed(spark, d)
-    arrivals = live.distinct_arrivals(live.read_stream(spark, feed, files_per_batch=1), REPLAY)
-    checked = live.arrival_checks(arrivals, X.devices(spark, d))
-    out = _run(checked, "append", spark, _store)
-    status = live.live_status(spark.read.parquet(out), _links(spark, feed))
-    return status.select("id", "session_id", *big("seq"), "check", "note")
+    """Check on arrival with the links found so far; records arrive out of order and some twice."""
+    rows = X.conv_ledger(spark, d).drop("conv_id").select(*live.LEDGER.names)
+    feed = _feed(rows.unionByName(rows.where("seq % 4 = 1")), spark, F.xxhash64("id", "seq"))
+    return arrival.status(_checked(spark, d, feed)).select("id", "session_id", *big("seq"), "check", "note")
+
+
+def stream_warm_start(spark, d):
+    """A check that starts with the first half of every session stored, and sees the rest arrive."""
+    rows = X.conv_ledger(spark, d).drop("conv_id").select(*live.LEDGER.names)
+    feed = _feed(rows.where("seq >= 3"), spark, F.xxhash64("id"))
+    stored = new_dir(spark, "stored")
+    rows.where("seq < 3").write.parquet(stored)
+    results = _checked(spark, d, feed, lambda own: own.read.schema(live.LEDGER).parquet(stored))
+    found = arrival.status(results)
+    return found.select("id", "session_id", *big("seq"), "link_ok", "check")
 
 
 def _event_feed(spark, d):
@@ -114,7 +130,7 @@ def stream_arrival_windows(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_ingest_dedup, stream_links, stream_live_check, stream_rollup, stream_counters,
+        stream_ingest_dedup, stream_links, stream_live_check, stream_warm_start, stream_rollup, stream_counters,
         stream_arrival_windows,
     )
 }
@@ -131,6 +147,8 @@ ORACLES = {
     "stream_links": S.with_ledger("select session_id, seq, link_ok from chk where seq > 0 and link_ok is not null"),
     "stream_live_check": S.with_ledger(
         f"select id, session_id, seq, case when n = '' then 'ok' else 'bad' end as \"check\", n as note from (select id, session_id, seq, {_NOTE} as n from chk) t"),
+    "stream_warm_start": S.with_ledger(
+        f"select id, session_id, seq, link_ok, case when n = '' then 'ok' else 'bad' end as \"check\" from (select id, session_id, seq, link_ok, {_NOTE} as n from chk where seq >= 3) t"),
     "stream_rollup": S.with_events("""select session_id, any_value(device_id) as device_id, count(*) as n_records, min(started_at) as first_at, max(ended_at) as last_at,
   count(*) filter ("check" = 'bad') as n_bad, greatest(max(created_ms - ended_at), 0) as max_delay_ms from evt group by 1"""),
     "stream_counters": S.with_events("""select count(*) as n_total, count(*) filter ("check" = 'ok') as n_ok, count(*) filter ("check" = 'bad') as n_bad,

@@ -6,7 +6,6 @@ state partitions, and either side of a link may arrive first.
 """
 
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
@@ -15,7 +14,8 @@ from chainwitness.operators.audit import texts
 from chainwitness.plans.lifecycle import quarantined_rows, valid_rows
 from chainwitness.plans.monitor import journey_index
 from chainwitness.schemas import LEDGER
-from chainwitness.sources.ledger import append_records, write_batch
+from chainwitness.sources.ledger import stamp, write_batch
+from chainwitness.sources.store import BUCKET, LedgerStore
 
 BATCH = "batch"
 
@@ -38,28 +38,25 @@ def drain(writer, checkpoint):
 # -- ingest --------------------------------------------------------------------------
 
 
-def prepare_ledger(spark, path, schema=LEDGER):
-    """An empty ledger folder that ingest can append to and readers can open."""
-    write_batch(spark.createDataFrame([], schema), path, -1)
+def prepare_ledger(spark, path, schema=LEDGER, **layout):
+    """An empty ledger that ingest can append to and readers can open."""
+    return LedgerStore(spark, path, schema, **layout)
 
 
 def read_ledger(spark, path, schema=LEDGER):
-    batch = T.StructField(BATCH, T.LongType())
-    return spark.read.schema(T.StructType([*schema.fields, batch])).parquet(path)
+    return LedgerStore(spark, path, schema).read().drop(BUCKET)
 
 
-def ingest_batch(path, rejected_path, devices=None, now=None, schema=LEDGER):
+def ingest_batch(path, rejected_path, devices=None, now=None, schema=LEDGER, **layout):
     """A ``foreachBatch`` function: validate, drop known keys, stamp, append.
 
-    Each batch owns a folder that a repeated run overwrites, and its own earlier
-    output is not counted as known, so a replay after a failure changes nothing.
+    A batch that is committed is not added again, so a replay after a failure changes nothing. The first arrival of a
+    (session_id, seq) stays. Only the buckets of the batch's keys are read, see ``sources.store``.
     """
     def write(rows, batch_id):
-        spark = rows.sparkSession
-        stored = read_ledger(spark, path, schema).where(F.col(BATCH) != batch_id)
         clock = F.current_timestamp() if now is None else now
-        good = valid_rows(rows, devices)
-        write_batch(append_records(good, stored, clock).select(*schema.names), path, batch_id)
+        store = LedgerStore(rows.sparkSession, path, schema, **layout)
+        store.append(valid_rows(rows, devices), batch_id, finish=lambda new: stamp(new, clock))
         write_batch(quarantined_rows(rows, devices), rejected_path, batch_id)
 
     return write
