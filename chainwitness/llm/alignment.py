@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from chainwitness.llm.bpe import bytes_of_ids
 from chainwitness.llm.chunks import spans
-from chainwitness.llm.common import arrow_rows, small_slices, stage
+from chainwitness.llm.common import arrow_rows, small_slices, sole, stage
 from chainwitness.llm.pieces import ENCODE_BYTES, library_encoder, piece_cuts
 from chainwitness.llm.sentence_pieces import MARK, Model, shared_model, spaced
 from chainwitness.llm.words import Words
@@ -173,7 +173,7 @@ class Pair:
         return [text[last[k]:last[k + 1] - 1] for k in range(n)]
 
 
-@lru_cache(maxsize=1)
+@sole
 def _pair(source, proto):
     return Pair(source, proto)
 

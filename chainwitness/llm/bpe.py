@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainwitness.llm.common import arrow_rows, small_slices
+from chainwitness.llm.common import arrow_rows, small_slices, sole
 from chainwitness.llm.pieces import ENCODE_BYTES, Parts, PieceEncoder, is_latin, pre_tokens
 
 FOLLOWS = 300_000  # pairs of tokens that one process keeps
@@ -143,7 +143,7 @@ class Vocabulary:
         return out
 
 
-@lru_cache(maxsize=1)
+@sole
 def _encoder(source):
     vocabulary = Vocabulary(source)
     return PieceEncoder(Parts(vocabulary.parts, vocabulary.encode_sorted), vocabulary.special)

@@ -9,7 +9,7 @@ import numpy as np
 
 from chainwitness.llm.words import byte_names
 
-SLOTS = 1 << 21  # 20 bytes each
+SLOTS = 1 << 21  # 16 bytes each
 POOL = 12_000_000  # ids of 4 bytes
 LONG = 64  # longer chunks are not kept
 
@@ -31,14 +31,14 @@ class ChunkTable:
 
     def __init__(self, encode_new, slots=SLOTS, pool=POOL):
         self.encode_new, self.shift = encode_new, np.uint64(64 - (slots.bit_length() - 1))
-        self.names, self.starts, self.sizes = np.zeros(slots, np.uint64), np.zeros(slots, np.int64), np.full(slots, -1, np.int32)
+        self.names, self.starts, self.sizes = np.zeros(slots, np.uint64), np.zeros(slots, np.int32), np.full(slots, -1, np.int32)
         self.pool, self.used = np.empty(pool, np.int32), 0
 
     def encode(self, data, begins, ends):
         """Ids of all chunks [begin, end) of ``data`` in one array, and the number of ids of each chunk."""
         names = byte_names(data, begins, ends)
         slot = (names >> self.shift).astype(np.int64)
-        starts, sizes = self.starts[slot], self.sizes[slot].astype(np.int64)
+        starts, sizes = self.starts[slot].astype(np.int64), self.sizes[slot].astype(np.int64)
         unknown = np.flatnonzero((self.names[slot] != names) | (sizes < 0))
         if not len(unknown):
             return self.pool[spans(starts, sizes)], sizes

@@ -1,6 +1,7 @@
 """Helpers that the operators of this folder share."""
 
 import time
+from functools import wraps
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -51,6 +52,26 @@ def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     return docs.join(gone, docs["_id"].eqNullSafe(gone["i"]) & (docs["_hash"] == gone["h"]), "left_anti")
 
 
+_held = {}
+
+
+def sole(make):
+    """Keep the last result of ``make``, and of all functions marked so only the one called last.
+
+    Python workers live on from job to job; so a worker holds the model or the stores of one operator
+    at a time, not of all that have run in it.
+    """
+
+    @wraps(make)
+    def held(*args):
+        if (make, args) not in _held:
+            _held.clear()
+            _held[make, args] = make(*args)
+        return _held[make, args]
+
+    return held
+
+
 def small_slices(batches, column="_text", max_bytes=SLICE_BYTES):
     """Slices of Arrow batches of about ``max_bytes`` of text; a longer text is a slice of its own."""
     for batch in batches:

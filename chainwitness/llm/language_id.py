@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainwitness.llm.common import arrow_rows, small_slices
+from chainwitness.llm.common import arrow_rows, small_slices, sole
 
 SAMPLE_ROWS = 64  # rows of a language that a sample is taken from
 SAMPLE_LETTERS = 24_000  # letters and gaps of a language that its automaton is built of
@@ -197,7 +197,7 @@ def automaton(codes):
     return table.ravel()
 
 
-@lru_cache(maxsize=1)
+@sole
 def _model(key):
     return Model({lang: list(texts) for lang, texts in key})
 

@@ -7,7 +7,6 @@ and tabs in most models) become bytes of their own and end a chunk too. ``ChunkT
 distinct chunks; each is segmented once by the library, as long as it is known.
 """
 
-from functools import lru_cache
 from itertools import chain
 
 import numpy as np
@@ -17,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from chainwitness.llm.chunks import ChunkTable, spans, taken
-from chainwitness.llm.common import arrow_rows, small_slices
+from chainwitness.llm.common import arrow_rows, small_slices, sole
 from chainwitness.llm.pieces import ENCODE_BYTES
 from chainwitness.llm.words import buffers
 
@@ -114,7 +113,7 @@ class Model:
         return texts
 
 
-@lru_cache(maxsize=1)
+@sole
 def model(proto):
     return Model(proto)
 

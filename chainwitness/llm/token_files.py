@@ -8,7 +8,6 @@ one length and files are not compressed, a mapped file hands out its ids without
 """
 
 import zlib
-from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +15,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from chainwitness.llm.common import arrow_rows, small_slices, stage
+from chainwitness.llm.common import arrow_rows, small_slices, sole, stage
 from chainwitness.llm.pieces import ENCODE_BYTES, library_encoder
 from chainwitness.session import new_dir
 
@@ -25,7 +24,7 @@ ROWS_PER_BATCH = 256
 SHARD_ROWS = 4_096
 
 
-@lru_cache(maxsize=1)
+@sole
 def _encoder(source):
     return library_encoder(source)
 
