@@ -6,11 +6,16 @@ into blocks, contiguous ranges of the order column. Rows are windowed per
 (key, block); one summary row per block is windowed per key; the summary is joined
 back on (key, block). Results equal those of the plain window. A key with n rows
 costs one task n / rows-per-block summary rows, not n rows.
+
+Where values of the order say little about how many rows lie between them, ``row_blocks``
+makes blocks of about equal numbers of rows, whatever the values are.
 """
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chainwitness.session import stage
+
 BLOCK_ROWS = 100_000
 BLOCK = "_block"
 BEFORE = Window.unboundedPreceding
@@ -21,6 +26,19 @@ def block_of(order: Column, size=BLOCK_ROWS):
     return F.floor(order.cast("bigint") / F.lit(size)).cast("bigint")
 
 
+def row_blocks(df: DataFrame, keys, order, rows=BLOCK_ROWS):
+    """Add the block column: ranges of (keys, order) that hold about ``rows`` rows each.
+
+    Spark finds the ranges from a sample, so a key with a third of all rows, or all rows within one instant, is
+    cut like any other; only rows equal in all ``order`` columns stay together, which therefore should end with a unique
+    one. The rows are written once, since another look at the sample might draw other lines.
+    """
+    n = -(-df.count() // rows)
+    if n <= 1:
+        return df.withColumn(BLOCK, F.lit(0))
+    return stage(df.repartitionByRange(n, *keys, *order).withColumn(BLOCK, F.spark_partition_id()), "blocks")
+
+
 def last_known(df: DataFrame, keys, order, value: Column, out, block: Column, inclusive=False):
     """Add ``out``: the last non-null ``value`` before each row (or up to it)."""
     end = 0 if inclusive else -1

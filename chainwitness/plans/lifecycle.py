@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
 from chainwitness.operators.audit import texts
-from chainwitness.operators.ordered import block_of, last_known, running_count
+from chainwitness.operators.ordered import BLOCK, BLOCK_ROWS, block_of, last_known, row_blocks, running_count
 from chainwitness.sources.evidence import held_sessions
 
 HOUR_MS = 3_600_000
@@ -115,22 +115,22 @@ def purge_count(removed):
 
 def cache_retention(
     cached, now_ms, retention_ms=V.CACHE_RETENTION_MS, max_rows=V.CACHE_MAX_SEGMENTS,
-    owner=("device_id",), order=("started_at", "key"),
+    owner=("device_id",), order=("started_at", "key"), block_rows=BLOCK_ROWS,
 ):
     """Add ``fate``: expired, evicted or kept, for the clips of each device's cache.
 
     Expiry spares locked clips. If more than ``max_rows`` remain, locked ones counted,
-    the oldest unlocked ones are evicted until the rest fits or none is left.
+    the oldest unlocked ones are evicted until the rest fits or none is left. No task ranks more than
+    about ``block_rows`` clips, also if one device has them all or they start at one instant.
     """
     expired = ~F.col("locked") & (F.col("ended_at") < now_ms - F.lit(retention_ms))
-    rows = cached.withColumn("_expired", expired)
+    rows = row_blocks(cached.withColumn("_expired", expired), list(owner), list(order), block_rows)
     kept = rows.where(~F.col("_expired"))
     overflow = kept.groupBy(*owner).agg(
         (F.count(F.lit(1)) - max_rows).alias("_overflow")
     ).where(F.col("_overflow") > 0)
     ranked = running_count(
-        rows, list(owner), list(order), "_rank",
-        block_of(F.col(order[0]), HOUR_MS), ~F.col("_expired") & ~F.col("locked"),
+        rows, list(owner), list(order), "_rank", F.col(BLOCK), ~F.col("_expired") & ~F.col("locked"),
     )
     evicted = ~F.col("_expired") & ~F.col("locked") & (F.col("_rank") <= F.col("_overflow"))
     return (
@@ -144,13 +144,15 @@ def cache_retention(
 
 
 def incident_holds(
-    cached, incidents, before_ms=V.INCIDENT_BEFORE_MS, after_ms=V.INCIDENT_AFTER_MS, owner="device_id"
+    cached, incidents, before_ms=V.INCIDENT_BEFORE_MS, after_ms=V.INCIDENT_AFTER_MS, owner="device_id", key="key",
+    block_rows=BLOCK_ROWS,
 ):
     """Add ``held`` and ``newly_held`` to clips that overlap an incident of their device.
 
     A clip overlaps if an incident lies in [started_at - after, ended_at + before].
     For each clip only the first incident at or after the lower end is looked up, so
-    no clip/incident pairs are formed and clips may be of any length.
+    no clip/incident pairs are formed and clips may be of any length. ``key`` tells clips apart that start at one
+    instant; no task looks up more than about ``block_rows`` clips and incidents.
     """
     low = F.col("started_at") - after_ms
     marks = incidents.select(
@@ -159,10 +161,9 @@ def incident_holds(
     clips = cached.withColumn("_at", low).withColumn("_kind", F.lit(1))
     both = clips.unionByName(marks, allowMissingColumns=True)
     later_first = F.negate("_at").alias("_later")
-    both = both.withColumn("_later", later_first)
+    both = row_blocks(both.withColumn("_later", later_first), [owner], ["_later", "_kind", *([key] if key in cached.columns else [])], block_rows)
     looked_up = last_known(
-        both, [owner], ["_later", "_kind"],
-        F.when(F.col("_kind") == 0, F.col("_at")), "_next", F.negate(block_of(F.col("_at"), HOUR_MS)),
+        both, [owner], ["_later", "_kind"], F.when(F.col("_kind") == 0, F.col("_at")), "_next", F.col(BLOCK),
     )
     held = F.coalesce(F.col("_next") <= F.col("ended_at") + before_ms, F.lit(False))
     return (
