@@ -33,9 +33,7 @@ def row_blocks(df: DataFrame, keys, order, rows=BLOCK_ROWS):
     cut like any other; only rows equal in all ``order`` columns stay together, which therefore should end with a unique
     one. The rows are written once, since another look at the sample might draw other lines.
     """
-    n = -(-df.count() // rows)
-    if n <= 1:
-        return df.withColumn(BLOCK, F.lit(0))
+    n = max(1, -(-df.count() // rows))
     return stage(df.repartitionByRange(n, *keys, *order).withColumn(BLOCK, F.spark_partition_id()), "blocks")
 
 
