@@ -33,7 +33,7 @@ SLOTS = 1 << 20  # of the two tables into which a process puts them
 ODD = -1  # in place of ids that spell other bytes
 LANE_BYTES = 256
 COUNTED = 2_000_000  # pairs that a task counts before it passes them on
-ALIGNED = "_id bigint, _hash int, a array<int>, b array<int>, link_a array<int>, link_b array<int>, groups string"
+ALIGNED = "_id bigint, _hash binary, a array<int>, b array<int>, link_a array<int>, link_b array<int>, groups string"
 
 
 class _Tokens:
@@ -194,7 +194,7 @@ def align(docs: DataFrame, a_file, b_file) -> DataFrame:
     """
     pair = _shared(docs.sparkSession, a_file, b_file)
     lists = pa.list_(pa.int32())
-    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("a", lists), ("b", lists), ("link_a", lists), ("link_b", lists), ("groups", pa.string())])
+    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.binary()), ("a", lists), ("b", lists), ("link_a", lists), ("link_b", lists), ("groups", pa.string())])
 
     def run(batches):
         own = pair()
@@ -316,7 +316,7 @@ def summaries(docs: DataFrame, a_file, b_file, head=HEAD) -> DataFrame:
     table, key = spark.sparkContext.broadcast(head_of(counts, head)), uuid.uuid4().hex
     numbers = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
     rest = pa.list_(pa.struct([("code", pa.int64()), ("times", pa.int64())]))
-    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_row", pa.int64()), *((n, pa.int64()) for n in numbers),
+    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.binary()), ("_row", pa.int64()), *((n, pa.int64()) for n in numbers),
                         ("groups_sha256", pa.string()), ("rest", rest)])
 
     def run(batches):
@@ -352,7 +352,7 @@ def summaries(docs: DataFrame, a_file, b_file, head=HEAD) -> DataFrame:
             row += batch.num_rows
 
     full = stage(docs.select("_id", "_hash", "_text").mapInArrow(
-        run, "_id bigint, _hash int, _row bigint, " + "".join(f"{n} bigint, " for n in numbers)
+        run, "_id bigint, _hash binary, _row bigint, " + "".join(f"{n} bigint, " for n in numbers)
         + "groups_sha256 string, rest array<struct<code: bigint, times: bigint>>"), "aligned")
     rare = full.select("_row", F.explode("rest").alias("r")).select("_row", "r.*").join(counts, "code")
     rare = rare.groupBy("_row").agg(

@@ -19,9 +19,9 @@ from chainwitness.llm.common import arrow_rows, small_slices, sole
 from chainwitness.llm.pieces import ENCODE_BYTES, Parts, PieceEncoder, is_latin, pre_tokens
 
 FOLLOWS = 300_000  # pairs of tokens that one process keeps
-ENCODED = "_id bigint, _hash int, _ids array<int>"
-DECODED = "_id bigint, _hash int, _ids array<int>, _decoded string"
-_ENCODED = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_ids", pa.list_(pa.int32()))])
+ENCODED = "_id bigint, _hash binary, _ids array<int>"
+DECODED = "_id bigint, _hash binary, _ids array<int>, _decoded string"
+_ENCODED = pa.schema([("_id", pa.int64()), ("_hash", pa.binary()), ("_ids", pa.list_(pa.int32()))])
 _DECODED = _ENCODED.append(pa.field("_decoded", pa.string()))
 
 

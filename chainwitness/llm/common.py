@@ -34,13 +34,19 @@ def stage(df: DataFrame, name) -> DataFrame:
     return staged
 
 
+def text_key(text):
+    """A name of 128 bits for a text; null has the empty name."""
+    return F.coalesce(F.unhex(F.md5(text)), F.lit(b""))
+
+
 def identified(docs: DataFrame, id_col="doc_id", text_col="text", carry=False) -> DataFrame:
     """``_id``, ``_hash`` and ``_text``: rows with equal (_id, _hash) hold the same id and text.
 
     Only these columns go on, so further columns of the input may bear any name; with
-    ``carry`` the whole row follows as one struct, ``_row``.
+    ``carry`` the whole row follows as one struct, ``_row``. Ids may repeat or be null: ``_hash``
+    (``text_key``) still tells different texts apart.
     """
-    columns = [F.col(id_col).alias("_id"), F.hash(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text")]
+    columns = [F.col(id_col).alias("_id"), text_key(F.col(text_col)).alias("_hash"), F.col(text_col).alias("_text")]
     if carry:
         columns.append(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"))
     return docs.select(*columns)

@@ -66,7 +66,7 @@ def _prefixes(docs, shingle, percent):
     """Per row: set size, name of the set (two words), first shingles, and the name of those."""
     order = _order(docs, shingle)
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("n", pa.int64()), ("name", pa.int64()), ("check", pa.int64()),
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("n", pa.int64()), ("name", pa.int64()), ("check", pa.int64()),
         ("prefix", pa.list_(pa.int64())), ("start", pa.int64()),
     ])
 
@@ -91,18 +91,19 @@ def _prefixes(docs, shingle, percent):
             )
 
     return docs.mapInArrow(
-        run, "_id bigint, _hash int, n bigint, name bigint, check bigint, prefix array<bigint>, start bigint"
+        run, "_id bigint, _hash binary, n bigint, name bigint, check bigint, prefix array<bigint>, start bigint"
     )
 
 
 def _verified(edges, docs, rows, shingle, percent):
-    """The edges (``a``, ``b``) whose two sets are as similar as wanted; only their texts are fetched."""
+    """The edges (``a``, ``b``) whose two sets are as similar as wanted; only their texts are fetched, once for all equal rows."""
     edges = stage(edges, "pairs")
     ends = edges.select("a").union(edges.select("b")).distinct().withColumnRenamed("a", "row")
     wanted = rows.select("row", "_id", "_hash").join(ends, "row")
     wanted = wanted.select(F.col("row").alias("node"), F.col("_id").alias("i"), F.col("_hash").alias("h"))
     texts = stage(
-        docs.join(wanted, docs["_id"].eqNullSafe(wanted["i"]) & (docs["_hash"] == wanted["h"])).select("node", "_text"), "texts"
+        docs.join(wanted, docs["_id"].eqNullSafe(wanted["i"]) & (docs["_hash"] == wanted["h"])).select("node", "_text")
+        .dropDuplicates(["node"]), "texts",
     )
     first = texts.select(F.col("node").alias("a"), F.col("_text").alias("text_a"))
     second = texts.select(F.col("node").alias("b"), F.col("_text").alias("text_b"))

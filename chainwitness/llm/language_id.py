@@ -214,7 +214,7 @@ def predict(docs: DataFrame, texts: dict[str, list[str]]) -> DataFrame:
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple((k, tuple(v)) for k, v in sorted(texts.items())))
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("lang_pred", pa.string()), ("score", pa.float64()), ("bits", pa.float64())
     ])
 
     def run(batches):
@@ -238,5 +238,5 @@ def predict(docs: DataFrame, texts: dict[str, list[str]]) -> DataFrame:
             yield arrow_rows(schema, batch.column("_id"), batch.column("_hash"), names[best].tolist(), score, bits)
 
     return docs.select("_id", "_hash", "_text").mapInArrow(
-        run, "_id bigint, _hash int, lang_pred string, score double, bits double"
+        run, "_id bigint, _hash binary, lang_pred string, score double, bits double"
     )

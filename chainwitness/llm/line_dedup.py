@@ -39,7 +39,7 @@ def _lines(words):
 def _all_lines(docs, words_per_edit):
     """Place, name (two words) and half keys of every line with words; short lines have no half keys."""
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("_line", pa.int32()),
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("_line", pa.int32()),
         ("name", pa.int64()), ("check", pa.int64()), ("halves", pa.list_(pa.int64())),
     ])
 
@@ -63,13 +63,13 @@ def _all_lines(docs, words_per_edit):
             )
 
     return docs.mapInArrow(
-        run, "_id bigint, _hash int, _line int, name bigint, check bigint, halves array<bigint>"
+        run, "_id bigint, _hash binary, _line int, name bigint, check bigint, halves array<bigint>"
     )
 
 
 def _line_texts(docs):
     """The words of the lines listed in ``_lines``, in lower case, joined by single spaces."""
-    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_line", pa.int32()), ("words", pa.binary())])
+    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.binary()), ("_line", pa.int32()), ("words", pa.binary())])
 
     def run(batches):
         for batch in small_slices(batches):
@@ -84,7 +84,7 @@ def _line_texts(docs):
                 schema, batch.column("_id").take(rows), batch.column("_hash").take(rows), [n for _, n in places], texts
             )
 
-    return docs.mapInArrow(run, "_id bigint, _hash int, _line int, words binary")
+    return docs.mapInArrow(run, "_id bigint, _hash binary, _line int, words binary")
 
 
 def _variants(lines):
@@ -94,7 +94,7 @@ def _variants(lines):
     missing anywhere. Kind 2: the whole line, with a key that kind 1 rows of longer lines share.
     """
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("_line", pa.int32()), ("kind", pa.int8()), ("key", pa.int64())
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("_line", pa.int32()), ("kind", pa.int8()), ("key", pa.int64())
     ])
 
     def run(batches):
@@ -119,7 +119,7 @@ def _variants(lines):
                 schema, *(batch.column(c).take(rows) for c in _PLACE), pa.array(kinds), pa.array(keys.view(np.int64))
             )
 
-    return lines.mapInArrow(run, "_id bigint, _hash int, _line int, kind tinyint, key bigint")
+    return lines.mapInArrow(run, "_id bigint, _hash binary, _line int, kind tinyint, key bigint")
 
 
 def one_edit(a, b):
@@ -136,7 +136,7 @@ def one_edit(a, b):
 
 def _verified(pairs):
     """Places of lines whose words are within one edit of those of the earlier line."""
-    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.int32()), ("_line", pa.int32())])
+    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.binary()), ("_line", pa.int32())])
 
     def run(batches):
         for batch in batches:
@@ -144,7 +144,7 @@ def _verified(pairs):
                 batch.column("words").to_pylist(), batch.column("earlier").to_pylist())]
             yield arrow_rows(schema, *(batch.column(c).filter(pa.array(good, pa.bool_())) for c in _PLACE))
 
-    return pairs.mapInArrow(run, "_id bigint, _hash int, _line int")
+    return pairs.mapInArrow(run, "_id bigint, _hash binary, _line int")
 
 
 def _near(first, docs):
@@ -154,7 +154,7 @@ def _near(first, docs):
     shared = halves.groupBy("half").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
     shared = stage(shared.select("half"), "halves")
     wanted = halves.join(shared, "half", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("_line").alias("_lines"))
-    lines = stage(_line_texts(_joined(docs, wanted, "inner")), "lines")
+    lines = stage(_line_texts(_joined(docs, wanted, "inner")).dropDuplicates(_PLACE), "lines")  # rows may repeat
     variants = stage(_variants(lines), "variants")
     met = variants.groupBy("key").agg(
         F.min(F.when(F.col("kind") == 0, place)).alias("replaced"),
@@ -184,7 +184,7 @@ def _joined(left, right, how):
 def _rewritten(docs):
     """The texts with only those lines that have no words or are listed in ``_lines``."""
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("_n_lines", pa.int64()), ("_n_removed", pa.int64()), ("_kept", pa.string())
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("_n_lines", pa.int64()), ("_n_removed", pa.int64()), ("_kept", pa.string())
     ])
 
     def run(batches):
@@ -205,7 +205,7 @@ def _rewritten(docs):
             yield found.append_column("_row", batch.column("_row")) if carried else found
 
     carried = f", _row {docs.schema['_row'].dataType.simpleString()}" if "_row" in docs.columns else ""
-    return docs.mapInArrow(run, "_id bigint, _hash int, _n_lines bigint, _n_removed bigint, _kept string" + carried)
+    return docs.mapInArrow(run, "_id bigint, _hash binary, _n_lines bigint, _n_removed bigint, _kept string" + carried)
 
 
 def remove_lines(docs: DataFrame, words_per_edit=WORDS_PER_EDIT) -> DataFrame:

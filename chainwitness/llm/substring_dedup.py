@@ -61,7 +61,7 @@ def symbols(names, text_of, rounds=ROUNDS):
 def _named_symbols(docs, window, rounds):
     """The symbols that fit into a window, of all texts."""
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("name", pa.int64()), ("low", pa.int32()), ("high", pa.int32())
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("name", pa.int64()), ("low", pa.int32()), ("high", pa.int32())
     ])
 
     def run(batches):
@@ -77,7 +77,7 @@ def _named_symbols(docs, window, rounds):
                 pa.array(names.view(np.int64)), (low - base).astype(np.int32), (high - base).astype(np.int32),
             )
 
-    return docs.mapInArrow(run, "_id bigint, _hash int, name bigint, low int, high int")
+    return docs.mapInArrow(run, "_id bigint, _hash binary, name bigint, low int, high int")
 
 
 def _only_once(rows, key, *place):
@@ -108,7 +108,7 @@ def _spans(column, row):
 def _candidates(docs, window):
     """Name (96 bits) and place of each window that no symbol of its own rules out."""
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("name", pa.int64()), ("check", pa.int32()), ("low", pa.int32())
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("name", pa.int64()), ("check", pa.int32()), ("low", pa.int32())
     ])
 
     def run(batches):
@@ -128,13 +128,13 @@ def _candidates(docs, window):
                 (at - words.first[text]).astype(np.int32),
             )
 
-    return docs.mapInArrow(run, "_id bigint, _hash int, name bigint, check int, low int")
+    return docs.mapInArrow(run, "_id bigint, _hash binary, name bigint, check int, low int")
 
 
 def _kept(docs, window):
     """The texts without the words of repeated windows."""
     schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.int32()), ("_n_words", pa.int64()), ("_n_removed", pa.int64()), ("_kept", pa.string())
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("_n_words", pa.int64()), ("_n_removed", pa.int64()), ("_kept", pa.string())
     ])
 
     def run(batches):
@@ -160,7 +160,7 @@ def _kept(docs, window):
                 texts.append(b" ".join(words).decode())
             yield arrow_rows(schema, batch.column("_id"), batch.column("_hash"), counts, removed, texts)
 
-    return docs.mapInArrow(run, "_id bigint, _hash int, _n_words bigint, _n_removed bigint, _kept string")
+    return docs.mapInArrow(run, "_id bigint, _hash binary, _n_words bigint, _n_removed bigint, _kept string")
 
 
 def remove_repeats(docs: DataFrame, window=WINDOW, rounds=ROUNDS) -> DataFrame:

@@ -1,11 +1,10 @@
 import collections
-import hashlib
 
 import numpy as np
 from brute import edited, mixed_texts, prose, rooted, words
 from pyspark.sql import functions as F
 
-from chainwitness.llm import embedding_dedup, jaccard_join, line_dedup, substring_dedup
+from chainwitness.llm import embedding_dedup, jaccard_join, line_dedup, lm_scoring, substring_dedup
 from chainwitness.llm.common import identified
 from chainwitness.llm.components import components
 
@@ -175,5 +174,52 @@ def test_cover_trees_rule_out_no_near_pair():
     assert set(i) <= set(at) and set(j) <= set(bt) and len(trees[0]) > 2
 
 
-def test_digest_of_an_emptied_text():
-    assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+def _staged(monkeypatch, module):
+    """Records the number of rows of each staged table."""
+    counts, plain = collections.defaultdict(list), module.stage
+
+    def counted(df, name):
+        found = plain(df, name)
+        counts[name].append(found.count())
+        return found
+
+    monkeypatch.setattr(module, "stage", counted)
+    return counts
+
+
+def test_near_texts_of_many_equal_rows_are_one_pair(documents, monkeypatch):
+    counts = _staged(monkeypatch, jaccard_join)
+    a = prose(1, 200, 5000)
+    b = edited(a, 3, 0.01)
+    found = jaccard_join.linked(identified(documents([(1, a), (2, b)] * 200))).collect()
+    assert len(found) == 400 and {r["component_id"] for r in found} == {1} and sum(r["kept"] for r in found) == 1
+    assert max(counts["texts"]) == 2 and max(counts["links"]) == 1
+
+
+def test_near_lines_of_many_equal_rows_are_one_pair(documents, monkeypatch):
+    counts = _staged(monkeypatch, line_dedup)
+    line = prose(1, 14)
+    found = line_dedup.remove_lines(identified(documents([(1, line), (2, line + " more")] * 200))).collect()
+    assert collections.Counter((r["_id"], r["_kept"]) for r in found) == {(1, line): 200, (2, ""): 200}
+    assert counts["lines"] == [2] and counts["near"] == [1]
+
+
+def _same_short_hash(spark):
+    """Two texts of different length that one 32-bit hash cannot tell apart."""
+    text = F.concat(F.expr("repeat('word ', cast(id % 7 as int))"), F.lit("n"), "id")
+    rows = spark.range(500_000).select(text.alias("t"), F.hash(text).alias("h"))
+    pair = rows.groupBy("h").agg(F.min(F.struct(F.length("t"), "t")).alias("a"), F.max(F.struct(F.length("t"), "t")).alias("b"))
+    found = pair.where("size(split(a.t, ' ')) <> size(split(b.t, ' '))").select("a.t", "b.t").first()
+    return tuple(found)
+
+
+def test_texts_under_one_id_are_told_apart(spark, documents):
+    a, b = _same_short_hash(spark)
+    rows = [(5, a), (5, b), (None, a), (None, b), (5, None), (5, "")]
+    keys = identified(documents(rows)).select("_id", "_hash").distinct().count()
+    assert keys == 6
+    scored = lm_scoring.score(identified(documents(rows))).collect()
+    n = [len(words(t)) + 1 for _, t in rows]
+    assert sorted((str(r["_id"]), r["n_tokens"]) for r in scored) == sorted((str(i), k) for (i, _), k in zip(rows, n))
+    kept = line_dedup.remove_lines(identified(documents(rows))).where("_id = 5").collect()
+    assert sorted(str(r["_kept"]) for r in kept) == sorted(["", "", "", "None"])  # null ids come first

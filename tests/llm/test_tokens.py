@@ -31,7 +31,7 @@ def test_codec_equals_the_library(documents, library):
 
 
 def test_cut_ids_decode_to_replacement_characters(spark, documents):
-    ids = spark.createDataFrame([(1, 1, [447])], "_id bigint, _hash int, _ids array<int>")  # first bytes of a quote mark
+    ids = spark.createDataFrame([(1, b"", [447])], "_id bigint, _hash binary, _ids array<int>")  # first bytes of a quote mark
     assert "�" in bpe.decode(ids, FILE).first()["_decoded"]
 
 
