@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from chainwitness.llm import bpe, decontamination, jaccard_join, language_id, line_dedup
 from chainwitness.llm.catalog import tokenizer_file
-from chainwitness.llm.common import identified, stage, table, without
+from chainwitness.llm.common import identified, stage, table, text_key, without
 from chainwitness.session import ship_package
 
 #: SQL has no statement for learned languages or for the tokenizer; tests compare with brute force.
@@ -66,7 +66,7 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     decoded = bpe.round_trip(identified(texts), tokenizer_file())
     return decoded.select(
         F.col("_id").alias("doc_id"), F.size("_ids").cast("long").alias("n_tokens"), F.col("_ids").alias("ids"),
-        (F.hash("_decoded") == F.col("_hash")).alias("round_trip"),
+        (text_key(F.col("_decoded")) == F.col("_hash")).alias("round_trip"),
     )
 
 
