@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
 from chainwitness.functions import digests, frames, tamper, vectors
-from chainwitness.operators import similarity
+from chainwitness.operators import nearest, similarity
 from chainwitness.plans import evaluation as ev
 from chainwitness.session import spread
 from chainwitness.testing import fixtures as X
@@ -119,6 +119,14 @@ def vector_distances(spark, d):
     )
 
 
+def nearest_vectors(spark, d):
+    """The ten nearest vectors of every vector whose id is divisible by 100."""
+    found = nearest.nearest(X.table(spark, d, "embeddings"), F.col("vec_id") % 100 == 0, 10, "vec_id", "embedding")
+    return found.select(
+        "query_id", F.col("rank").cast("bigint").alias("rank"), F.col("id").alias("vec_id"), F.round("distance", 6).alias("distance")
+    )
+
+
 def threshold_sweep(spark, d):
     w, h = F.lit(8), F.lit(8)
     scored = X.anchored_pairs(spark, d).select(
@@ -238,7 +246,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         to_grey, ahash, dhash, phash, whash, hamming_join, identical_hashes, hash_comparison,
-        match_decisions, feature_vector, vector_distances, threshold_sweep, cosine_sweep,
+        match_decisions, feature_vector, vector_distances, nearest_vectors, threshold_sweep, cosine_sweep,
         evaluation_summary, ssdeep_digest, ssdeep_similarity, tlsh_digest, tlsh_distance,
         metric_comparison, tamper_bytes, perturb_frames, perturb_noise,
     )
@@ -356,6 +364,10 @@ from (select vec_id, list_transform(g, lambda a: a::double / greatest(list_max(g
   round(list_reduce(list_transform(range(1, 65), lambda i: abs(x[i] - y[i])), lambda p, q: p + q), 6) as l1,
   round(sqrt(list_reduce(list_transform(range(1, 65), lambda i: (x[i] - y[i]) * (x[i] - y[i])), lambda p, q: p + q)), 6) as l2,
   round(1 - {_COS}, 6) as cosine from pairs""",
+    "nearest_vectors": f"""with {_EMB} select query_id, rank, vec_id, round(apart, 6) as distance
+from (select *, row_number() over (partition by query_id order by apart, vec_id) as rank
+  from (select q.vec_id as query_id, e.vec_id, round(list_distance(q.x, e.x), 9) as apart from emb q join emb e on q.vec_id <> e.vec_id where q.vec_id % 100 = 0) t) r
+where rank <= 10""",
     "threshold_sweep": f"with {_PAIRS} " + _sweep(
         "average", f"select is_genuine, {_HAMMING} as score from (select is_genuine, {_AVG.format(g='g')} as a, {_AVG.format(g='h')} as b from pairs) t",
         V.SWEEP_THRESHOLDS, "<="),
