@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
 from chainwitness.functions import digests, frames, tamper, vectors
-from chainwitness.operators import nearest, similarity
+from chainwitness.operators import fuzzy, nearest, similarity
 from chainwitness.plans import evaluation as ev
 from chainwitness.session import spread
 from chainwitness.testing import fixtures as X
@@ -179,6 +179,13 @@ def ssdeep_similarity(spark, d):
     )
 
 
+def ssdeep_near_dups(spark, d):
+    """Classes of texts whose fuzzy digests score 80 or more, and the other texts that each is linked with."""
+    digest = digests.fuzzy_digest(F.encode("text", "UTF-8"))
+    found = fuzzy.fuzzy_classes(spread(X.table(spark, d, "documents")).select("doc_id", digest.alias("digest")), 80, "doc_id")
+    return found.select(F.col("id").alias("doc_id"), "n_links", "class_id")
+
+
 def tlsh_digest(spark, d):
     digest = digests.locality_digest(F.encode("text", "UTF-8"))
     return spread(X.table(spark, d, "documents")).select("doc_id", digest.alias("f")).select(
@@ -247,7 +254,7 @@ QUERIES = {
     for f in (
         to_grey, ahash, dhash, phash, whash, hamming_join, identical_hashes, hash_comparison,
         match_decisions, feature_vector, vector_distances, nearest_vectors, threshold_sweep, cosine_sweep,
-        evaluation_summary, ssdeep_digest, ssdeep_similarity, tlsh_digest, tlsh_distance,
+        evaluation_summary, ssdeep_digest, ssdeep_similarity, ssdeep_near_dups, tlsh_digest, tlsh_distance,
         metric_comparison, tamper_bytes, perturb_frames, perturb_noise,
     )
 }

@@ -27,9 +27,40 @@ LOCALITY = T.StructType(
     ]
 )
 _LETTERS = np.array(list(V.FUZZY_ALPHABET))
+SIDE_BY_SIDE = 128  # fewer contents than this go one after the other
+GROUP_BYTES = 16_000_000
 
 
-def _trigger_values(data):
+def _products(contents):
+    """For each content r = (r * factor + byte) mod 2^32 after each of its bytes, from r = 0.
+
+    Each step needs the one before, so contents go side by side, one step for a byte of all of them, in
+    order of length; what the last few longer ones have left goes byte by byte. The product exceeds
+    2^53: it is rounded to a double before it wraps.
+    """
+    factor, wrap = float(V.FUZZY_MULTIPLIER), 4294967296.0
+    order = sorted(range(len(contents)), key=lambda i: -len(contents[i]))
+    sizes = np.array([len(contents[i]) for i in order], np.int64)
+    starts = np.concatenate(([0], np.cumsum(sizes)))[:-1]
+    flat = np.concatenate([contents[i] for i in order])
+    out, r, step = np.empty(len(flat), np.uint32), np.zeros(len(order)), 0
+    longest = int(sizes[0])
+    at_step = np.searchsorted(-sizes, -np.arange(longest), side="left")  # contents that have a byte at each step
+    while step < longest and at_step[step] >= SIDE_BY_SIDE:
+        at = starts[: at_step[step]] + step
+        product = r[: len(at)] * factor + flat[at]
+        r[: len(at)] = product - np.floor(product / wrap) * wrap
+        out[at] = r[: len(at)]
+        step += 1
+    for i in range(at_step[step] if step < longest else 0):
+        rest = flat[starts[i] + step:starts[i] + sizes[i]].tolist()
+        values = accumulate(rest, lambda r, v: (r * factor + v) % wrap, initial=float(r[i]))
+        out[starts[i] + step:starts[i] + sizes[i]] = np.fromiter(values, np.float64, len(rest) + 1)[1:]
+    values = {i: out[a:a + n] for i, a, n in zip(order, starts, sizes)}
+    return [values[i] for i in range(len(contents))]
+
+
+def _trigger_values(data, products):
     """The rolling value at each byte that decides where pieces end."""
     b = data.astype(np.int64)
     step = b.copy()
@@ -37,13 +68,7 @@ def _trigger_values(data):
     window = np.zeros(len(b), np.int64)
     for j in range(min(V.FUZZY_WINDOW, len(b))):  # older terms are multiples of 2^32
         window[j:] += step[: len(b) - j] << (5 * j)
-    # the product exceeds 2^53: it is rounded to a double before it wraps
-    wrap, factor = 4294967296.0, float(V.FUZZY_MULTIPLIER)
-    product = np.fromiter(
-        accumulate(data.tolist(), lambda r, v: (r * factor + v) % wrap, initial=0.0),
-        np.float64, len(b) + 1,
-    )[1:].astype(np.int64)
-    return (window + np.bitwise_xor.accumulate(b) + product) & 0xFFFFFFFF
+    return (window + np.bitwise_xor.accumulate(b) + products.astype(np.int64)) & 0xFFFFFFFF
 
 
 def _piece_letters(data, ends):
@@ -65,24 +90,39 @@ def _piece_letters(data, ends):
     return "".join(_LETTERS[(body ^ (flips << 5)) & 63])
 
 
-def _fuzzy(data):
+def _fuzzy(data, products):
     size = V.FUZZY_MIN_BLOCK
     while size * V.FUZZY_BLOCKS < len(data):
         size *= 2
-    b = np.frombuffer(data, np.uint8)
-    if not len(b):
+    if not len(data):
         letter = V.FUZZY_ALPHABET[V.FUZZY_SEED & 63]
         return size, letter, letter
-    rolling = _trigger_values(b)
-    parts = [_piece_letters(b, np.flatnonzero(rolling % k == k - 1)) for k in (size, 2 * size)]
+    rolling = _trigger_values(data, products)
+    parts = [_piece_letters(data, np.flatnonzero(rolling % k == k - 1)) for k in (size, 2 * size)]
     return (size, *parts)
 
 
+def _groups(contents):
+    """Contents in groups of about GROUP_BYTES, those of like length together."""
+    group, total = [], 0
+    for content in sorted(contents, key=len):
+        if group and total + len(content) > GROUP_BYTES:
+            yield group
+            group, total = [], 0
+        group.append(content)
+        total += len(content)
+    if group:
+        yield group
+
+
 @F.pandas_udf(FUZZY)
 def fuzzy_digest(content: pd.Series) -> pd.DataFrame:
-    """Context-triggered piecewise digest of each content."""
-    rows = [(None, None, None) if c is None else _fuzzy(c) for c in content]
-    return pd.DataFrame(rows, columns=FUZZY.names)
+    """Context-triggered piecewise digest of each content; equal contents of a batch are digested once."""
+    digests = {None: (None, None, None)}
+    for group in _groups({bytes(c) for c in content if c is not None}):
+        arrays = [np.frombuffer(c, np.uint8) for c in group]
+        digests.update((c, _fuzzy(a, p)) for c, a, p in zip(group, arrays, _products(arrays)))
+    return pd.DataFrame([digests[None if c is None else bytes(c)] for c in content], columns=FUZZY.names)
 
 
 def fuzzy_similarity(a, b):
