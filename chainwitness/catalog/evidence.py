@@ -9,9 +9,11 @@ from chainwitness.functions import tamper
 from chainwitness.operators.ordered import mark_first
 from chainwitness.plans import evidence as plan
 from chainwitness.plans import lifecycle, manifest, monitor
+from chainwitness.session import new_dir
 from chainwitness.sources import evidence as src
 from chainwitness.sources import ledger as ledgers
 from chainwitness.sources import manifest as lists
+from chainwitness.sources.objects import ObjectStore
 from chainwitness.testing import fixtures as X
 
 
@@ -171,6 +173,46 @@ def upload_objects(spark, d):
     return added.select("name", "size", F.unix_millis("created_at").alias("created_ms"))
 
 
+def stored_objects(spark, d):
+    """Texts stored as objects in two uploads, the first sent twice; two texts want each name. Bytes are read back."""
+    store = ObjectStore(spark, new_dir(spark, "objects"))
+    files = X.table(spark, d, "documents").select(
+        F.lit(src.EVIDENCE_BUCKET).alias("bucket_id"), F.concat(F.lit("doc/"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".txt")).alias("name"),
+        F.encode("text", "UTF-8").alias("content"), "doc_id",
+    )
+    for batch, rows in ((0, files.where("doc_id % 3 = 0")), (0, files), (1, files)):
+        store.put(rows, batch, F.timestamp_millis(F.lit(1000 * (batch + 1))), order=("doc_id",))
+    return store.get().select(
+        "name", "size", "address", F.sha2("content", 256).alias("content_hash"), F.unix_millis("created_at").alias("created_ms"))
+
+
+def _in_files(rows, spark, key):
+    """A folder with a text file for each value of ``key``, a whole number; returns its path."""
+    path = new_dir(spark, "files")
+    rows.write.partitionBy(key).text(path)
+    return path
+
+
+def _key_in(path, key):
+    return F.regexp_extract(path, f"/{key}=([0-9]+)/", 1).cast("bigint").alias(key)
+
+
+def content_read(spark, d):
+    """Conversations stored as one file each, read back with their bytes."""
+    turns = X.table(spark, d, "conversations").select("conv_id", "turn", "text").repartition("conv_id").sortWithinPartitions("conv_id", "turn", "text")
+    files = src.hashed(src.read_contents(spark, _in_files(turns.drop("turn"), spark, "conv_id")))
+    named = F.endswith("path", F.concat(F.lit("/"), "name"))
+    return files.select(_key_in("path", "conv_id"), "size", F.col("actual_hash").alias("content_hash"), named.alias("named_by_path"))
+
+
+def manifest_files(spark, d):
+    """Hash lists read from text files of at most a million bytes, and parsed."""
+    bodies = X.conv_manifests(spark, d).select("list_id", "body")
+    read = lists.read_manifests(spark, _in_files(bodies, spark, "list_id"), max_bytes=1_000_000)
+    taken = read.where("accepted").select(_key_in("path", "list_id"), "body")
+    return lists.entries(lists.parse(taken)).select("list_id", *big("line"), "hash")
+
+
 def manifest_parse(spark, d):
     return lists.entries(lists.parse(X.conv_manifests(spark, d))).select("list_id", *big("line"), "hash")
 
@@ -197,7 +239,7 @@ QUERIES = {
         global_verdict, file_verdicts, status_summary, evidence_coverage, session_report,
         mutated_ledger_verdict, review_report, file_hash_lookup, duplicate_submissions, filename_hint,
         variant_comparison, size_change, omit_middle, swapped_names, selected_footage, folder_listing,
-        admitted_files, session_sources, upload_objects, manifest_parse, manifest_errors,
+        admitted_files, session_sources, upload_objects, stored_objects, content_read, manifest_files, manifest_parse, manifest_errors,
         manifest_verify, manifest_counts,
     )
 }
@@ -297,7 +339,13 @@ select session_id, 'clip_' || session_id || '_' || printf('%05d', seq::int) || '
   case when conv_id % 4 = 3 then 'Synthetic placeholder (video not available locally or in the cloud)' end as note
 from led where conv_id % 4 >= 2 or seq % 2 = 0""", checks=False),
     "upload_objects": f"with {_OBJECTS} select name, size, created_ms from objects where size % 2 <> 0",
+    "stored_objects": """select 'doc/' || (doc_id // 2) || '.txt' as name, strlen(text)::bigint as size, sha256(text) as address, sha256(text) as content_hash,
+  case when doc_id % 3 = 0 then 1000 else 2000 end::bigint as created_ms
+from (select *, row_number() over (partition by doc_id // 2 order by (doc_id % 3 <> 0)::int, doc_id) as r from documents where text is not null) t where r = 1""",
+    "content_read": """select conv_id, strlen(body)::bigint as size, sha256(body) as content_hash, true as named_by_path
+from (select conv_id, string_agg(coalesce(text, '') || chr(10), '' order by turn, text) as body from conversations group by 1) t""",
     "manifest_parse": f"with recursive {S.SEGMENTS}, {S.CHAINS}, {S.LEDGER}, {S.CHECKS}, {_MANIFEST} select list_id, line, hash from listed",
+    "manifest_files": f"with recursive {S.SEGMENTS}, {S.CHAINS}, {S.LEDGER}, {S.CHECKS}, {_MANIFEST} select list_id, line, hash from listed",
     "manifest_errors": "select distinct conv_id as list_id, 'Line 2 must start with a 64-character SHA-256 hash.' as error from conversations where conv_id % 50 = 49",
     "manifest_verify": S.with_ledger("select list_id, line, hash, status, session_id, seq from matched", _MANIFEST),
     "manifest_counts": S.with_ledger("""select list_id, count(*) as n_supplied, count(*) filter (status = 'REGISTERED') as n_registered,

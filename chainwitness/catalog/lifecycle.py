@@ -177,6 +177,12 @@ def incident_locks(spark, d):
     return held.select("event_id", "held", "newly_held")
 
 
+def chosen_locks(spark, d):
+    """Clips held by an incident, or by the caller's rule: longer than 4.5 s and started in an odd minute."""
+    rule = lambda start, end: (end - start > 4500) & (F.floor(start / 60000) % 2 == 1)
+    return life.incident_holds(_cache(spark, d), X.incidents(spark, d), should_lock=rule).select("event_id", "held", "newly_held")
+
+
 def evidence_hold(spark, d):
     cached = _cache(spark, d)
     sent = cached.where("byte_size % 2 = 0 and event_type = 'error'")
@@ -230,7 +236,7 @@ QUERIES = {
         ledger_valid, ledger_quarantine, idempotent_ingest, register_devices, snapshot_drift,
         anchor_delay, journey_index, monitor_counters, arrival_rollup, newest_300, session_picker,
         video_library, distinct_arrivals, expiry_projection, purge_survivors, purge_count,
-        cache_retention, incident_locks, evidence_hold, backoff_ladder, outbox_pending,
+        cache_retention, incident_locks, chosen_locks, evidence_hold, backoff_ladder, outbox_pending,
         outbox_counts, sent_marks,
     )
 }
@@ -287,6 +293,9 @@ from (select *, count(*) filter (not expired) over (partition by device_id) as k
     "incident_locks": S.with_events("""select event_id, hit or locked as held, hit and not locked as newly_held from (
   select *, exists (select 1 from evt i where i.event_type = 'error' and i.event_id % 97 = 0 and i.device_id = e.device_id
     and e.ended_at >= i.started_at - 30000 and e.started_at <= i.started_at + 30000) as hit from evt e) t"""),
+    "chosen_locks": S.with_events("""select event_id, hit or locked as held, hit and not locked as newly_held from (
+  select *, (ended_at - started_at > 4500 and (started_at // 60000) % 2 = 1) or exists (select 1 from evt i where i.event_type = 'error' and i.event_id % 97 = 0
+    and i.device_id = e.device_id and e.ended_at >= i.started_at - 30000 and e.started_at <= i.started_at + 30000) as hit from evt e) t"""),
     "evidence_hold": S.with_events("select event_id, locked or (byte_size % 2 = 0 and event_type = 'error') as locked from evt"),
     "backoff_ladder": f"""with {_ATTEMPTS},
 marked as (select *, count(*) filter (kind = 'sent') over (partition by key order by n) as g from kinds),

@@ -145,14 +145,15 @@ def cache_retention(
 
 def incident_holds(
     cached, incidents, before_ms=V.INCIDENT_BEFORE_MS, after_ms=V.INCIDENT_AFTER_MS, owner="device_id", key="key",
-    block_rows=BLOCK_ROWS,
+    block_rows=BLOCK_ROWS, should_lock=None,
 ):
     """Add ``held`` and ``newly_held`` to clips that overlap an incident of their device.
 
     A clip overlaps if an incident lies in [started_at - after, ended_at + before].
     For each clip only the first incident at or after the lower end is looked up, so
     no clip/incident pairs are formed and clips may be of any length. ``key`` tells clips apart that start at one
-    instant; no task looks up more than about ``block_rows`` clips and incidents.
+    instant; no task looks up more than about ``block_rows`` clips and incidents. ``should_lock``, a function of the
+    columns of a clip's start and end that gives a condition, holds further clips; null is no.
     """
     low = F.col("started_at") - after_ms
     marks = incidents.select(
@@ -166,6 +167,8 @@ def incident_holds(
         both, [owner], ["_later", "_kind"], F.when(F.col("_kind") == 0, F.col("_at")), "_next", F.col(BLOCK),
     )
     held = F.coalesce(F.col("_next") <= F.col("ended_at") + before_ms, F.lit(False))
+    if should_lock is not None:
+        held = held | F.coalesce(should_lock(F.col("started_at"), F.col("ended_at")), F.lit(False))
     return (
         looked_up.where(F.col("_kind") == 1)
         .withColumn("newly_held", held & ~F.col("locked"))

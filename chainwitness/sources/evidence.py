@@ -58,7 +58,7 @@ def hashed(files, prefix=V.DEFAULT_FILE_PREFIX):
     Hashing is a map over the scan, so contents are never shuffled.
     """
     return files.select(
-        *[c for c in files.columns if c != "content"],
+        *[c for c in files.columns if c not in ("content", "size")],
         F.sha2("content", 256).alias("actual_hash"),
         F.octet_length("content").cast("bigint").alias("size"),
         R.hinted_session(F.col("name"), prefix).alias("hint_session"),

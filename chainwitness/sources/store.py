@@ -27,6 +27,8 @@ class Conflict(Exception):
 class LedgerStore:
     """Rows with unique (session_id, seq) under ``path``; ``buckets`` and ``block`` belong to the table's layout."""
 
+    KEYS = ("session_id", "seq")
+
     def __init__(self, spark, path, schema, buckets=BUCKETS, block=BLOCK):
         self.spark, self.path, self.schema, self.buckets, self.block = spark, path, schema, buckets, block
         self._jvm = spark.sparkContext._jvm
@@ -91,12 +93,12 @@ class LedgerStore:
     # -- writing ------------------------------------------------------------------------
 
     def _write(self, rows, version, record):
-        dealt = rows.repartition(F.col(BUCKET)).sortWithinPartitions(BUCKET, "session_id", "seq")
+        dealt = rows.repartition(F.col(BUCKET)).sortWithinPartitions(BUCKET, *self.KEYS)
         dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(str(self._path("rows", f"version={version}")))
         self._commit(version, record)
 
     def append(self, rows, batch, order=("_arrival",), finish=None):
-        """Add the rows whose (session_id, seq) is not stored yet; returns the rows added.
+        """Add the rows whose key (session_id, seq) is not stored yet; returns the rows added.
 
         ``batch`` names the batch: one that is committed is not added again, which makes a replay after a failure
         harmless. Of several rows with one key in a batch the first by ``order`` stays, by default the first
@@ -109,9 +111,9 @@ class LedgerStore:
             return self._read([v for v in done if v in self.live_versions(commits)])
         if "_arrival" in order:
             rows = rows.withColumn("_arrival", F.monotonically_increasing_id())
-        firsts = stage(first_per_key(rows, ["session_id", "seq"], list(order)).withColumn(BUCKET, self.bucket_of()), "arrivals")
+        firsts = stage(first_per_key(rows, list(self.KEYS), list(order)).withColumn(BUCKET, self.bucket_of()), "arrivals")
         touched = sorted(r[0] for r in firsts.select(BUCKET).distinct().collect())  # at most ``buckets`` numbers
-        keys = [BUCKET, "session_id", "seq"]
+        keys = [BUCKET, *self.KEYS]
         new = firsts.join(self._read(self.live_versions(commits)).where(F.col(BUCKET).isin(*touched)).select(*keys), keys, "left_anti") if touched else firsts
         new = finish(new) if finish else new
         version = max(commits, default=-1) + 1
@@ -131,3 +133,14 @@ class LedgerStore:
         commits = self._commits()
         for version in set(commits) - set(self.live_versions(commits)):
             self._fs.delete(self._path("rows", f"version={version}"), True)
+
+
+class KeyedStore(LedgerStore):
+    """The same table for rows with other unique ``keys``, dealt out by their hash."""
+
+    def __init__(self, spark, path, schema, keys, buckets=BUCKETS):
+        super().__init__(spark, path, schema, buckets)
+        self.KEYS = tuple(keys)
+
+    def bucket_of(self):
+        return F.pmod(F.xxhash64(*self.KEYS), F.lit(self.buckets)).cast("int")
