@@ -14,6 +14,7 @@ from chainwitness.testing import fixtures as X
 # replayed input spans months in a few batches, so nothing counts as late
 REPLAY = "3650 days"
 SLICES = 4
+CLOCK = "clock"
 
 
 def _feed(rows, spark, slice_of, copies=1):
@@ -106,6 +107,36 @@ def stream_rollup(spark, d):
     return live.current_journeys(spark, out)
 
 
+def _timely_feed(spark, d, again=False):
+    """The arrival feed in order of time, a file for each of SLICES equal spans; at the end a record of a later month.
+
+    With ``again`` a fifth of the records are sent twice. The last record moves the clock of the stream past all windows.
+    """
+    rows = X.evt_rows(spark, d).drop("_ts")
+    at = F.unix_millis("created_at")
+    first, last = rows.agg(F.min(at), F.max(at)).first()
+    path, span = new_dir(spark, "feed"), (last - first) // SLICES + 1
+    for k in range(SLICES):
+        part = rows.where((at >= first + k * span) & (at < first + (k + 1) * span))
+        part = part.unionByName(part.where("event_id % 5 = 0")) if again else part
+        part.coalesce(1).write.mode("append").parquet(path)
+    clock = rows.limit(1).withColumn("id", F.lit(CLOCK)).withColumn("session_id", F.lit(CLOCK))
+    clock.withColumn("created_at", F.timestamp_millis(F.lit(last + 40 * 86_400_000))).coalesce(1).write.mode("append").parquet(path)
+    return live.read_stream(spark, path, rows.schema, files_per_batch=1)
+
+
+def stream_daily_rollup(spark, d):
+    """Journey index from windows of a day, whose state ends a day after them."""
+    out = _run(live.windowed_journeys(_timely_feed(spark, d)), "update", spark, _store)
+    return live.merged_journeys(spark, out).where(F.col("session_id") != CLOCK)
+
+
+def stream_closed_windows(spark, d):
+    """Arrivals per five minutes, counted by the stream and given out when a window is over; some arrive twice."""
+    out = _run(live.closed_windows(_timely_feed(spark, d, again=True)), "append", spark, _store)
+    return spark.read.parquet(out).drop(live.BATCH)
+
+
 def stream_counters(spark, d):
     """Running totals of the feed; the last stored row is the current state."""
     feed, schema = _event_feed(spark, d)
@@ -130,8 +161,8 @@ def stream_arrival_windows(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        stream_ingest_dedup, stream_links, stream_live_check, stream_warm_start, stream_rollup, stream_counters,
-        stream_arrival_windows,
+        stream_ingest_dedup, stream_links, stream_live_check, stream_warm_start, stream_rollup, stream_daily_rollup, stream_counters,
+        stream_arrival_windows, stream_closed_windows,
     )
 }
 
@@ -140,6 +171,11 @@ _NOTE = S.joined(
     ("not coalesce(link_ok, true)", f"'{V.LIVE_BAD_LINK}'"), sep=", ",
 )
 
+_JOURNEYS = S.with_events("""select session_id, any_value(device_id) as device_id, count(*) as n_records, min(started_at) as first_at, max(ended_at) as last_at,
+  count(*) filter ("check" = 'bad') as n_bad, greatest(max(created_ms - ended_at), 0) as max_delay_ms from evt group by 1""")
+_WINDOWS = S.with_events("""select created_ms // 300000 * 300000 as window_ms, count(*) as n_records,
+  count(*) filter (created_ms - ended_at > 60000) as n_delayed from evt group by 1""")
+
 ORACLES = {
     "stream_ingest_dedup": S.with_ledger(
         "select id, session_id, seq, chain_hash, 1800000000000 as created_ms, 1800000000000 + 30 * 86400000::bigint as expires_ms from led",
@@ -149,10 +185,10 @@ ORACLES = {
         f"select id, session_id, seq, case when n = '' then 'ok' else 'bad' end as \"check\", n as note from (select id, session_id, seq, {_NOTE} as n from chk) t"),
     "stream_warm_start": S.with_ledger(
         f"select id, session_id, seq, link_ok, case when n = '' then 'ok' else 'bad' end as \"check\" from (select id, session_id, seq, link_ok, {_NOTE} as n from chk where seq >= 3) t"),
-    "stream_rollup": S.with_events("""select session_id, any_value(device_id) as device_id, count(*) as n_records, min(started_at) as first_at, max(ended_at) as last_at,
-  count(*) filter ("check" = 'bad') as n_bad, greatest(max(created_ms - ended_at), 0) as max_delay_ms from evt group by 1"""),
+    "stream_rollup": _JOURNEYS,
+    "stream_daily_rollup": _JOURNEYS,
     "stream_counters": S.with_events("""select count(*) as n_total, count(*) filter ("check" = 'ok') as n_ok, count(*) filter ("check" = 'bad') as n_bad,
   count(*) filter (created_ms - ended_at > 60000) as n_delayed from evt"""),
-    "stream_arrival_windows": S.with_events("""select created_ms // 300000 * 300000 as window_ms, count(*) as n_records,
-  count(*) filter (created_ms - ended_at > 60000) as n_delayed from evt group by 1"""),
+    "stream_arrival_windows": _WINDOWS,
+    "stream_closed_windows": _WINDOWS,
 }

@@ -149,6 +149,44 @@ def live_status(arrivals, links):
 # -- rollups -----------------------------------------------------------------------------
 
 
+def windowed_journeys(stream, width="1 day", lateness="1 day"):
+    """Journey index by session and window of arrival; write it in update mode with ``rollup_batch``.
+
+    State holds the windows that records may still arrive for: those that end within ``lateness`` of the latest arrival.
+    A record later than that is not counted here; the ledger has it. ``merged_journeys`` puts the windows of a session together.
+    """
+    delay = R.anchor_delay_ms()
+    return stream.withWatermark("created_at", lateness).groupBy("session_id", F.window("created_at", width).alias("w")).agg(
+        F.min(F.struct("started_at", "id", "device_id")).alias("first"),
+        F.count(F.lit(1)).alias("n_records"),
+        F.max("ended_at").alias("last_at"),
+        F.count_if(F.col("check") == "bad").alias("n_bad"),
+        F.max(delay).alias("max_delay_ms"),
+    ).select("session_id", F.col("w.start").alias("since"), "first", "n_records", "last_at", "n_bad", "max_delay_ms")
+
+
+def merged_journeys(spark, path):
+    """Journey index of every session from the newest stored state of its windows."""
+    rows = spark.read.parquet(path)
+    keys = ["session_id", "since"]
+    fields = [c for c in rows.columns if c not in (BATCH, *keys)]
+    latest = rows.groupBy(*keys).agg(F.max_by(F.struct(*fields), BATCH).alias("state")).select(*keys, "state.*")
+    return latest.groupBy("session_id").agg(
+        F.min("first").alias("first"), F.sum("n_records").alias("n_records"), F.max("last_at").alias("last_at"),
+        F.sum("n_bad").alias("n_bad"), F.greatest(F.max("max_delay_ms"), F.lit(0)).cast("bigint").alias("max_delay_ms"),
+    ).select("session_id", "first.device_id", "n_records", F.col("first.started_at").alias("first_at"), "last_at", "n_bad", "max_delay_ms")
+
+
+def closed_windows(stream, width="5 minutes", lateness="1 day"):
+    """Arrivals and delays per window, each id once, as the stream counts them; append mode.
+
+    A window is given out once, when the latest arrival is ``lateness`` past its end, and its state goes; so do the ids of that time.
+    """
+    return distinct_arrivals(stream, lateness).groupBy(F.window("created_at", width).alias("w")).agg(
+        F.count(F.lit(1)).alias("n_records"), F.count_if(R.is_late_anchor(R.anchor_delay_ms())).alias("n_delayed"),
+    ).select(F.unix_millis("w.start").alias("window_ms"), "n_records", "n_delayed")
+
+
 def rollup_batch(path):
     """A ``foreachBatch`` function that stores the sessions changed by a batch."""
 

@@ -77,3 +77,38 @@ def test_warm_start_adds_known_predecessors(spark, tmp_path):
     links = live.link_results(live.read_stream(spark, feed, schema), before, "1 day")
     live.drain(links.writeStream.foreachBatch(live.rollup_batch(out)), str(tmp_path / "state"))
     assert [(r["id"], r["link_ok"]) for r in spark.read.parquet(out).collect()] == [("r1", True)]
+
+
+def arrivals(spark, feed, rows):
+    """A file of records (id, session, second of arrival) of device d."""
+    df = spark.createDataFrame(rows, "id string, session_id string, second long").select(
+        "id", "session_id", F.lit("d").alias("device_id"), (F.col("second") * 1000 - 500).alias("started_at"), (F.col("second") * 1000).alias("ended_at"),
+        F.timestamp_seconds("second").alias("created_at"), F.when(F.col("id").endswith("7"), "bad").otherwise("ok").alias("check"))
+    df.coalesce(1).write.mode("append").parquet(feed)
+    return df.schema
+
+
+def test_state_of_windows_that_are_over_goes(spark, tmp_path):
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    day = 86_400
+    for k in range(10):  # ten days, twelve sessions a day; session s0 every day
+        schema = arrivals(spark, feed, [(f"r{k}-{i}", f"s{0 if i == 0 else k * 100 + i}", k * day + i) for i in range(12)])
+    schema = arrivals(spark, feed, [("late7", "s0", 5), ("last", "s0", 9 * day + 90)])  # the first is days too late
+    rollup = live.windowed_journeys(live.read_stream(spark, feed, schema, files_per_batch=1), "1 day", "1 day")
+    query = live.drain(rollup.writeStream.outputMode("update").foreachBatch(live.rollup_batch(out)), str(tmp_path / "state"))
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] <= 3 * 12
+    found = {r["session_id"]: r for r in live.merged_journeys(spark, out).collect()}
+    assert len(found) == 1 + 10 * 11
+    assert (found["s0"]["n_records"], found["s0"]["n_bad"], found["s0"]["first_at"], found["s0"]["last_at"]) == (11, 0, -500, (9 * day + 90) * 1000)
+
+
+def test_windows_are_given_out_once(spark, tmp_path):
+    feed, out = str(tmp_path / "feed"), str(tmp_path / "out")
+    arrivals(spark, feed, [("a", "s", 10), ("b", "s", 20), ("a", "s", 10), ("c", "s", 400)])
+    arrivals(spark, feed, [("b", "s", 20), ("d", "t", 290)])
+    schema = arrivals(spark, feed, [("clock", "x", 100_000)])
+    windows = live.closed_windows(live.read_stream(spark, feed, schema, files_per_batch=1), "5 minutes", "1 hour")
+    query = live.drain(windows.writeStream.outputMode("append").foreachBatch(live.rollup_batch(out)), str(tmp_path / "state"))
+    rows = sorted((r["window_ms"], r["n_records"], r["n_delayed"]) for r in spark.read.parquet(out).collect())
+    assert rows == [(0, 3, 0), (300_000, 1, 0)]
+    assert all(s["numRowsTotal"] <= 1 for s in query.lastProgress["stateOperators"])
