@@ -60,6 +60,34 @@ def review_report(spark, d):
     return plan.report_documents(verification(spark, d))
 
 
+def _fields(documents, part, key, schema):
+    """The fields of one kind of document of a report."""
+    return documents.where(F.col("part") == part).select(key, F.from_json("document", schema).alias("_f")).select(key, "_f.*")
+
+
+def report_sessions(spark, d):
+    """Sessions as the review report gives them."""
+    schema = """session_id string, part long, device_id string, device_label string, first_seq long, last_seq long, n_records long,
+        genesis_ok boolean, n_time_gaps long, missing_in_db string"""
+    return _fields(review_report(spark, d), "session", "submission_id", schema)
+
+
+def report_time_gaps(spark, d):
+    schema = "session_id string, seq long, gap_ms long, warning string"
+    return _fields(review_report(spark, d), "time_gap", "submission_id", schema)
+
+
+def report_records(spark, d):
+    schema = "session_id string, seq long, id string, chain_ok boolean, signature_ok boolean, link_ok boolean, problems array<string>"
+    found = _fields(review_report(spark, d), "record", "submission_id", schema)
+    return found.withColumn("problems", F.array_join("problems", SEP))
+
+
+def manifest_report(spark, d):
+    """Entries of every hash list as its report gives them."""
+    return _fields(manifest.manifest_documents(_manifest_report(spark, d)), "entry", "list_id", "line long, hash string, status string, session_id string, seq long")
+
+
 def file_hash_lookup(spark, d):
     """Each document's content looked up in a ledger where contents repeat."""
     docs = X.table(spark, d, "documents")
@@ -237,10 +265,10 @@ QUERIES = {
     f.__name__: f
     for f in (
         global_verdict, file_verdicts, status_summary, evidence_coverage, session_report,
-        mutated_ledger_verdict, review_report, file_hash_lookup, duplicate_submissions, filename_hint,
+        mutated_ledger_verdict, review_report, report_sessions, report_time_gaps, report_records, file_hash_lookup, duplicate_submissions, filename_hint,
         variant_comparison, size_change, omit_middle, swapped_names, selected_footage, folder_listing,
         admitted_files, session_sources, upload_objects, stored_objects, content_read, manifest_files, manifest_parse, manifest_errors,
-        manifest_verify, manifest_counts,
+        manifest_verify, manifest_counts, manifest_report,
     )
 }
 
@@ -311,6 +339,13 @@ join (select submission_id, session_id, coalesce(string_agg(case when seq - prev
       else '#' || (prev + 1) || '–#' || (seq - 1) end, ', ' order by seq) filter (seq > prev + 1), '') as missing_in_evidence
     from (select *, lag(seq) over (partition by submission_id, session_id order by seq) as prev from have) t group by 1, 2) m
   using (submission_id, session_id)"""),
+    "report_sessions": S.with_verdicts(f"""
+select submission_id, session_id, 0::bigint as part, device_id, device_label, first_seq, last_seq, n_records, genesis_ok, n_time_gaps, missing_in_db
+from involved join ({AUDIT_SELECT}) a using (session_id)"""),
+    "report_time_gaps": S.with_verdicts(f"""select submission_id, session_id, seq, gap_ms, 'Time gap of ' || {S.duration('gap_ms')} || ' before seq ' || seq || '.' as warning
+from involved join chk using (session_id) where gap_ms > 2000"""),
+    "report_records": S.with_verdicts("""select submission_id, session_id, seq, id, chain_ok, signature_ok, link_ok, problems
+from involved join chk using (session_id)"""),
     "mutated_ledger_verdict": S.with_verdicts(_GLOBAL).replace("from led window w", "from moved window w").replace(
         "chk as (", """moved as (select * exclude (started_at, ended_at), started_at - case when seq = 2 then 60000 else 0 end as started_at,
   ended_at - case when seq = 2 then 60000 else 0 end as ended_at from led),
@@ -348,6 +383,7 @@ from (select conv_id, string_agg(coalesce(text, '') || chr(10), '' order by turn
     "manifest_files": f"with recursive {S.SEGMENTS}, {S.CHAINS}, {S.LEDGER}, {S.CHECKS}, {_MANIFEST} select list_id, line, hash from listed",
     "manifest_errors": "select distinct conv_id as list_id, 'Line 2 must start with a 64-character SHA-256 hash.' as error from conversations where conv_id % 50 = 49",
     "manifest_verify": S.with_ledger("select list_id, line, hash, status, session_id, seq from matched", _MANIFEST),
+    "manifest_report": S.with_ledger("select list_id, line, hash, status, session_id, seq from matched", _MANIFEST),
     "manifest_counts": S.with_ledger("""select list_id, count(*) as n_supplied, count(*) filter (status = 'REGISTERED') as n_registered,
   count(*) filter (status in ('NOT_FOUND', 'INVALID_RECORD')) as n_not_valid, count(*) filter (status = 'DUPLICATE') as n_repeated
 from matched group by 1""", _MANIFEST),

@@ -12,7 +12,7 @@ from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
 from chainwitness.functions.ecdsa import signature_ok
 from chainwitness.operators.audit import (
-    SEQ_KEY, check_records, judged, session_counts, session_texts, texts,
+    SEQ_KEY, check_records, judged, session_counts, session_texts, texts, time_gaps,
 )
 from chainwitness.operators.ordered import BLOCK_ROWS
 from chainwitness.operators.ranges import gaps, range_parts
@@ -295,33 +295,42 @@ def compare_variants(variants, ledger, devices, **options):
     return verdicts.select("submission_id.submission_id", "submission_id.variant", *rest)
 
 
+def document(part, order, *fields):
+    """Columns of a JSON document: its kind, its place (a column, or 0 for the only one) and its text."""
+    place = F.col(order) if order else F.lit(0)
+    return F.lit(part).alias("part"), place.cast("bigint").alias("ord"), F.to_json(F.struct(*fields)).alias("document")
+
+
+SESSION_FIELDS = (
+    "session_id", "part", "device_id", "device_label", "key_fingerprint", "first_seq", "last_seq", "n_records", "n_signature_ok",
+    "n_chain_ok", "n_links_broken", "genesis_ok", "n_time_gaps", "missing_in_db", "problems", "warnings",
+)
+
+
+def audit_documents(owners, checks, *owner):
+    """Time gaps and record checks of the sessions of each owner, a document each; ``owners`` is (owner, session_id)."""
+    gaps = owners.join(time_gaps(checks), "session_id").select(*owner, *document("time_gap", "seq", "session_id", "seq", "gap_ms", "warning"))
+    fields = ("session_id", "seq", "id", "chain_ok", "signature_ok", "link_ok", "problems")
+    return gaps.unionByName(owners.join(checks, "session_id").select(*owner, *document("record", "seq", *fields)))
+
+
 def report_documents(verification):
-    """One JSON document per submission: verdict, counts and summary; and per file.
+    """JSON documents of every submission: verdict, files, sessions, and time gaps and record checks of those sessions.
 
-    File and session details stay separate rows, so a large submission is never
-    gathered into one document.
+    ``part`` names the kind, ``ord`` the place of a file or the sequence number. Details stay separate rows, so a
+    large submission or session is never gathered into one document. A field that is unknown (such as ``genesis_ok`` once
+    the first record has expired) is absent.
     """
-    heads = verification.verdicts.select(
-        "submission_id", F.lit("verdict").alias("part"), F.lit(0).alias("ord"),
-        F.to_json(F.struct("verdict", "summary", "n_files")).alias("document"),
-    )
+    heads = verification.verdicts.select("submission_id", *document("verdict", None, "verdict", "summary", "n_files"))
     files = verification.files.select(
-        "submission_id", F.lit("file").alias("part"), "ord",
-        F.to_json(
-            F.struct("name", "status", F.col("actual_hash").alias("sha256"),
-                     "session_id", "seq", "problems", "warnings")
-        ).alias("document"),
+        "submission_id",
+        *document("file", "ord", "name", "status", F.col("actual_hash").alias("sha256"), "session_id", "seq", "problems", "warnings"),
     )
     sessions = verification.sessions().select(
-        "submission_id", F.lit("session").alias("part"), F.lit(0).alias("ord"),
-        F.to_json(
-            F.struct("session_id", "part", "device_id", "n_records", "n_signature_ok", "n_chain_ok",
-                     "n_links_broken", "missing_in_db", "missing_in_evidence", "problems", "warnings")
-        ).alias("document"),
+        "submission_id", *document("session", None, *SESSION_FIELDS, "n_submitted", "n_missing_in_evidence", "missing_in_evidence", "summary"),
     )
-    return heads.unionByName(files).unionByName(sessions)
-
-
+    audits = audit_documents(verification.involved, verification.checks, "submission_id")
+    return heads.unionByName(files).unionByName(sessions).unionByName(audits)
 
 
 def write_report(verification, path):

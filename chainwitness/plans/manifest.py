@@ -9,6 +9,7 @@ from chainwitness import fixed_values as V
 from chainwitness.functions.ecdsa import signature_ok
 from chainwitness.operators.audit import SEQ_KEY, audit_sessions, check_records
 from chainwitness.operators.ordered import BLOCK_ROWS
+from chainwitness.plans.evidence import SESSION_FIELDS, audit_documents, document
 from chainwitness.session import release, stage
 from chainwitness.sources.ledger import find_by_hashes, find_sessions
 from chainwitness.sources.manifest import entries, parse
@@ -108,3 +109,17 @@ def manifest_counts(matched, list_id="list_id"):
         count("NOT_FOUND", "INVALID_RECORD").alias("n_not_valid"),
         count("DUPLICATE").alias("n_repeated"),
     )
+
+
+def manifest_documents(report, list_id="list_id"):
+    """JSON documents of every hash list: counts, entries or the error that rejects it, and the audit of the sessions that its hashes lead to.
+
+    The contents of the files behind the hashes are not looked at, which the counts say.
+    """
+    counts = manifest_counts(report.entries, list_id).select(
+        list_id, *document("list", None, "n_supplied", "n_registered", "n_not_valid", "n_repeated", F.lit(False).alias("content_checked")))
+    listed = report.entries.select(list_id, *document("entry", "line", "line", "hash", "status", "session_id", "seq"))
+    errors = report.errors.select(list_id, *document("error", None, "error"))
+    owners = report.entries.where("session_id is not null").select(list_id, "session_id").distinct()
+    sessions = owners.join(report.sessions(), "session_id").select(list_id, *document("session", None, *SESSION_FIELDS))
+    return counts.unionByName(listed).unionByName(errors).unionByName(sessions).unionByName(audit_documents(owners, report.checks, list_id))

@@ -129,6 +129,11 @@ def test_written_report(spark, report, tmp_path):
     assert rows.where("part = 'verdict'").count() == 13
     fields = rows.where("part = 'file'").select(F.json_object_keys("value")).first()[0]
     assert fields[:3] == ["name", "status", "sha256"]
+    sessions = rows.where("part = 'session'").select(F.from_json("value", "session_id string, genesis_ok boolean, key_fingerprint string, n_records long").alias("s")).select("s.*")
+    clean = sessions.where(F.col("session_id") == SESSIONS["clean"]).first()
+    assert clean["genesis_ok"] is True and len(clean["key_fingerprint"]) == 19 and clean["n_records"] == 6
+    records = rows.where("part = 'record'").select(F.get_json_object("value", "$.session_id").alias("s"), F.get_json_object("value", "$.problems").alias("p"))
+    assert records.where(F.col("s") == SESSIONS["doubled"]).where("p like '%Duplicate sequence number%'").count() > 0
 
 
 def test_record_checks(world):

@@ -34,3 +34,19 @@ def test_files(spark, tmp_path):
     (tmp_path / "c.csv").write_text(H)
     rows = {r["path"][-5:]: (r["accepted"], r["body"]) for r in manifest.read_manifests(spark, str(tmp_path), 1_000_000).collect()}
     assert rows == {"a.txt": (True, H), "b.TXT": (False, None), "c.csv": (False, None)}
+
+
+def test_documents_of_hash_lists(spark):
+    from pyspark.sql import functions as F
+
+    from chainwitness.plans import manifest
+    from chainwitness.testing import fixtures as X
+
+    small = "/root/testdata/sf0.001"
+    report = manifest.verify_manifests(X.conv_manifests(spark, small), X.conv_ledger(spark, small), X.devices(spark, small))
+    documents = manifest.manifest_documents(report).cache()
+    n = {r["part"]: r["count"] for r in documents.groupBy("part").count().collect()}
+    assert n["entry"] == report.entries.count() and n["list"] == report.entries.select("list_id").distinct().count()
+    assert n.get("error", 0) == report.errors.count() and n["record"] >= n["session"] > 0
+    first = documents.where("part = 'list'").select(F.json_object_keys("document")).first()[0]
+    assert first == ["n_supplied", "n_registered", "n_not_valid", "n_repeated", "content_checked"]
