@@ -203,7 +203,7 @@ def upload_objects(spark, d):
 
 def stored_objects(spark, d):
     """Texts stored as objects in two uploads, the first sent twice; two texts want each name. Bytes are read back."""
-    store = ObjectStore(spark, new_dir(spark, "objects"))
+    store = ObjectStore(spark, new_dir(spark, "objects"), buckets=32)
     files = X.table(spark, d, "documents").select(
         F.lit(src.EVIDENCE_BUCKET).alias("bucket_id"), F.concat(F.lit("doc/"), F.floor(F.col("doc_id") / 2).cast("string"), F.lit(".txt")).alias("name"),
         F.encode("text", "UTF-8").alias("content"), "doc_id",
