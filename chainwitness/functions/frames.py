@@ -1,9 +1,12 @@
 """Greyscale frames: resampling, perceptual hashes and perturbations.
 
-A frame is ``ARRAY<INT>`` of greys 0..255, row by row, with a width and a height.
+A frame is ``ARRAY<INT>`` of greys 0..255, row by row, with a width and a height. Long frames
+are better kept packed, as ``BINARY`` with one byte per grey: hashes and the feature vector take them too.
 Hashes are 64-bit integers, first bit highest; the DCT hash uses only 63 bits.
 """
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
@@ -13,6 +16,20 @@ from chainwitness.fixed_values import GREY_WEIGHTS
 
 DCT_BITS = 63
 HASH_BITS = 64
+SIDE_BY_SIDE = 128  # frames that are hashed at once
+SLICE_BYTES = 2_000_000
+
+
+def _slices(contents):
+    """Parts of a series of bytes of about SLICE_BYTES; longer contents are a part of their own."""
+    start = total = 0
+    for row, content in enumerate(contents):
+        size = 0 if content is None else len(content)
+        if total and total + size > SLICE_BYTES:
+            yield contents.iloc[start:row]
+            start, total = row, 0
+        total += size
+    yield contents.iloc[start:]
 
 
 @F.pandas_udf(T.ArrayType(T.IntegerType()))
@@ -53,15 +70,20 @@ def _column(number):
     return F.lit(number) if isinstance(number, int) else number
 
 
-def resize(grey, width, height, to_width, to_height):
+def _byte(packed, place):
+    return F.conv(F.hex(F.substring(packed, place, F.lit(1))), 16, 10).cast("int")
+
+
+def resize(grey, width, height, to_width, to_height, packed=False):
     """Nearest-neighbour samples of a frame, as Spark expressions."""
     w, h = _column(width), _column(height)
+    pick = _byte if packed else F.element_at
 
     def samples(g):
         def sample(i):
             x = F.least(F.floor((i % to_width) * (w / F.lit(to_width))), w - 1)
             y = F.least(F.floor(F.floor(i / to_width) * (h / F.lit(to_height))), h - 1)
-            return F.element_at(g, (y * w + x + 1).cast("int"))
+            return pick(g, (y * w + x + 1).cast("int"))
 
         return F.transform(F.sequence(F.lit(0), F.lit(to_width * to_height - 1)), sample)
 
@@ -83,11 +105,11 @@ def _at_least_mean(values, n):
     return bound(values, bits)
 
 
-def average_hash(grey, width, height):
-    return pack_bits(_at_least_mean(resize(grey, width, height, 8, 8), 64))
+def average_hash(grey, width, height, packed=False):
+    return pack_bits(_at_least_mean(resize(grey, width, height, 8, 8, packed), 64))
 
 
-def difference_hash(grey, width, height):
+def difference_hash(grey, width, height, packed=False):
     def bits(small):
         def bit(i):
             at = (F.floor(i / 8) * 9 + i % 8).cast("int")
@@ -95,13 +117,14 @@ def difference_hash(grey, width, height):
 
         return F.transform(F.sequence(F.lit(0), F.lit(63)), bit)
 
-    return pack_bits(bound(resize(grey, width, height, 9, 8), bits))
+    return pack_bits(bound(resize(grey, width, height, 9, 8, packed), bits))
 
 
 def _nearest(grey, width, height, n):
     xs = np.minimum(np.floor(np.arange(n) * (width / n)).astype(int), width - 1)
     ys = np.minimum(np.floor(np.arange(n) * (height / n)).astype(int), height - 1)
-    return np.asarray(grey, np.float64)[(ys[:, None] * width + xs[None, :])]
+    grey = np.frombuffer(grey, np.uint8) if isinstance(grey, (bytes, bytearray, memoryview)) else np.asarray(grey)
+    return grey[ys[:, None] * width + xs[None, :]].astype(np.float64)
 
 
 def _packed(rows):
@@ -112,12 +135,16 @@ def _packed(rows):
 
 
 def _hashed_frames(grey, width, height, samples, bits_of):
-    """Hashes of all frames of a batch at once; null where a frame is missing or empty."""
+    """Hashes of all frames of a batch, some at once; null where a frame is missing or empty."""
     usable = [g is not None and len(g) > 0 and w > 0 and h > 0 for g, w, h in zip(grey, width, height)]
     out = pd.Series(pd.NA, index=grey.index, dtype="Int64")
-    if any(usable):
-        images = np.stack([_nearest(g, int(w), int(h), samples) for g, w, h, ok in zip(grey, width, height, usable) if ok])
-        out[usable] = _packed(bits_of(images))
+    at = np.flatnonzero(usable)
+    hashes = np.empty(len(at), np.int64)
+    for start in range(0, len(at), SIDE_BY_SIDE):
+        some = at[start:start + SIDE_BY_SIDE]
+        images = np.stack([_nearest(grey.iloc[i], int(width.iloc[i]), int(height.iloc[i]), samples) for i in some])
+        hashes[start:start + len(some)] = _packed(bits_of(images))
+    out.iloc[at] = hashes
     return out
 
 
@@ -161,14 +188,14 @@ def hamming_similarity(a, b, n_bits=HASH_BITS):
     return 1 - hamming(a, b) / F.lit(n_bits)
 
 
-def feature_vector(grey, width, height):
+def feature_vector(grey, width, height, packed=False):
     """64 values in [0, 1]: nearest samples over their maximum."""
 
     def scaled(small):
         top = F.greatest(F.array_max(small), F.lit(1))
         return bound(top, lambda t: F.transform(small, lambda v: v / t))
 
-    return bound(resize(grey, width, height, 8, 8), scaled)
+    return bound(resize(grey, width, height, 8, 8, packed), scaled)
 
 
 # -- perturbations --------------------------------------------------------------------
@@ -247,3 +274,39 @@ def splice(grey, other):
         return F.concat(F.slice(g, 1, half), donor)
 
     return bound(grey, spliced)
+
+
+# -- perturbations of packed frames -----------------------------------------------------
+
+
+def brighter(delta):
+    table = np.clip(np.arange(256) + delta, 0, 255).astype(np.uint8)
+    return lambda px, width: table[px]
+
+
+def marked(value=200, size=16):
+    def change(px, width):
+        px, head = px.copy(), np.arange(min(len(px), size * width))
+        px[head[head % width < size]] = value
+        return px
+
+    return change
+
+
+def turned(px, width):
+    return px[::-1]
+
+
+def altered(packed, width, changes):
+    """An array of copies of a packed frame, one for each change; batches go out in small parts."""
+
+    @F.pandas_udf(T.ArrayType(T.BinaryType()))
+    def copies(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for frames, widths in batches:
+            for part in _slices(frames):
+                yield pd.Series([
+                    None if f is None else [change(np.frombuffer(f, np.uint8), w).tobytes() for change in changes]
+                    for f, w in zip(part, widths[part.index])
+                ], index=part.index, dtype=object)
+
+    return copies(packed, width)

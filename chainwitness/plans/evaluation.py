@@ -23,13 +23,13 @@ DEFAULTS = Thresholds()
 METHODS = ("average", "difference", "dct", "wavelet")
 
 
-def frame_hashes(df, grey="grey", width="width", height="height", prefix=""):
-    """Add the four perceptual hashes of a frame."""
+def frame_hashes(df, grey="grey", width="width", height="height", prefix="", packed=False):
+    """Add the four perceptual hashes of a frame (``packed``: it is binary, one byte per grey)."""
     g, w, h = F.col(grey), F.col(width), F.col(height)
     return df.withColumns(
         {
-            f"{prefix}average": frames.average_hash(g, w, h),
-            f"{prefix}difference": frames.difference_hash(g, w, h),
+            f"{prefix}average": frames.average_hash(g, w, h, packed),
+            f"{prefix}difference": frames.difference_hash(g, w, h, packed),
             f"{prefix}dct": frames.dct_hash(g, w, h),
             f"{prefix}wavelet": frames.wavelet_hash(g, w, h),
         }
@@ -58,14 +58,14 @@ def compare_hashes(pairs, a="a_", b="b_", limits=DEFAULTS):
     return pairs.select(*keys, F.inline(F.array(*rows)))
 
 
-def describe(df, grey="grey", width="width", height="height", content="content", prefix=""):
+def describe(df, grey="grey", width="width", height="height", content="content", prefix="", packed=False):
     """Add every fingerprint of a frame: hashes, digests and the feature vector."""
-    out = frame_hashes(df, grey, width, height, prefix)
+    out = frame_hashes(df, grey, width, height, prefix, packed)
     return out.withColumns(
         {
             f"{prefix}fuzzy": digests.fuzzy_digest(F.col(content)),
             f"{prefix}locality": digests.locality_digest(F.col(content)),
-            f"{prefix}vector": frames.feature_vector(F.col(grey), F.col(width), F.col(height)),
+            f"{prefix}vector": frames.feature_vector(F.col(grey), F.col(width), F.col(height), packed),
         }
     )
 

@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
 from chainwitness.functions import records as R
-from chainwitness.functions.frames import bytes_to_grey
 from chainwitness.operators.chain import build_chains
 from chainwitness.operators.ordered import block_of, running_count
 from chainwitness.session import spread, stage
@@ -242,12 +241,12 @@ def embedding_frames(spark, sf_dir):
 
 
 def document_frames(spark, sf_dir):
-    """The bytes of each whole text as a frame 64 wide, the last row filled with zeros."""
+    """The bytes of each whole text as a packed frame 64 wide, the last row filled with zeros."""
     content = F.encode("text", "UTF-8")
     n = F.octet_length(content)
     padded = F.concat(content, F.unhex(F.repeat(F.lit("00"), F.pmod(-n, F.lit(64)))))
     return spread(table(spark, sf_dir, "documents")).select(
-        "doc_id", content.alias("content"), bytes_to_grey(padded).alias("grey"),
+        "doc_id", content.alias("content"), padded.alias("grey"),
         F.lit(64).alias("width"), F.ceil(n / 64).cast("int").alias("height"),
     )
 

@@ -1,6 +1,8 @@
 import random
+import tracemalloc
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
@@ -183,3 +185,46 @@ def test_byte_changes(spark):
     assert bytes(row["shift"]) == data[:30] + bytes((v + 128) % 256 for v in data[30:35]) + data[35:]
     assert bytes(row["inv"]) == data[:20] + bytes(255 - v for v in data[20:30]) + data[30:]
     assert bytes(row["empty"]) == b""
+
+
+def test_hashing_many_frames_takes_little_memory():
+    rng = np.random.default_rng(3)
+    some = [rng.integers(0, 256, 64 * h, dtype=np.int32) for h in (1, 2, 3, 40, 64, 70)] + [None, np.zeros(0, np.int32)]
+    grey = pd.Series(some * 400)
+    height = pd.Series([0 if g is None else len(g) // 64 for g in grey])
+    width = pd.Series(64, index=grey.index)
+    for udf in (frames.wavelet_hash, frames.dct_hash):
+        tracemalloc.start()
+        many = udf.func(grey, width, height)
+        peak = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        assert peak < 20_000_000  # all samples at once are 75 MB and more
+        each = [udf.func(*(c.iloc[i:i + 1] for c in (grey, width, height))).iloc[0] for i in range(len(some))]
+        assert many.isna().tolist() == [e is pd.NA for e in each] * 400
+        assert many.dropna().tolist() == [e for e in each if e is not pd.NA] * 400
+
+
+def test_packed_frames_give_the_same_results(spark):
+    rng = np.random.default_rng(5)
+    sizes = [(64, 1), (64, 30), (7, 5), (20, 40), (64, 64)]
+    rows = [(i, rng.integers(0, 256, w * h, dtype=np.uint8).tobytes(), w, h) for i, (w, h) in enumerate(sizes)]
+    df = spark.createDataFrame(rows, "id int, packed binary, width int, height int")
+    df = df.withColumn("grey", frames.bytes_to_grey("packed"))
+    plain = ev.describe(df, content="packed", prefix="p_")
+    both = ev.describe(plain, grey="packed", content="packed", prefix="q_", packed=True)
+    for row in both.collect():
+        for name in ("average", "difference", "dct", "wavelet", "vector"):
+            assert row["p_" + name] == row["q_" + name] is not None
+    w, h = F.col("width"), F.col("height")
+    changed = df.select(
+        frames.altered(F.col("packed"), w, [frames.brighter(30), frames.marked(), frames.turned]).alias("got"),
+        F.array(*map(frames.grey_to_bytes, (
+            frames.brightness(F.col("grey"), 30), frames.watermark(F.col("grey"), w, h), F.reverse("grey")))).alias("want"),
+    )
+    assert all(row["got"] == row["want"] for row in changed.collect())
+
+
+def test_copies_of_long_batches_go_out_in_parts():
+    data = pd.Series([b"ab" * 700_000, None, b"", b"xyz", b"q" * 1_500_000, b"r" * 900_000])
+    parts = list(frames._slices(data))
+    assert len(parts) == 3 and [c for p in parts for c in p] == data.tolist()
