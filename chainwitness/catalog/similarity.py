@@ -208,14 +208,7 @@ def metric_comparison(spark, d):
     """All nine metrics of each document frame against three altered copies."""
     base = X.document_frames(spark, d).where(F.col("height") > 0)
     changes = {"brighter": frames.brighter(30), "marked": frames.marked(), "reversed": frames.turned}
-    described = ev.describe(base, prefix="a_", packed=True).drop("content")
-    copies = described.withColumn("_copies", frames.altered(F.col("grey"), F.col("width"), list(changes.values())))
-    names = F.array(*[F.lit(k) for k in changes])
-    altered = copies.select(
-        "doc_id", "width", "height", F.posexplode("_copies").alias("_i", "grey"),
-        *[c for c in described.columns if c.startswith("a_")],
-    ).withColumn("variant", F.get(names, F.col("_i")))
-    pairs = ev.describe(altered, content="grey", prefix="b_", packed=True)
+    pairs = ev.described_copies(base, changes)
     table = pairs.select("doc_id", "variant", *[c.alias(n) for n, c in ev.metric_columns().items()])
     return table.withColumn("missed", F.array_join(ev.within_limits(), ","))
 

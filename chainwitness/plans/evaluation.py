@@ -23,17 +23,19 @@ DEFAULTS = Thresholds()
 METHODS = ("average", "difference", "dct", "wavelet")
 
 
-def frame_hashes(df, grey="grey", width="width", height="height", prefix="", packed=False):
-    """Add the four perceptual hashes of a frame (``packed``: it is binary, one byte per grey)."""
-    g, w, h = F.col(grey), F.col(width), F.col(height)
-    return df.withColumns(
-        {
-            f"{prefix}average": frames.average_hash(g, w, h, packed),
-            f"{prefix}difference": frames.difference_hash(g, w, h, packed),
-            f"{prefix}dct": frames.dct_hash(g, w, h),
-            f"{prefix}wavelet": frames.wavelet_hash(g, w, h),
-        }
-    )
+def _hashes(grey, width, height, packed=False):
+    return {
+        "average": frames.average_hash(grey, width, height, packed),
+        "difference": frames.difference_hash(grey, width, height, packed),
+        "dct": frames.dct_hash(grey, width, height),
+        "wavelet": frames.wavelet_hash(grey, width, height),
+    }
+
+
+def frame_hashes(df, grey="grey", width="width", height="height", prefix=""):
+    """Add the four perceptual hashes of a frame."""
+    made = _hashes(F.col(grey), F.col(width), F.col(height))
+    return df.withColumns({prefix + name: column for name, column in made.items()})
 
 
 def compare_hashes(pairs, a="a_", b="b_", limits=DEFAULTS):
@@ -58,16 +60,39 @@ def compare_hashes(pairs, a="a_", b="b_", limits=DEFAULTS):
     return pairs.select(*keys, F.inline(F.array(*rows)))
 
 
+def fingerprints(grey, width, height, content, packed=False):
+    """Every fingerprint of a frame by name (``packed``: it is binary, one byte per grey)."""
+    return _hashes(grey, width, height, packed) | {
+        "fuzzy": digests.fuzzy_digest(content),
+        "locality": digests.locality_digest(content),
+        "vector": frames.feature_vector(grey, width, height, packed),
+    }
+
+
 def describe(df, grey="grey", width="width", height="height", content="content", prefix="", packed=False):
     """Add every fingerprint of a frame: hashes, digests and the feature vector."""
-    out = frame_hashes(df, grey, width, height, prefix, packed)
-    return out.withColumns(
-        {
-            f"{prefix}fuzzy": digests.fuzzy_digest(F.col(content)),
-            f"{prefix}locality": digests.locality_digest(F.col(content)),
-            f"{prefix}vector": frames.feature_vector(F.col(grey), F.col(width), F.col(height), packed),
-        }
-    )
+    made = fingerprints(F.col(grey), F.col(width), F.col(height), F.col(content), packed)
+    return df.withColumns({prefix + name: column for name, column in made.items()})
+
+
+def described_copies(df, changes, grey="grey", width="width", height="height", content_col="content"):
+    """One row per packed frame and changed copy (``variant``): columns ``a_`` tell of the frame, ``b_`` of the copy.
+
+    A frame and its copies are fingerprinted side by side, by one worker of a task, and only fingerprints are multiplied.
+    """
+    g, w, h = F.col(grey), F.col(width), F.col(height)
+    # one array, so that Spark has no reason to part the frame's own fingerprints from the others
+    packed = F.concat(F.array(F.col(content_col), g), frames.altered(g, w, list(changes.values())))
+    copies = df.withColumn("_packed", packed)
+    content, own = (F.get("_packed", F.lit(i)) for i in (0, 1))
+    made = {"a_" + name: column for name, column in fingerprints(own, w, h, content, True).items()}
+    rest, variants = [c for c in df.columns if c not in (grey, content_col)] + list(made), []
+    for i, kind in enumerate(changes):
+        copy = F.get("_packed", F.lit(i + 2))
+        found = {f"_{i}_{name}": column for name, column in fingerprints(copy, w, h, copy, True).items()}
+        variants.append(F.struct(F.lit(kind).alias("variant"), *[F.col(c).alias("b_" + c[3:]) for c in found]))
+        made |= found
+    return copies.withColumns(made).select(*rest, F.inline(F.array(*variants)))
 
 
 def metric_columns(a="a_", b="b_"):

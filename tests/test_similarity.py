@@ -9,6 +9,7 @@ from chainwitness import fixed_values as V
 from chainwitness.functions import digests, frames, tamper, vectors
 from chainwitness.operators import similarity
 from chainwitness.plans import evaluation as ev
+from plan_checks import physical
 
 
 def test_near_hashes_equal_brute_force(spark):
@@ -228,3 +229,19 @@ def test_copies_of_long_batches_go_out_in_parts():
     data = pd.Series([b"ab" * 700_000, None, b"", b"xyz", b"q" * 1_500_000, b"r" * 900_000])
     parts = list(frames._slices(data))
     assert len(parts) == 3 and [c for p in parts for c in p] == data.tolist()
+
+
+def test_frames_and_their_copies_share_a_worker(spark):
+    contents = [bytes(range(64)) * 3, b"\xfe" * 64, b"a" * 6400]
+    df = spark.createDataFrame([(i, c, c, 64, len(c) // 64) for i, c in enumerate(contents)],
+                               "id int, content binary, grey binary, width int, height int")
+    changes = {"brighter": frames.brighter(30), "reversed": frames.turned}
+    pairs = ev.described_copies(df, changes)
+    assert physical(pairs).count("ArrowEvalPython") == 2
+    got = {(r["id"], r["variant"]): r for r in pairs.collect()}
+    assert len(got) == len(contents) * len(changes)
+    for kind, change in changes.items():
+        copies = [(i, change(np.frombuffer(c, np.uint8), 64).tobytes(), 64, len(c) // 64) for i, c in enumerate(contents)]
+        alone = ev.describe(spark.createDataFrame(copies, "id int, grey binary, width int, height int"), content="grey", prefix="b_", packed=True)
+        for row in alone.collect():
+            assert all(got[row["id"], kind][c] == row[c] for c in alone.columns if c.startswith("b_"))
