@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from chainwitness.llm.common import arrow_rows, small_slices, stage
 from chainwitness.llm.words import Words, mixed, span_names
+from chainwitness.session import release
 
 WINDOW = 35
 ROUNDS = 6
@@ -184,7 +185,10 @@ def remove_repeats(docs: DataFrame, window=WINDOW, rounds=ROUNDS) -> DataFrame:
         right = right.select(F.col("_id").alias("i"), F.col("_hash").alias("h"), *names)
         return left.join(right, left["_id"].eqNullSafe(right["i"]) & (left["_hash"] == right["h"]), "left").drop("i", "h")
 
-    windows = _candidates(with_spans(docs, spans), window)
+    # kept with their spans, so that no shuffle of whole texts is on disk beside that of the windows
+    docs = stage(with_spans(docs, spans), "texts")
+    release(spans)
+    windows = _candidates(docs, window)
     single = _only_once(windows.withColumn("key", F.struct("name", "check")), "key", *_KEY, "low")
     alone = stage(single.groupBy(_KEY).agg(F.collect_list("low").alias("_alone")), "windows")
-    return _kept(with_spans(with_spans(docs, spans), alone), window)
+    return _kept(with_spans(docs, alone), window)

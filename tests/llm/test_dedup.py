@@ -223,3 +223,10 @@ def test_texts_under_one_id_are_told_apart(spark, documents):
     assert sorted((str(r["_id"]), r["n_tokens"]) for r in scored) == sorted((str(i), k) for (i, _), k in zip(rows, n))
     kept = line_dedup.remove_lines(identified(documents(rows))).where("_id = 5").collect()
     assert sorted(str(r["_kept"]) for r in kept) == sorted(["", "", "", "None"])  # null ids come first
+
+
+def test_texts_and_their_spans_are_kept_once(documents):
+    rows = [(i, " ".join(f"w{(i % 3) * 50 + k}" for k in range(60))) for i in range(6)]
+    kept = substring_dedup.remove_repeats(identified(documents(rows)))
+    read = {name.split("/")[-2].rsplit("-", 1)[0] for name in kept.inputFiles()}
+    assert read == {"texts", "windows"}  # the table itself is not read and dealt out again
