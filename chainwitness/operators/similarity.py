@@ -74,7 +74,7 @@ def _split_hot(a, b, max_distance):
     for i, p, j in used:
         at_or_after = (F.col("band") != i) | (F.col("place") <= p)
         first = first & (at_or_after | (F.bit_count(_band(apart, j)) > radii[p]))
-    return left.join(right, ["band", "v", "second", "w"]).where(first).drop("place", "second", "w")
+    return left.join(right.hint("merge"), ["band", "v", "second", "w"]).where(first).drop("place", "second", "w")
 
 
 def near_hashes(rows, bits="bits", max_distance=V.MAX_HAMMING, hot_bucket=HOT_BUCKET):
@@ -87,7 +87,9 @@ def near_hashes(rows, bits="bits", max_distance=V.MAX_HAMMING, hot_bucket=HOT_BU
     least one band, so one side looks up every band value and the other side is
     spread over the few values near its own. A pair is kept in the first band where
     it is very close, so no pair appears twice and nothing is de-duplicated later.
-    Buckets with more than ``hot_bucket`` hashes are split by a second band.
+    Buckets with more than ``hot_bucket`` hashes are split by a second band. Both sides
+    are merged: Spark's size check sees the hashes, not the hundreds of rows that each
+    becomes, and would send all of those through the driver.
     """
     # each hash becomes hundreds of rows below: keep the small distinct set spread out
     partitions = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -105,7 +107,7 @@ def near_hashes(rows, bits="bits", max_distance=V.MAX_HAMMING, hot_bucket=HOT_BU
     )
     bucket = ["band", "v"]
     pairs = (
-        a.join(hot, bucket, "left_anti").join(b, bucket)
+        a.join(hot, bucket, "left_anti").join(b.hint("merge"), bucket)
         .unionByName(_split_hot(a.join(hot, bucket, "left_semi"), b.join(hot, bucket, "left_semi"), max_distance))
     )
     apart = F.col("hash_a").bitwiseXOR(F.col("hash_b"))

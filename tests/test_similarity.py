@@ -36,6 +36,14 @@ def test_near_hashes_equal_brute_force(spark):
         assert {(a, b): (n, m, d) for a, b, n, m, d in got} == want
 
 
+def test_near_hashes_send_no_exploded_rows_to_the_driver(spark):
+    """A hash becomes hundreds of rows, which Spark's size check does not see."""
+    text = physical(similarity.near_hashes(spark.range(100).select(F.xxhash64("id").alias("bits"))))
+    assert text.count("SortMergeJoin [band") == 2
+    inner = [x for x in text.split("\n") if "BroadcastHashJoin" in x and "Inner" in x]
+    assert not [x for x in inner if "second, " in x or " v#" in x]
+
+
 def fuzzy_by_definition(data):
     """The piecewise digest with every value computed in full, byte by byte."""
     size = 3
