@@ -8,7 +8,9 @@ other. Variants are emitted as hashed keys and joined; then the words themselves
 
 Before that, lines without a partner are found by halves: one edit leaves the first or the
 last half of the shorter line unchanged, so only lines that share such a half with another
-line can be near it, and only they emit variants.
+line can be near it, and only they emit variants. A bit table of fixed size, filled from the shared
+halves, picks these lines in a second scan, so that no text is shuffled for them; lines that
+it lets through by chance cost work and change no result.
 """
 
 import numpy as np
@@ -18,8 +20,10 @@ from pyspark.sql import functions as F
 
 from chainwitness.llm.common import arrow_rows, small_slices, stage
 from chainwitness.llm.words import Words, mixed, powers, span_names
+from chainwitness.session import release
 
 WORDS_PER_EDIT = 10
+BITS = 27  # of a half key that pick a bit: a table of 16 MB
 _PLACE = ["_id", "_hash", "_line"]
 
 
@@ -36,6 +40,16 @@ def _lines(words):
     return text[opens], line[opens], opens, np.append(opens[1:], len(text))
 
 
+def _half_keys(words, first, last):
+    """Keys of both halves of each line, as it is and with a word more; a row for each line."""
+    n, keys = last - first, []
+    for shorter in (n, n - 1):
+        half, salt = shorter // 2, mixed(shorter.astype(np.uint64))
+        keys.append(span_names(words.names, first, first + half) ^ salt)
+        keys.append(mixed(span_names(words.names, last - half, last) ^ salt))
+    return np.stack(keys, axis=1)
+
+
 def _all_lines(docs, words_per_edit):
     """Place, name (two words) and half keys of every line with words; short lines have no half keys."""
     schema = pa.schema([
@@ -47,14 +61,9 @@ def _all_lines(docs, words_per_edit):
         for batch in small_slices(batches):
             words = Words(batch.column("_text"), lower=True)
             text, line, first, last = _lines(words)
-            n, keys = last - first, []
-            for shorter in (n, n - 1):
-                half, salt = shorter // 2, mixed(shorter.astype(np.uint64))
-                keys.append(span_names(words.names, first, first + half) ^ salt)
-                keys.append(mixed(span_names(words.names, last - half, last) ^ salt))
-            long = n >= words_per_edit
+            long = last - first >= words_per_edit
             offsets = np.concatenate(([0], np.cumsum(4 * long))).astype(np.int32)
-            halves = pa.ListArray.from_arrays(offsets, np.stack(keys, axis=1)[long].ravel().view(np.int64))
+            halves = pa.ListArray.from_arrays(offsets, _half_keys(words, first[long], last[long]).ravel().view(np.int64))
             rows = pa.array(text)
             yield arrow_rows(
                 schema, batch.column("_id").take(rows), batch.column("_hash").take(rows), line.astype(np.int32),
@@ -67,24 +76,46 @@ def _all_lines(docs, words_per_edit):
     )
 
 
-def _line_texts(docs):
-    """The words of the lines listed in ``_lines``, in lower case, joined by single spaces."""
-    schema = pa.schema([("_id", pa.int64()), ("_hash", pa.binary()), ("_line", pa.int32()), ("words", pa.binary())])
+def _bit_table(keys):
+    """Two bits for each key, by its first and its last bits: a table of fixed size, whatever the number of keys."""
+    places = F.array(F.shiftrightunsigned("half", 64 - BITS), F.col("half").bitwiseAND((1 << BITS) - 1))
+    places = keys.select(F.explode(places).alias("place"))
+    cells = places.groupBy(F.shiftright("place", 6).alias("cell")).agg(F.bit_or(
+        F.call_function("shiftleft", F.lit(1).cast("long"), F.col("place").bitwiseAND(63).cast("int"))).alias("bits")).toArrow()
+    table = np.zeros(1 << BITS - 6, np.int64)
+    table[cells.column("cell").to_numpy()] = cells.column("bits").to_numpy()
+    return table.view(np.uint64)
+
+
+def _has_bits(table, keys):
+    first, last = keys >> np.uint64(64 - BITS), keys & np.uint64((1 << BITS) - 1)
+    bit = lambda place: table[place >> np.uint64(6)] >> (place & np.uint64(63))
+    return (bit(first) & bit(last) & np.uint64(1)).astype(bool)
+
+
+def _line_texts(docs, shared, words_per_edit):
+    """First occurrences of the lines with a half in ``shared``: place and words, in lower case, joined by single spaces."""
+    table = docs.sparkSession.sparkContext.broadcast(_bit_table(shared))
+    schema = pa.schema([
+        ("_id", pa.int64()), ("_hash", pa.binary()), ("_line", pa.int32()), ("name", pa.int64()), ("check", pa.int64()), ("words", pa.binary())
+    ])
 
     def run(batches):
         for batch in small_slices(batches):
-            places, texts = [], []
-            for row, (text, wanted) in enumerate(zip(batch.column("_text").to_pylist(), batch.column("_lines").to_pylist())):
-                lines = text.encode().split(b"\n")
-                for number in wanted:
-                    places.append((row, number))
-                    texts.append(b" ".join(lines[number].lower().split()))
-            rows = pa.array([r for r, _ in places], pa.int64())
+            words = Words(batch.column("_text"), lower=True)
+            text, line, first, last = _lines(words)
+            long = np.flatnonzero(last - first >= words_per_edit)
+            at = long[_has_bits(table.value, _half_keys(words, first[long], last[long])).any(axis=1)]
+            first, last, rows = first[at], last[at], pa.array(text[at])
+            spelt = [words.data[a:b].tobytes().lower().split() for a, b in zip(words.starts[first], words.ends[last - 1])]
             yield arrow_rows(
-                schema, batch.column("_id").take(rows), batch.column("_hash").take(rows), [n for _, n in places], texts
+                schema, batch.column("_id").take(rows), batch.column("_hash").take(rows), line[at].astype(np.int32),
+                pa.array(span_names(words.names, first, last).view(np.int64)),
+                pa.array(span_names(mixed(words.names), first, last).view(np.int64)), [b" ".join(x) for x in spelt],
             )
 
-    return docs.mapInArrow(run, "_id bigint, _hash binary, _line int, words binary")
+    found = docs.mapInArrow(run, "_id bigint, _hash binary, _line int, name bigint, check bigint, words binary")
+    return found.groupBy("name", "check").agg(F.min(F.struct(*_PLACE, "words")).alias("first")).select("first.*")
 
 
 def _variants(lines):
@@ -93,9 +124,7 @@ def _variants(lines):
     Kind 0: the word at a place is missing, the place is part of the key. Kind 1: a word is
     missing anywhere. Kind 2: the whole line, with a key that kind 1 rows of longer lines share.
     """
-    schema = pa.schema([
-        ("_id", pa.int64()), ("_hash", pa.binary()), ("_line", pa.int32()), ("kind", pa.int8()), ("key", pa.int64())
-    ])
+    schema = pa.schema([("number", pa.int64()), ("kind", pa.int8()), ("key", pa.int64())])
 
     def run(batches):
         for batch in small_slices(batches, "words"):
@@ -115,11 +144,9 @@ def _variants(lines):
             keys = np.concatenate((placed, missing, whole))
             kinds = np.concatenate((np.zeros(len(at), np.int8), np.ones(len(at), np.int8), np.full(len(n), 2, np.int8)))
             rows = pa.array(np.concatenate((row, row, np.arange(len(n)))))
-            yield arrow_rows(
-                schema, *(batch.column(c).take(rows) for c in _PLACE), pa.array(kinds), pa.array(keys.view(np.int64))
-            )
+            yield arrow_rows(schema, batch.column("number").take(rows), pa.array(kinds), pa.array(keys.view(np.int64)))
 
-    return lines.mapInArrow(run, "_id bigint, _hash binary, _line int, kind tinyint, key bigint")
+    return lines.select("number", "words").mapInArrow(run, "number bigint, kind tinyint, key bigint")
 
 
 def one_edit(a, b):
@@ -147,31 +174,27 @@ def _verified(pairs):
     return pairs.mapInArrow(run, "_id bigint, _hash binary, _line int")
 
 
-def _near(first, docs):
+def _near(first, docs, words_per_edit):
     """Places of first occurrences that are near an earlier line."""
-    place = F.struct(*_PLACE)
-    halves = first.select(*_PLACE, "name", F.explode("halves").alias("half"))
-    shared = halves.groupBy("half").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b")
-    shared = stage(shared.select("half"), "halves")
-    wanted = halves.join(shared, "half", "left_semi").groupBy("_id", "_hash").agg(F.collect_set("_line").alias("_lines"))
-    lines = stage(_line_texts(_joined(docs, wanted, "inner")).dropDuplicates(_PLACE), "lines")  # rows may repeat
+    halves = first.select("name", F.explode("halves").alias("half"))
+    shared = halves.groupBy("half").agg(F.min("name").alias("a"), F.max("name").alias("b")).where("a <> b").select("half")
+    found = stage(_line_texts(docs, shared, words_per_edit), "lines")
+    # numbers in the order of places stand for them in all that follows
+    lines = stage(found.orderBy(*_PLACE).withColumn("number", F.monotonically_increasing_id()), "numbered")
     variants = stage(_variants(lines), "variants")
     met = variants.groupBy("key").agg(
-        F.min(F.when(F.col("kind") == 0, place)).alias("replaced"),
-        F.min(F.when(F.col("kind") == 1, place)).alias("longer"),
-        F.min(F.when(F.col("kind") == 2, place)).alias("shorter"),
+        F.min(F.when(F.col("kind") == 0, F.col("number"))).alias("replaced"),
+        F.min(F.when(F.col("kind") == 1, F.col("number"))).alias("longer"),
+        F.min(F.when(F.col("kind") == 2, F.col("number"))).alias("shorter"),
         F.count(F.lit(1)).alias("n"), F.max("kind").alias("most"), F.min("kind").alias("least"),
     ).where("n > 1 and (most = 0 or (most = 2 and least = 1))")
     met = stage(met.select("key", "replaced", "longer", "shorter"), "met")
     earlier = F.when(F.col("kind") == 0, F.col("replaced")).when(F.col("kind") == 1, F.col("shorter")).otherwise(F.col("longer"))
-    pairs = variants.join(met, "key").withColumn("before", earlier).where(F.col("before") < place)
-    pairs = pairs.select(*_PLACE, "before").distinct()
-    other = lines.select(place.alias("before"), F.col("words").alias("earlier"))
-    return _verified(
-        pairs.join(other, "before").join(lines.select(*(F.col(c).alias(c + "2") for c in _PLACE), "words"),
-                                         [F.col(c).eqNullSafe(F.col(c + "2")) for c in _PLACE])
-        .select(*_PLACE, "words", "earlier")
-    ).distinct()
+    pairs = variants.join(met, "key").withColumn("before", earlier).where("before < number").select("number", "before").distinct()
+    other = lines.select(F.col("number").alias("before"), F.col("words").alias("earlier"))
+    near = stage(_verified(pairs.join(other, "before").join(lines, "number").select(*_PLACE, "words", "earlier")).distinct(), "near")
+    release(found, lines, variants, met)
+    return near
 
 
 def _joined(left, right, how):
@@ -226,7 +249,7 @@ def remove_lines(docs: DataFrame, words_per_edit=WORDS_PER_EDIT) -> DataFrame:
         F.min(F.struct(*_PLACE)).alias("place"), F.first("halves").alias("halves")
     ).select("place.*", "name", "halves")
     first = stage(first, "first")
-    near = stage(_near(first, docs), "near")
+    near = _near(first, docs.where("_text is not null"), words_per_edit)
     place = [F.col(c).eqNullSafe(F.col(c + "2")) for c in _PLACE]
     kept = first.select(*_PLACE).join(near.select(*(F.col(c).alias(c + "2") for c in _PLACE)), place, "left_anti")
     kept = kept.groupBy("_id", "_hash").agg(F.collect_list("_line").alias("_lines"))

@@ -204,6 +204,21 @@ def test_near_lines_of_many_equal_rows_are_one_pair(documents, monkeypatch):
     assert counts["lines"] == [2] and counts["near"] == [1]
 
 
+def test_near_lines_are_found_without_moving_whole_texts(documents, monkeypatch):
+    plans, plain = {}, line_dedup.stage
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(line_dedup, "stage", noted)
+    line = prose(1, 14)
+    rows = documents([(1, line), (2, prose(2, 300) + "\n" + line + " more"), (3, prose(3, 14))])
+    removed = {r["_id"]: r["_n_removed"] for r in line_dedup.remove_lines(identified(rows)).collect()}
+    assert removed == {1: 0, 2: 1, 3: 0}
+    assert "Join" not in plans["lines"] and "_hash" not in plans["met"]
+
+
 def _same_short_hash(spark):
     """Two texts of different length that one 32-bit hash cannot tell apart."""
     text = F.concat(F.expr("repeat('word ', cast(id % 7 as int))"), F.lit("n"), "id")
