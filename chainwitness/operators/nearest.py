@@ -16,6 +16,7 @@ from chainwitness.session import stage
 
 PIVOTS = 128
 BLOCK_ROWS, PACK_ROWS = 128, 32
+AT_ONCE = 32  # queries that are dealt out to other cells, and pairs of blocks that are compared, before their rows go on
 DECIMALS = 9
 _CELLED = "id bigint, cell int, gap double, vector array<double>"
 _PACKED = "cell int, low double, high double, ids array<bigint>, vectors array<double>, gaps array<double>, limits array<double>"
@@ -113,7 +114,7 @@ def _met(packs, blocks, k):
     schema = pa.schema([("query_id", pa.int64()), ("id", pa.int64()), ("distance", pa.float64())])
 
     def run(batches):
-        for batch in batches:
+        for batch in (whole.slice(at, AT_ONCE) for whole in batches for at in range(0, whole.num_rows, AT_ONCE)):
             out = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0)]
             low, high = (batch.column(c).to_pylist() for c in ("low", "high"))
             lists = (_matrices(batch.column(c)) for c in ("q_ids", "q_vectors", "q_gaps", "q_limits", "ids", "vectors"))
@@ -139,11 +140,11 @@ def _best(found, k):
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def _other_cells(queries, pivots, rings):
-    """Each query once for every other cell whose ring reaches within its ``limit``."""
-    def run(batches):
-        schema = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("gap", pa.float64()), ("vector", pa.list_(pa.float64())), ("limit", pa.float64())])
-        for batch in batches:
+def _reached(batches, pivots, rings):
+    """The rows of ``_other_cells``; a query may become a row for each pivot, so batches go out in small parts."""
+    schema = pa.schema([("id", pa.int64()), ("cell", pa.int32()), ("gap", pa.float64()), ("vector", pa.list_(pa.float64())), ("limit", pa.float64())])
+    for whole in batches:
+        for batch in (whole.slice(at, AT_ONCE) for at in range(0, whole.num_rows, AT_ONCE)):
             rows = [], [], [], [], []
             columns = (batch.column(c).to_pylist() for c in ("id", "cell", "limit"))
             for id_, home, limit, vector in zip(*columns, _matrices(batch.column("vector"))):
@@ -159,7 +160,10 @@ def _other_cells(queries, pivots, rings):
             yield pa.RecordBatch.from_arrays([pa.array(rows[0], pa.int64()), pa.array(rows[1], pa.int32()), pa.array(rows[2], pa.float64()),
                                               _lists(rows[3], pa.float64()), pa.array(rows[4], pa.float64())], schema=schema)
 
-    return queries.mapInArrow(run, _CELLED + ", limit double")
+
+def _other_cells(queries, pivots, rings):
+    """Each query once for every other cell whose ring reaches within its ``limit``."""
+    return queries.mapInArrow(lambda batches: _reached(batches, pivots, rings), _CELLED + ", limit double")
 
 
 def nearest(rows: DataFrame, is_query, k=10, id_col="id", vector_col="vector", pivots=PIVOTS) -> DataFrame:

@@ -1,6 +1,7 @@
 """Nearest neighbours against all pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -49,6 +50,21 @@ def test_fewer_than_k_and_none(spark):
     assert nearest(frame(spark, []), F.col("id") == 1).count() == 0
 
 
+def test_queries_are_dealt_out_in_small_parts():
+    """What a task holds does not grow with the queries of a batch."""
+    from chainwitness.operators import nearest as module
+
+    rng = np.random.default_rng(6)
+    n, at = 500, rng.normal(size=(64, 4))
+    vectors = pa.array(rng.normal(size=(n, 4)).tolist(), pa.list_(pa.float64()))
+    whole = pa.record_batch([pa.array(range(n)), pa.array([0] * n, pa.int32()), pa.array([0.0] * n), vectors, pa.array([np.inf] * n)],
+                            names=["id", "cell", "gap", "vector", "limit"])
+    parts = list(module._reached([whole], {4: (0, at)}, np.array([[0.0, 9.0]] * 64)))
+    assert sum(p.num_rows for p in parts) == n * 63 and max(p.num_rows for p in parts) <= 64 * 63
+    rows = pa.Table.from_batches(parts).select(["id", "vector"]).to_pylist()
+    assert all(r["vector"] == vectors[r["id"]].as_py() for r in rows[::97])
+
+
 def test_far_cells_are_not_met(spark, monkeypatch):
     """Clusters far apart: a query meets the blocks of its own cluster only."""
     from chainwitness.operators import nearest as module
