@@ -12,9 +12,6 @@ import json
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chainwitness.operators.ordered import first_per_key
-from chainwitness.session import release, stage
-
 BUCKETS = 256
 BLOCK = 4096
 BUCKET = "bucket"
@@ -94,7 +91,7 @@ class LedgerStore:
 
     def _write(self, rows, version, record):
         dealt = rows.repartition(F.col(BUCKET)).sortWithinPartitions(BUCKET, *self.KEYS)
-        dealt.write.mode("overwrite").partitionBy(BUCKET).parquet(str(self._path("rows", f"version={version}")))
+        dealt.write.mode("overwrite").option("compression", "zstd").partitionBy(BUCKET).parquet(str(self._path("rows", f"version={version}")))
         self._commit(version, record)
 
     def append(self, rows, batch, order=("_arrival",), finish=None):
@@ -103,7 +100,8 @@ class LedgerStore:
         ``batch`` names the batch: one that is committed is not added again, which makes a replay after a failure
         harmless. Of several rows with one key in a batch the first by ``order`` stays, by default the first
         that Spark reads; across batches the earlier one. Only buckets of the batch are read. ``finish`` is applied
-        to the new rows, for stamps of the server.
+        to the new rows, for stamps of the server. The batch is read twice, first for its buckets; whole rows are
+        shuffled twice, to their keys and the new ones to their buckets.
         """
         commits = self._commits()
         done = [v for v, record in commits.items() if record["batch"] == str(batch)]
@@ -111,16 +109,27 @@ class LedgerStore:
             return self._read([v for v in done if v in self.live_versions(commits)])
         if "_arrival" in order:
             rows = rows.withColumn("_arrival", F.monotonically_increasing_id())
-        firsts = stage(first_per_key(rows, list(self.KEYS), list(order)).withColumn(BUCKET, self.bucket_of()), "arrivals")
-        touched = sorted(r[0] for r in firsts.select(BUCKET).distinct().collect())  # at most ``buckets`` numbers
-        keys = [BUCKET, *self.KEYS]
-        new = firsts.join(self._read(self.live_versions(commits)).where(F.col(BUCKET).isin(*touched)).select(*keys), keys, "left_anti") if touched else firsts
+        rows = rows.withColumn(BUCKET, self.bucket_of())
+        touched = sorted(r[0] for r in rows.select(BUCKET).distinct().collect())  # at most ``buckets`` numbers
+        new = self._first_arrivals(rows, list(order), touched, self.live_versions(commits))
         new = finish(new) if finish else new
         version = max(commits, default=-1) + 1
         self._write(new.select(*self.schema.names, BUCKET), version, {"batch": str(batch), "replaces": []})
-        release(firsts)
         return self._read([version])
 
+    def _first_arrivals(self, rows, order, touched, versions):
+        """The first row of each key that is not stored; stored keys meet the rows in the aggregate that finds the first."""
+        keys = [BUCKET, *self.KEYS]
+        rest = [c for c in rows.columns if c not in keys]
+        seen = F.col(BUCKET).isin(*touched) if touched else F.lit(False)
+        moved = F.raise_error(F.lit("the batch gave other rows when it was read again")).cast("boolean")
+        arrived = rows.select(*keys, F.struct(*rest).alias("_row"), F.struct(*order).alias("_order"), F.when(seen, False).otherwise(moved).alias("_stored"))
+        if touched and versions:
+            stored = self._read(versions).where(seen).dropna(subset=list(self.KEYS)).select(*keys, F.lit(True).alias("_stored"))
+            arrived = arrived.unionByName(stored, allowMissingColumns=True)
+        firsts = arrived.groupBy(*keys).agg(F.min_by("_row", "_order").alias("_row"), F.bool_or("_stored").alias("_stored"))
+        return firsts.where("not _stored").select(*keys, "_row.*").select(*rows.columns)
+
     def compact(self):
         """Write all live versions as one; the batches they stand for stay known. Readers see the old or the new one."""
         commits = self._commits()

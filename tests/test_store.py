@@ -90,3 +90,14 @@ def test_compaction_keeps_rows_and_batches(spark, store):
 def test_stamps(spark, store):
     added = store.append(rows(spark, ("a", "s", 0)), 0, finish=lambda new: new.withColumn("id", F.lit("stamped")))
     assert [r["id"] for r in added.collect()] == ["stamped"]
+
+
+def test_an_append_moves_rows_to_their_keys_once(spark, store, monkeypatch):
+    """Stored keys meet the rows in the aggregate that finds first arrivals; no join moves the rows again."""
+    plans, write = [], LedgerStore._write
+    monkeypatch.setattr(LedgerStore, "_write", lambda self, new, v, record: plans.append(
+        new._jdf.queryExecution().executedPlan().toString()) or write(self, new, v, record))
+    store.append(rows(spark, ("a", "s", 0), ("n", None, 1)), 0)
+    added = store.append(rows(spark, ("b", "s", 0), ("c", "s", 1), ("m", None, 1)), 1)
+    assert sorted(r["id"] for r in added.collect()) == ["c", "m"]  # a key with a null is never stored already
+    assert "Join" not in plans[1] and plans[1].count("Exchange") == 1
