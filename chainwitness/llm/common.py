@@ -20,17 +20,23 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def stage(df: DataFrame, name) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back, and let go of its shuffle files.
+def let_go(spark):
+    """Collect the plans that are no longer in use, and so let Spark remove their shuffle files.
 
     Spark removes the files of a shuffle once the driver has collected the plan that
-    made it, so collecting here keeps the steps of a long query from adding up on disk. Plans
+    made it, so collecting keeps the steps of a long query from adding up on disk. Plans
     have finalizers, hence the second collection.
     """
-    staged, system = _stage(df, name), df.sparkSession.sparkContext._jvm.System
+    system = spark.sparkContext._jvm.System
     system.gc()
     time.sleep(0.2)
     system.gc()
+
+
+def stage(df: DataFrame, name) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back, and let go of its shuffle files."""
+    staged = _stage(df, name)
+    let_go(df.sparkSession)
     return staged
 
 

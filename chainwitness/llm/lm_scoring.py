@@ -1,11 +1,13 @@
 """Log probabilities of texts under a hashed maximum-entropy model with classes of words.
 
-A token's probability is that of its class, given the classes of the three tokens before it,
-times its smoothed share of the class. The class part is a softmax over hashed n-gram and skip
-features of those classes. What its gradient needs of a corpus are counts of class runs,
-which one pass over all training texts gathers in a table of bounded size; each update then
-sums the gradients of the parts of that table. Counts of words are a table that grows with
-the corpus: the most frequent ones, a fixed number, are broadcast, all others are joined.
+A token's probability is that of its class, times that of its leaf among the words of the class, times its
+smoothed share of the leaf. Classes are bins of word frequency; the leaf is found digit by digit of the
+word's name, so that a choice is always one of few. Class and digits are each a softmax over hashed
+n-gram and skip features of the three *words* before; the class starts from a model of class runs, the digits from
+the counts of words. One pass over the training texts counts words, one counts class runs, and each
+further one adds up how often every feature came with an outcome and how often the model expects
+it. Counts of words are a table that grows with the corpus: the most frequent ones, a
+fixed number, are broadcast with their classes, all others are joined.
 """
 
 import numpy as np
@@ -13,18 +15,25 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainwitness.llm.common import arrow_rows, small_slices, stage
+from chainwitness.llm.common import arrow_rows, let_go, small_slices, stage
 from chainwitness.llm.words import _LOWERED, Words, mixed
 
-CLASSES = 32  # class 0 is the end of a text, and what stands before its start
+CLASSES = 32  # class 0 is the end of a text, and what stands before its start; the last one holds all words that are not frequent
 FEATURE_ROWS = 1 << 14
 UPDATES = 8
 STEP = 0.25
+PASSES = 3  # over the training texts, for the features of words
+DIGITS, CHILDREN = 3, 16  # a class has up to CHILDREN ** DIGITS leaves
+WORD_ROWS = 1 << 16
+TOKENS = 1 << 13  # handled side by side
+SUMS = 1 << 16  # numbers of the tables of sums that travel as one row
 FREQUENT = 1 << 16
 FOLDS, HELD_OUT = 7, 2
 _END = np.uint64(0x2545F4914F6CDD1D)  # the name of the end token
 #: Which of the three tokens before each feature looks at: n-grams and skips.
 _FEATURES = ((), (1,), (2,), (3,), (1, 2), (1, 3), (2, 3), (1, 2, 3))
+_WORD_FEATURES = ((1,), (2,), (1, 2), (1, 3), (1, 2, 3))
+_LEAVES = CHILDREN ** DIGITS
 
 
 def held_out(id_col):
@@ -33,16 +42,49 @@ def held_out(id_col):
 
 
 def _tokens(column):
-    """Names, classes and texts of all tokens, the end of each text included."""
+    """Names and texts of all tokens, the end of each text included."""
     words = Words(column, lower=True)
-    data, ends, starts = words.data, words.ends, words.starts
-    last = _LOWERED[data[ends - 1]]
-    before = np.where(ends - starts > 1, _LOWERED[data[np.maximum(ends - 2, 0)]], np.uint64(0))
-    classes = (mixed(last ^ mixed(before)) % np.uint64(CLASSES - 1)).astype(np.int64) + 1
     text = words.text_of()
     at = words.first[1:]  # one end after the words of each text
-    texts = np.insert(text, at, np.arange(len(at)))
-    return np.insert(words.names, at, _END), np.insert(classes, at, 0), texts
+    return np.insert(words.names, at, _END), np.insert(text, at, np.arange(len(at)))
+
+
+class _Vocabulary:
+    """Classes and leaves of words, from the counts of the most frequent ones (``names`` sorted) and the number of all others.
+
+    Words in order of frequency are cut into classes of like sums of square roots of their counts. All other words, seen or
+    not, are the last class, with fewer leaves where these would hold less than CHILDREN words each.
+    """
+
+    def __init__(self, names, counts, others):
+        self.names, self.counts = names, counts
+        order = np.lexsort((names, -counts))
+        mass = np.cumsum(np.sqrt(counts[order]))
+        self.classes = np.zeros(len(names), np.int64)
+        if len(names):
+            self.classes[order] = 1 + np.minimum(((mass - mass[0]) / mass[-1] * (CLASSES - 2)).astype(np.int64), CLASSES - 3)
+        self.classes[names == _END] = 0
+        self.levels = 0
+        while self.levels < DIGITS and CHILDREN ** (self.levels + 2) <= others:
+            self.levels += 1
+
+    def find(self, tokens):
+        """Class and leaf of each token, its place among the frequent words, and whether it is one of them."""
+        place = np.minimum(np.searchsorted(self.names, tokens), max(len(self.names) - 1, 0))
+        common = self.names[place] == tokens if len(self.names) else np.zeros(len(tokens), bool)
+        classes = np.where(common, self.classes[place], CLASSES - 1) if len(self.names) else np.full(len(tokens), CLASSES - 1)
+        classes[tokens == _END] = 0  # without training texts as well
+        code = (mixed(tokens) % np.uint64(_LEAVES)).astype(np.int64)
+        few = CHILDREN ** (DIGITS - self.levels)
+        code = np.where(classes == CLASSES - 1, code // few * few, code)
+        return classes, np.where(classes == 0, 0, code), place, common
+
+    def masses(self, per_leaf):
+        """Mass of each leaf, (class, code): counts and kinds of its words, and in the last class one for an unseen one."""
+        mass = per_leaf.reshape(CLASSES, _LEAVES).copy()
+        mass[-1, ::CHILDREN ** (DIGITS - self.levels)] += 1
+        mass[0, 0] = max(mass[0, 0], 1)
+        return mass
 
 
 def _contexts(classes, texts):
@@ -72,23 +114,47 @@ def _log_probabilities(weights, contexts):
     return scores - np.log(np.exp(scores).sum(axis=1, keepdims=True))
 
 
-def _corpus_counts(docs):
-    """Counts of words (``kind`` 0: name, class) and of class runs (``kind`` 1: code) of all given texts."""
-    schema = pa.schema([("kind", pa.int8()), ("key", pa.int64()), ("class", pa.int32()), ("n", pa.int64())])
+def _word_counts(docs):
+    """Counts of all words of all given texts: ``word`` (its name), ``c``."""
+    schema = pa.schema([("word", pa.int64()), ("c", pa.int64())])
+
+    def run(batches):
+        for batch in small_slices(batches):
+            names, counts = np.unique(_tokens(batch.column("_text"))[0], return_counts=True)
+            yield arrow_rows(schema, pa.array(names.view(np.int64)), counts)
+
+    return stage(docs.select("_text").mapInArrow(run, "word bigint, c bigint").groupBy("word").agg(F.sum("c").alias("c")), "counts")
+
+
+def _leaf_counts(words, shared):
+    """Counts plus kinds of the words of each leaf; as many rows as leaves, whatever the corpus."""
+    schema = pa.schema([("leaf", pa.int32()), ("n", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            classes, code, _, _ = shared.value.find(batch.column("word").to_numpy().view(np.uint64))
+            leaves, back = np.unique(classes * _LEAVES + code, return_inverse=True)
+            sums = np.bincount(back, batch.column("c").to_numpy() + 1.0, len(leaves))
+            yield arrow_rows(schema, leaves.astype(np.int32), sums.astype(np.int64))
+
+    rows = words.mapInArrow(run, "leaf int, n bigint").groupBy("leaf").agg(F.sum("n").alias("n")).toArrow()
+    return np.bincount(rows.column("leaf").to_numpy(), rows.column("n").to_numpy(), CLASSES * _LEAVES)
+
+
+def _class_runs(docs, shared):
+    """Counts of class runs of all given texts: ``key`` (code), ``n``."""
+    schema = pa.schema([("key", pa.int64()), ("n", pa.int64())])
 
     def run(batches):
         runs = np.zeros(CLASSES ** 4, np.int64)
         for batch in small_slices(batches):
-            names, classes, texts = _tokens(batch.column("_text"))
+            names, texts = _tokens(batch.column("_text"))
+            classes = shared.value.find(names)[0]
             runs += np.bincount(_contexts(classes, texts) * CLASSES + classes, minlength=len(runs))
-            names, at, counts = np.unique(names, return_index=True, return_counts=True)
-            zeros = np.zeros(len(names), np.int8)
-            yield arrow_rows(schema, zeros, pa.array(names.view(np.int64)), classes[at].astype(np.int32), counts)
         used = np.flatnonzero(runs)
-        yield arrow_rows(schema, np.ones(len(used), np.int8), used, np.zeros(len(used), np.int32), runs[used])
+        yield arrow_rows(schema, used, runs[used])
 
-    counts = docs.select("_text").mapInArrow(run, "kind tinyint, key bigint, class int, n bigint")
-    return stage(counts.groupBy("kind", "key", "class").agg(F.sum("n").alias("n")), "counts")
+    return docs.select("_text").mapInArrow(run, "key bigint, n bigint").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 def train(runs: DataFrame, per_class, updates=UPDATES, step=STEP):
@@ -105,7 +171,7 @@ def train(runs: DataFrame, per_class, updates=UPDATES, step=STEP):
     weights[_feature_rows(np.zeros(1, np.int64))[0, 0]] = np.log((per_class + 1) / (per_class + 1).sum())
     schema = pa.schema([("feature", pa.int32()), ("class", pa.int32()), ("seen", pa.float64()), ("expected", pa.float64())])
     for _ in range(updates):
-        shared = spark.sparkContext.broadcast(weights)
+        shared = spark.sparkContext.broadcast(weights.astype(np.float32))
 
         def run(batches, shared=shared):
             seen = np.zeros((CLASSES ** 3, CLASSES))
@@ -126,15 +192,130 @@ def train(runs: DataFrame, per_class, updates=UPDATES, step=STEP):
 
         gradient = parts.mapInArrow(run, "feature int, class int, seen double, expected double").groupBy(
             "feature", "class").agg(F.sum("seen").alias("seen"), F.sum("expected").alias("expected")).toArrow()
+        shared.destroy()
         seen, expected = gradient.column("seen").to_numpy(), gradient.column("expected").to_numpy()
         weights = weights.copy()
         weights[gradient.column("feature").to_numpy(), gradient.column("class").to_numpy()] += (
             step * (seen - expected) / (np.maximum(seen, expected) + 1)
         )
+        let_go(spark)
     return weights
 
 
-def score(docs: DataFrame, updates=UPDATES) -> DataFrame:
+class _Model:
+    """Log probabilities of tokens up to their leaves, and what features and outcomes came together or were expected to."""
+
+    def __init__(self, vocabulary, mass, class_weights):
+        self.vocabulary, self.mass = vocabulary, mass
+        self.class_weights = class_weights.astype(np.float32)
+        self.weights = [np.zeros((WORD_ROWS // 4, CLASSES), np.float32), np.zeros((WORD_ROWS, CHILDREN), np.float32)]
+
+    def _before(self, names, texts):
+        """Names of the three tokens before each token; ends before a text starts."""
+        first = np.append(True, texts[1:] != texts[:-1])[: len(texts)]
+        place = np.arange(len(texts)) - np.flatnonzero(first)[np.cumsum(first) - 1] if len(texts) else texts
+        past = {}
+        for back in (1, 2, 3):
+            past[back] = np.full(len(names), _END)
+            past[back][back:] = np.where(place[back:] >= back, names[:-back], _END)
+        return past
+
+    def _softmax(self, base, table, keys, target, sums):
+        """Log probabilities of the targets; ``sums`` (seen, expected), if given, get a part for each feature."""
+        weights = self.weights[table]
+        rows = [(mixed(key) % np.uint64(len(weights))).astype(np.int64) for key in keys]
+        scores = base
+        for row in rows:
+            scores += weights.take(row, axis=0)
+        scores -= scores.max(axis=1, keepdims=True)
+        shares = np.exp(scores)
+        mass = shares.sum(axis=1, keepdims=True)
+        if sums is not None:
+            wide, share = weights.shape[1], (shares / mass).ravel()
+            for row in rows:
+                np.add.at(sums[table][0].reshape(-1), row * wide + target, np.float32(1))
+                np.add.at(sums[table][1].reshape(-1), (row[:, None] * wide + np.arange(wide)).ravel(), share)
+        return scores[np.arange(len(target)), target] - np.log(mass[:, 0])
+
+    def log_probabilities(self, names, texts, classes, code, sums=None):
+        """Of the class and the leaf of each token, given the tokens before it in its text."""
+        past = self._before(names, texts)
+        runs, run = np.unique(_contexts(classes, texts), return_inverse=True)
+        of_runs = _log_probabilities(self.class_weights, runs).astype(np.float32)
+        tables = []
+        for level in range(DIGITS):
+            masses = self.mass.reshape(CLASSES * CHILDREN ** (level + 1), -1).sum(axis=1).reshape(-1, CHILDREN)
+            logs = np.log(np.maximum(masses, 1e-26)).astype(np.float32)
+            tables.append((logs, (masses > 0).sum(axis=1) > 1))
+        found = np.zeros(len(names))
+        for at in range(0, len(names), TOKENS):
+            part = slice(at, at + TOKENS)
+            keys = []
+            for number, backs in enumerate(_WORD_FEATURES):
+                key = np.full(len(names[part]), number + 1, np.uint64)
+                for back in backs:
+                    key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + past[back][part])
+                keys.append(key)
+            found[part] = self._softmax(of_runs[run[part]], 0, keys, classes[part], sums)
+            for level, (logs, parted) in enumerate(tables):
+                node = classes[part] * CHILDREN ** level + code[part] // CHILDREN ** (DIGITS - level)
+                open_ = np.flatnonzero(parted[node])  # the others have one child
+                digit = code[part][open_] // CHILDREN ** (DIGITS - 1 - level) % CHILDREN
+                node = node[open_]
+                name = mixed(node.astype(np.uint64) + np.uint64((level + 1) << 40))
+                found[part][open_] += self._softmax(logs[node], 1, [key[open_] + name for key in keys], digit, sums)
+        return found
+
+
+def train_words(docs: DataFrame, model, passes=PASSES):
+    """Fit the weights of word features, by iterative scaling over all texts of ``docs``.
+
+    Each pass is a job: a task adds up, for each row of features and each outcome, how often it came and how often the
+    model expects it, and gives out its tables in parts of SUMS numbers; the parts are added up by tasks, a few at
+    a time. A weight moves by the logarithm of both numbers' ratio, shared among the features of a token.
+    """
+    spark = docs.sparkSession
+    schema = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
+    sizes = [2 * w.size for w in model.weights]
+    for _ in range(passes):
+        shared = spark.sparkContext.broadcast(model)  # a few MB, gone after the pass
+
+        def run(batches, shared=shared):
+            sums = [np.zeros((2, *w.shape), np.float32) for w in shared.value.weights]
+            for batch in small_slices(batches):
+                names, texts = _tokens(batch.column("_text"))
+                classes, code, _, _ = shared.value.vocabulary.find(names)
+                shared.value.log_probabilities(names, texts, classes, code, sums)
+            flat = np.concatenate([s.reshape(-1) for s in sums])
+            for part in range(len(flat) // SUMS):
+                numbers = flat[part * SUMS:(part + 1) * SUMS]
+                if numbers.any():
+                    yield arrow_rows(schema, [part], [numbers.tobytes()])
+
+        def add_up(batches):
+            found = {}
+            for batch in batches:
+                for part, numbers in zip(batch.column("part").to_pylist(), batch.column("sums")):
+                    found[part] = found.get(part, 0) + np.frombuffer(numbers.as_buffer(), np.float32).astype(np.float64)
+            for part, numbers in found.items():
+                yield arrow_rows(schema, [part], [numbers.astype(np.float32).tobytes()])
+
+        parts = docs.select("_text").mapInArrow(run, "part int, sums binary")
+        added = parts.repartition(16, "part").mapInArrow(add_up, "part int, sums binary").toArrow()
+        shared.destroy()
+        let_go(spark)
+        flat = np.zeros(sum(sizes), np.float32)
+        for part, numbers in zip(added.column("part").to_pylist(), added.column("sums")):
+            flat[part * SUMS:(part + 1) * SUMS] = np.frombuffer(numbers.as_buffer(), np.float32)
+        at = 0
+        for table, size in enumerate(sizes):
+            seen, expected = flat[at:at + size].reshape(2, *model.weights[table].shape)
+            model.weights[table] = model.weights[table] + np.log((seen + 1) / (expected + 1)) * np.float32(1 / len(_WORD_FEATURES))
+            at += size
+    return model
+
+
+def score(docs: DataFrame, updates=UPDATES, passes=PASSES) -> DataFrame:
     """Base and model score of every whole text, learned from the texts that are not held out.
 
     ``docs`` comes from ``common.identified``. Result, one row per input row: ``_id``, ``_hash``,
@@ -146,34 +327,34 @@ def score(docs: DataFrame, updates=UPDATES) -> DataFrame:
     """
     spark = docs.sparkSession
     docs = docs.select("_id", "_hash", "_text")
-    counts = _corpus_counts(docs.where(~held_out(F.col("_id"))))
-    words = counts.where("kind = 0").select(F.col("key").alias("word"), "class", F.col("n").alias("c"))
-    per_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for row in words.groupBy("class").agg(F.sum("c").alias("n"), F.count(F.lit(1)).alias("v")).collect():
-        per_class[0][row["class"]], per_class[1][row["class"]] = row["n"], row["v"]
-    weights = train(counts.where("kind = 1").select("key", "n"), per_class[0], updates)
-    total, distinct = int(per_class[0].sum()), int(per_class[1].sum())
-    frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).select("word", "c").toArrow()
+    learned = docs.where(~held_out(F.col("_id")))
+    words = _word_counts(learned)
+    total, distinct = (int(n or 0) for n in words.agg(F.sum("c"), F.count(F.lit(1))).first())
+    frequent = words.orderBy(F.desc("c"), "word").limit(FREQUENT).toArrow()
     names, c = frequent.column("word").to_numpy().view(np.uint64), frequent.column("c").to_numpy()
     order = np.argsort(names)
-    shared = spark.sparkContext.broadcast((weights, np.log10(sum(per_class) + 1), names[order], c[order]))
+    vocabulary = _Vocabulary(names[order], c[order], distinct - len(names))
+    known = spark.sparkContext.broadcast(vocabulary)
+    mass = vocabulary.masses(_leaf_counts(words, known))
+    class_weights = train(_class_runs(learned, known), mass.sum(axis=1), updates)
+    known.destroy()
+    model = train_words(learned, _Model(vocabulary, mass, class_weights), passes)
+    shared = spark.sparkContext.broadcast(model)
     schema = pa.schema([
         ("_id", pa.int64()), ("_hash", pa.binary()), ("rows", pa.int64()), ("word", pa.int64()), ("times", pa.int64()),
         ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("class_score", pa.float64()),
     ])
 
     def run(batches):
-        weights, shares, names, c = shared.value
+        model, c = shared.value, shared.value.vocabulary.counts
+        shares = np.log10(np.maximum(model.mass, 1))
         for batch in small_slices(batches):
-            tokens, classes, texts = _tokens(batch.column("_text"))
-            contexts, back = np.unique(_contexts(classes, texts), return_inverse=True)
-            logs = _log_probabilities(weights, contexts) / np.log(10)
-            chosen = logs[back, classes] - shares[classes]
-            place = np.minimum(np.searchsorted(names, tokens), max(len(names) - 1, 0))
-            common = names[place] == tokens if len(names) else np.zeros(len(tokens), bool)
+            tokens, texts = _tokens(batch.column("_text"))
+            classes, code, place, common = model.vocabulary.find(tokens)
+            chosen = model.log_probabilities(tokens, texts, classes, code) / np.log(10) - shares[classes, code]
             n = batch.num_rows
             known = np.bincount(texts[common], minlength=n)
-            sums = np.bincount(texts[common], np.log10(c[place[common]] + 1.0), n) if len(names) else np.zeros(n)
+            sums = np.bincount(texts[common], np.log10(c[place[common]] + 1.0), n) if len(c) else np.zeros(n)
             nulls = pa.nulls(n, pa.int64())
             yield arrow_rows(
                 schema, batch.column("_id"), batch.column("_hash"), np.ones(n, np.int64), nulls, nulls,

@@ -291,3 +291,30 @@ def test_class_probabilities_sum_to_one_and_training_helps(spark):
     gain = [sum(n * lm_scoring._log_probabilities(w, np.array([k // lm_scoring.CLASSES]))[0, k % lm_scoring.CLASSES] for k, n in follow)
             for w in (first, last)]
     assert gain[1] > gain[0]
+
+
+def test_features_see_words_and_probabilities_sum_to_one(spark, documents):
+    rng = np.random.default_rng(1)
+    names = np.sort(lm_scoring.mixed(np.arange(1, 400, dtype=np.uint64)))
+    vocabulary = lm_scoring._Vocabulary(names, rng.integers(1, 60, len(names)), 900)
+    per_leaf = np.zeros(lm_scoring.CLASSES * lm_scoring._LEAVES)
+    classes, code, _, _ = vocabulary.find(names)
+    np.add.at(per_leaf, classes * lm_scoring._LEAVES + code, vocabulary.counts + 1)
+    model = lm_scoring._Model(vocabulary, vocabulary.masses(per_leaf), rng.normal(size=(lm_scoring.FEATURE_ROWS, lm_scoring.CLASSES)))
+    model.weights = [rng.normal(size=w.shape).astype(np.float32) for w in model.weights]
+    leaves = np.flatnonzero(model.mass.ravel())
+    n = len(leaves)  # each leaf after the same three words
+    tokens = np.concatenate([np.tile(names[:3, None], n), np.zeros((1, n), np.uint64)]).T.ravel()
+    texts = np.repeat(np.arange(n), 4)
+    c, k, _, _ = vocabulary.find(tokens)
+    c[3::4], k[3::4] = leaves // lm_scoring._LEAVES, leaves % lm_scoring._LEAVES
+    assert np.exp(model.log_probabilities(tokens, texts, c, k)[3::4]).sum() == pytest.approx(1, abs=1e-4)
+
+    # words with one and the same last letters: only the words themselves tell which one follows
+    pairs = [(f"{a}xx", f"{b}xx") for a, b in zip("abcdefgh", "pqrstuvw")]
+    rows = [(i, " ".join(" ".join(pairs[(i * 7 + k * k) % 8]) for k in range(30))) for i in range(200)]
+    outside = [i for i in range(1_000, 1_500) if zlib.crc32(str(i).encode()) % 7 == 2]
+    mixed_up = [(outside[n], " ".join(pairs[k][0] + " " + pairs[(k + s) % 8][1] for k in range(8))) for n, s in enumerate((0, 3))]
+    found = {r["_id"]: r for r in lm_scoring.score(identified(documents([*rows, *mixed_up]))).collect()}
+    like, unlike = (found[i] for i, _ in mixed_up)
+    assert like["held_out"] and like["base_score"] == pytest.approx(unlike["base_score"]) and like["score"] > unlike["score"] + 2
