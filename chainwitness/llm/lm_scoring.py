@@ -322,7 +322,7 @@ def score(docs: DataFrame, updates=UPDATES, passes=PASSES) -> DataFrame:
     ``held_out``, ``n_tokens`` (words and one end), ``n_known``, ``train_tokens``, ``base_score`` and
     ``score`` (log10). Null and empty texts are an end alone; documents without id take part in
     training. Repeated rows each count in training and get the same scores. With no training
-    text all classes are equally likely and no word is known. Long texts are numpy arrays of
+    text no word is known and nothing is fitted. Long texts are numpy arrays of
     one task, with a few numbers per word.
     """
     spark = docs.sparkSession
