@@ -27,7 +27,9 @@ DIGITS, CHILDREN = 3, 16  # a class has up to CHILDREN ** DIGITS leaves
 WORD_ROWS = 1 << 16
 TOKENS = 1 << 13  # handled side by side
 SUMS = 1 << 16  # numbers of the tables of sums that travel as one row
+TASKS_A_CORE = 4  # that give out tables of sums
 FREQUENT = 1 << 16
+BUCKET_BITS = 18
 FOLDS, HELD_OUT = 7, 2
 _END = np.uint64(0x2545F4914F6CDD1D)  # the name of the end token
 #: Which of the three tokens before each feature looks at: n-grams and skips.
@@ -58,6 +60,8 @@ class _Vocabulary:
 
     def __init__(self, names, counts, others):
         self.names, self.counts = names, counts
+        buckets = np.searchsorted(names, np.arange(1 << BUCKET_BITS, dtype=np.uint64) << np.uint64(64 - BUCKET_BITS))
+        self.starts, self.longest = buckets, int(np.diff(np.append(buckets, len(names))).max())  # names are found from their first bits
         order = np.lexsort((names, -counts))
         mass = np.cumsum(np.sqrt(counts[order]))
         self.classes = np.zeros(len(names), np.int64)
@@ -70,7 +74,10 @@ class _Vocabulary:
 
     def find(self, tokens):
         """Class and leaf of each token, its place among the frequent words, and whether it is one of them."""
-        place = np.minimum(np.searchsorted(self.names, tokens), max(len(self.names) - 1, 0))
+        place = self.starts.take((tokens >> np.uint64(64 - BUCKET_BITS)).astype(np.int64))
+        for _ in range(self.longest if len(self.names) else 0):
+            place += self.names.take(place, mode="clip") < tokens
+        place = np.minimum(place, max(len(self.names) - 1, 0))
         common = self.names[place] == tokens if len(self.names) else np.zeros(len(tokens), bool)
         classes = np.where(common, self.classes[place], CLASSES - 1) if len(self.names) else np.full(len(tokens), CLASSES - 1)
         classes[tokens == _END] = 0  # without training texts as well
@@ -202,12 +209,47 @@ def train(runs: DataFrame, per_class, updates=UPDATES, step=STEP):
     return weights
 
 
+def _add_rows(table, rows, parts):
+    """Add each row of ``parts`` to its row of ``table``; both are 32-bit numbers in rows of one even width.
+
+    Rows of the table that come once among ``rows`` are read, raised and written as a whole, one of each of the others as
+    well, a few times over; what is left are rows that come often, added one after another.
+    """
+    wide = table.shape[1]
+    whole, turn = table.view(np.dtype((np.void, 4 * wide))).reshape(-1), np.empty(len(table), np.int32)
+    for _ in range(3):
+        order = np.arange(len(rows), dtype=np.int32)
+        turn[rows] = order
+        own = turn.take(rows, mode="clip") == order
+        if 4 * np.count_nonzero(own) < len(rows):
+            break
+        first = np.flatnonzero(own)
+        at = rows.take(first)
+        raised = table.take(at, axis=0, mode="clip")  # which skips a second look at each place
+        raised += parts.take(first, axis=0, mode="clip")
+        whole[at] = raised.view(whole.dtype).reshape(-1)
+        rest = np.flatnonzero(~own)
+        rows, parts = rows.take(rest), parts.take(rest, axis=0, mode="clip")
+    places = (rows * (wide // 2))[:, None] + np.arange(wide // 2)  # two numbers are added at a time
+    np.add.at(table.view(np.complex64).reshape(-1), places.reshape(-1), parts.view(np.complex64).reshape(-1))
+
+
 class _Model:
-    """Log probabilities of tokens up to their leaves, and what features and outcomes came together or were expected to."""
+    """Log probabilities of tokens up to their leaves, and what features and outcomes came together or were expected to.
+
+    A softmax of a sum of weights is a product of factors, brought to the sum 1: factors are taken once for a table of
+    weights, and so are the shares that each class run and each node starts from, so that a token costs no exponential.
+    """
 
     def __init__(self, vocabulary, mass, class_weights):
         self.vocabulary, self.mass = vocabulary, mass
-        self.class_weights = class_weights.astype(np.float32)
+        runs = np.arange(CLASSES ** 3).reshape(-1, TOKENS)
+        self.bases = [np.concatenate([np.exp(_log_probabilities(class_weights, run)) for run in runs]).astype(np.float32)]
+        self.parted = []  # per level: the nodes of more than one child
+        for level in range(DIGITS):
+            masses = mass.reshape(CLASSES * CHILDREN ** (level + 1), -1).sum(axis=1).reshape(-1, CHILDREN)
+            self.bases.append((masses / np.maximum(masses.sum(axis=1, keepdims=True), 1)).astype(np.float32))
+            self.parted.append((masses > 0).sum(axis=1) > 1)
         self.weights = [np.zeros((WORD_ROWS // 4, CLASSES), np.float32), np.zeros((WORD_ROWS, CHILDREN), np.float32)]
 
     def _before(self, names, texts):
@@ -220,33 +262,35 @@ class _Model:
             past[back][back:] = np.where(place[back:] >= back, names[:-back], _END)
         return past
 
-    def _softmax(self, base, table, keys, target, sums):
-        """Log probabilities of the targets; ``sums`` (seen, expected), if given, get a part for each feature."""
-        weights = self.weights[table]
-        rows = [(mixed(key) % np.uint64(len(weights))).astype(np.int64) for key in keys]
-        scores = base
-        for row in rows:
-            scores += weights.take(row, axis=0)
-        scores -= scores.max(axis=1, keepdims=True)
-        shares = np.exp(scores)
-        mass = shares.sum(axis=1, keepdims=True)
+    def _softmax(self, base, start, table, factors, keys, target, sums):
+        """Log probabilities of the targets; ``sums`` (expected and, if wanted, seen), if given, get a part for each feature."""
+        rows = [(mixed(key) & np.uint64(len(factors) - 1)).astype(np.int64) for key in keys]
+        shares, at = base.take(start, axis=0, mode="clip"), np.arange(len(target)) * factors.shape[1] + target
+        factor = np.empty_like(shares)
+        for row in rows if self.fitted else ():
+            shares *= factors.take(row, axis=0, mode="clip", out=factor)
+        mass, hit = np.einsum("ij->i", shares), shares.reshape(-1).take(at)
+        far = np.flatnonzero(~((mass > 1e-30) & (mass < 1e30) & (hit > 1e-30)))
+        found = np.log(np.maximum(hit, 1e-38)) - np.log(np.maximum(mass, 1e-38))
+        if len(far):  # beyond what 32 bits hold as a product
+            scores = np.log(np.maximum(base[start[far]], 1e-26)) + sum(self.weights[table][row[far]] for row in rows)
+            scores -= scores.max(axis=1, keepdims=True)
+            shares[far] = np.exp(scores)
+            mass[far] = shares[far].sum(axis=1)
+            found[far] = scores[np.arange(len(far)), target[far]] - np.log(mass[far])
         if sums is not None:
-            wide, share = weights.shape[1], (shares / mass).ravel()
+            shares *= (1 / mass)[:, None]
             for row in rows:
-                np.add.at(sums[table][0].reshape(-1), row * wide + target, np.float32(1))
-                np.add.at(sums[table][1].reshape(-1), (row[:, None] * wide + np.arange(wide)).ravel(), share)
-        return scores[np.arange(len(target)), target] - np.log(mass[:, 0])
+                _add_rows(sums[table][0], row, shares)
+                if len(sums[table]) > 1:
+                    np.add.at(sums[table][1].reshape(-1), row * shares.shape[1] + target, np.float32(1))
+        return found
 
     def log_probabilities(self, names, texts, classes, code, sums=None):
         """Of the class and the leaf of each token, given the tokens before it in its text."""
-        past = self._before(names, texts)
-        runs, run = np.unique(_contexts(classes, texts), return_inverse=True)
-        of_runs = _log_probabilities(self.class_weights, runs).astype(np.float32)
-        tables = []
-        for level in range(DIGITS):
-            masses = self.mass.reshape(CLASSES * CHILDREN ** (level + 1), -1).sum(axis=1).reshape(-1, CHILDREN)
-            logs = np.log(np.maximum(masses, 1e-26)).astype(np.float32)
-            tables.append((logs, (masses > 0).sum(axis=1) > 1))
+        past, run = self._before(names, texts), _contexts(classes, texts)
+        self.fitted = any(weights.any() for weights in self.weights)  # else all factors are 1
+        factors = [np.exp(weights) for weights in self.weights]
         found = np.zeros(len(names))
         for at in range(0, len(names), TOKENS):
             part = slice(at, at + TOKENS)
@@ -256,14 +300,15 @@ class _Model:
                 for back in backs:
                     key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + past[back][part])
                 keys.append(key)
-            found[part] = self._softmax(of_runs[run[part]], 0, keys, classes[part], sums)
-            for level, (logs, parted) in enumerate(tables):
+            found[part] = self._softmax(self.bases[0], run[part], 0, factors[0], keys, classes[part], sums)
+            for level, parted in enumerate(self.parted):
                 node = classes[part] * CHILDREN ** level + code[part] // CHILDREN ** (DIGITS - level)
                 open_ = np.flatnonzero(parted[node])  # the others have one child
                 digit = code[part][open_] // CHILDREN ** (DIGITS - 1 - level) % CHILDREN
                 node = node[open_]
                 name = mixed(node.astype(np.uint64) + np.uint64((level + 1) << 40))
-                found[part][open_] += self._softmax(logs[node], 1, [key[open_] + name for key in keys], digit, sums)
+                below = [key[open_] + name for key in keys]
+                found[part][open_] += self._softmax(self.bases[level + 1], node, 1, factors[1], below, digit, sums)
         return found
 
 
@@ -272,16 +317,19 @@ def train_words(docs: DataFrame, model, passes=PASSES):
 
     Each pass is a job: a task adds up, for each row of features and each outcome, how often it came and how often the
     model expects it, and gives out its tables in parts of SUMS numbers; the parts are added up by tasks, a few at
-    a time. A weight moves by the logarithm of both numbers' ratio, shared among the features of a token.
+    a time; neighbouring parts of the input share a task, so that the tables in all grow with the cores and not with the
+    input. What came does not depend on the weights, and the first pass alone counts it. A weight moves by the logarithm
+    of both numbers' ratio, shared among the features of a token.
     """
     spark = docs.sparkSession
     schema = pa.schema([("part", pa.int32()), ("sums", pa.binary())])
-    sizes = [2 * w.size for w in model.weights]
+    seen, tasks = None, TASKS_A_CORE * spark.sparkContext.defaultParallelism
     for _ in range(passes):
+        kinds = 2 if seen is None else 1
         shared = spark.sparkContext.broadcast(model)  # a few MB, gone after the pass
 
-        def run(batches, shared=shared):
-            sums = [np.zeros((2, *w.shape), np.float32) for w in shared.value.weights]
+        def run(batches, shared=shared, kinds=kinds):
+            sums = [np.zeros((kinds, *w.shape), np.float32) for w in shared.value.weights]
             for batch in small_slices(batches):
                 names, texts = _tokens(batch.column("_text"))
                 classes, code, _, _ = shared.value.vocabulary.find(names)
@@ -300,18 +348,19 @@ def train_words(docs: DataFrame, model, passes=PASSES):
             for part, numbers in found.items():
                 yield arrow_rows(schema, [part], [numbers.astype(np.float32).tobytes()])
 
-        parts = docs.select("_text").mapInArrow(run, "part int, sums binary")
+        parts = docs.select("_text").coalesce(tasks).mapInArrow(run, "part int, sums binary")
         added = parts.repartition(16, "part").mapInArrow(add_up, "part int, sums binary").toArrow()
         shared.destroy()
         let_go(spark)
-        flat = np.zeros(sum(sizes), np.float32)
+        flat = np.zeros(kinds * sum(w.size for w in model.weights), np.float32)
         for part, numbers in zip(added.column("part").to_pylist(), added.column("sums")):
             flat[part * SUMS:(part + 1) * SUMS] = np.frombuffer(numbers.as_buffer(), np.float32)
-        at = 0
-        for table, size in enumerate(sizes):
-            seen, expected = flat[at:at + size].reshape(2, *model.weights[table].shape)
-            model.weights[table] = model.weights[table] + np.log((seen + 1) / (expected + 1)) * np.float32(1 / len(_WORD_FEATURES))
-            at += size
+        ends = np.cumsum([kinds * w.size for w in model.weights])[:-1]
+        sums = [own.reshape(kinds, *w.shape) for own, w in zip(np.split(flat, ends), model.weights)]
+        seen = [own[1] for own in sums] if seen is None else seen
+        model.weights = [
+            w + np.log((came + 1) / (own[0] + 1)) * np.float32(1 / len(_WORD_FEATURES)) for w, came, own in zip(model.weights, seen, sums)
+        ]
     return model
 
 

@@ -293,6 +293,34 @@ def test_class_probabilities_sum_to_one_and_training_helps(spark):
     assert gain[1] > gain[0]
 
 
+def test_expected_sums_are_those_of_a_plain_softmax():
+    rng = np.random.default_rng(2)
+    names = np.sort(lm_scoring.mixed(np.arange(1, 3_000, dtype=np.uint64)))
+    vocabulary = lm_scoring._Vocabulary(names, rng.integers(1, 60, len(names)), 70_000)
+    tokens = lm_scoring.mixed((rng.zipf(1.3, 20_000) % 4_000).astype(np.uint64))
+    classes, code, place, common = vocabulary.find(tokens)
+    assert (common == np.isin(tokens, names)).all() and (names[place[common]] == tokens[common]).all()
+    assert not lm_scoring._Vocabulary(names[:0], np.zeros(0, np.int64), 0).find(tokens)[3].any()
+    per_leaf = np.zeros(lm_scoring.CLASSES * lm_scoring._LEAVES)
+    np.add.at(per_leaf, classes * lm_scoring._LEAVES + code, 1)
+    model = lm_scoring._Model(vocabulary, vocabulary.masses(per_leaf), rng.normal(size=(lm_scoring.FEATURE_ROWS, lm_scoring.CLASSES)))
+    for wide in (1, 30):  # the products of the latter do not fit 32 bits
+        model.weights = [(rng.normal(size=w.shape) * wide).astype(np.float32) for w in model.weights]
+        keys = [lm_scoring.mixed(tokens + np.uint64(k)) for k in range(5)]
+        start, target = rng.integers(0, lm_scoring.CLASSES ** 3, len(tokens)), rng.integers(0, lm_scoring.CLASSES, len(tokens))
+        sums, model.fitted = [np.zeros((1, *w.shape), np.float32) for w in model.weights], True  # expected alone
+        with np.errstate(all="ignore"):
+            found = model._softmax(model.bases[0], start, 0, np.exp(model.weights[0]), keys, target, sums)
+        rows = [(lm_scoring.mixed(key) % np.uint64(len(model.weights[0]))).astype(np.int64) for key in keys]
+        scores = np.log(np.maximum(model.bases[0][start], 1e-26)) + sum(model.weights[0][row].astype(float) for row in rows)
+        scores -= scores.max(axis=1, keepdims=True)
+        scores -= np.log(np.exp(scores).sum(axis=1, keepdims=True))
+        expected = np.zeros(model.weights[0].shape)
+        for row in rows:
+            np.add.at(expected, row, np.exp(scores))
+        assert np.allclose(found, scores[np.arange(len(target)), target], atol=1e-3) and np.allclose(sums[0][0], expected, rtol=1e-3, atol=1e-3)
+
+
 def test_features_see_words_and_probabilities_sum_to_one(spark, documents):
     rng = np.random.default_rng(1)
     names = np.sort(lm_scoring.mixed(np.arange(1, 400, dtype=np.uint64)))
