@@ -1,5 +1,7 @@
 """Queries that run a stream over all available input and return its stored result."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
@@ -15,6 +17,7 @@ from chainwitness.testing import fixtures as X
 REPLAY = "3650 days"
 SLICES = 4
 CLOCK = "clock"
+FILE_ROWS = 50_000  # of a timely feed, about
 
 
 def _feed(rows, spark, slice_of, copies=1):
@@ -107,22 +110,32 @@ def stream_rollup(spark, d):
     return live.current_journeys(spark, out)
 
 
+def _append_files(rows, path, n):
+    """Append rows to a folder as ``n`` files, written by as many tasks; where there are too few rows, some files hold none."""
+    spark, own = rows.sparkSession, f"{path}/{uuid.uuid4().hex}"
+    rows.repartition(n).write.parquet(own)
+    for _ in range(n - len(spark.read.parquet(own).inputFiles())):
+        spark.createDataFrame([], rows.schema).write.mode("append").parquet(own)
+
+
 def _timely_feed(spark, d, again=False):
-    """The arrival feed in order of time, a file for each of SLICES equal spans; at the end a record of a later month.
+    """The arrival feed in order of time, a batch of files for each of SLICES equal spans; at the end a record of a later month.
 
     With ``again`` a fifth of the records are sent twice. The last record moves the clock of the stream past all windows.
+    All spans have one number of files, so that no batch holds a part of the next span, whose times would make others late.
     """
     rows = X.evt_rows(spark, d).drop("_ts")
     at = F.unix_millis("created_at")
-    first, last = rows.agg(F.min(at), F.max(at)).first()
+    first, last, n = rows.agg(F.min(at), F.max(at), F.count(F.lit(1))).first()
     path, span = new_dir(spark, "feed"), (last - first) // SLICES + 1
+    files = max(1, min(spark.sparkContext.defaultParallelism, n // (SLICES * FILE_ROWS)))
     for k in range(SLICES):
         part = rows.where((at >= first + k * span) & (at < first + (k + 1) * span))
         part = part.unionByName(part.where("event_id % 5 = 0")) if again else part
-        part.coalesce(1).write.mode("append").parquet(path)
+        _append_files(part, path, files)
     clock = rows.limit(1).withColumn("id", F.lit(CLOCK)).withColumn("session_id", F.lit(CLOCK))
-    clock.withColumn("created_at", F.timestamp_millis(F.lit(last + 40 * 86_400_000))).coalesce(1).write.mode("append").parquet(path)
-    return live.read_stream(spark, path, rows.schema, files_per_batch=1)
+    clock.withColumn("created_at", F.timestamp_millis(F.lit(last + 40 * 86_400_000))).coalesce(1).write.parquet(f"{path}/{CLOCK}")
+    return live.read_stream(spark, f"{path}/*", rows.schema, files_per_batch=files)
 
 
 def stream_daily_rollup(spark, d):

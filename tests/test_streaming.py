@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+from chainwitness.catalog import streams
 from chainwitness.schemas import LEDGER
 from chainwitness.sources.ledger import write_batch
 from chainwitness.streaming import live
@@ -112,3 +113,19 @@ def test_windows_are_given_out_once(spark, tmp_path):
     rows = sorted((r["window_ms"], r["n_records"], r["n_delayed"]) for r in spark.read.parquet(out).collect())
     assert rows == [(0, 3, 0), (300_000, 1, 0)]
     assert all(s["numRowsTotal"] <= 1 for s in query.lastProgress["stateOperators"])
+
+
+def test_timely_feed_is_written_by_many_tasks_and_counts_the_same(spark, tmp_path, monkeypatch):
+    few = spark.range(2).select("id")
+    streams._append_files(few, str(tmp_path / "feed"), 5)
+    assert len(spark.read.parquet(f"{tmp_path}/feed/*").inputFiles()) == 5 and spark.read.parquet(f"{tmp_path}/feed/*").count() == 2
+    one = sorted(tuple(r) for r in streams.stream_daily_rollup(spark, "/root/testdata/sf0.001").collect())
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    feed = streams._timely_feed(spark, "/root/testdata/sf0.001")
+    assert feed.isStreaming
+    monkeypatch.setattr(streams.live, "read_stream", lambda own, path, schema, files_per_batch: (path, files_per_batch))
+    path, files = streams._timely_feed(spark, "/root/testdata/sf0.001")
+    assert files > 1 and len(spark.read.parquet(path).inputFiles()) == streams.SLICES * files + 1
+    monkeypatch.undo()
+    monkeypatch.setattr(streams, "FILE_ROWS", 50)
+    assert sorted(tuple(r) for r in streams.stream_daily_rollup(spark, "/root/testdata/sf0.001").collect()) == one and one
