@@ -174,6 +174,49 @@ def test_cover_trees_rule_out_no_near_pair():
     assert set(i) <= set(at) and set(j) <= set(bt) and len(trees[0]) > 2
 
 
+def test_embedding_blocks_are_not_shuffled_for_their_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(150, 24)).astype(np.float32)
+    points[100:] = points[:50] + rng.normal(size=(50, 24)).astype(np.float32) / 50
+    frame = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(points)], "vec_id bigint, embedding array<float>")
+    plans, plain = {}, embedding_dedup.stage
+
+    def noted(df, name):
+        plans[name] = df._jdf.queryExecution().executedPlan().toString()
+        return plain(df, name)
+
+    monkeypatch.setattr(embedding_dedup, "stage", noted)
+    kept = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = embedding_dedup.linked(frame, block=10).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", kept)
+    assert sorted((r["vec_id"], r["component_id"]) for r in found) == [(i, i % 100) for i in range(150)]
+    assert "hashpartitioning" in plans["blocks"] and "hashpartitioning" not in plans["links"]
+
+
+def test_each_pair_of_near_blocks_comes_once(spark):
+    cells = {0: [0, 1], 1: [0, 1, 2], 2: [1, 2], 3: [3]}
+    blocks = [(c, b) for c, n in enumerate((3, 1, 4, 2)) for b in range(n)]
+    stored = spark.createDataFrame([(8, c, b) for c, b in blocks], "size int, cell bigint, block int").repartition(3)
+    near = spark.createDataFrame(list(cells.items()), "cell bigint, near array<bigint>")
+    pairs = embedding_dedup._pairs(stored, near, 1).collect()
+    met = [tuple(sorted(((r["cell_a"], r["block_a"]), (r["cell_b"], r["block_b"])))) for r in pairs]
+    assert sorted(met) == sorted((x, y) for x in blocks for y in blocks if x <= y and y[0] in cells[x[0]])
+
+
+def test_leading_directions_rule_out_no_near_pair(spark):
+    rng = np.random.default_rng(3)
+    for size in (3, 40):
+        x = rng.normal(size=(12, size))[rng.integers(12, size=90)] + rng.normal(size=(90, size)) * 0.1 + 0.5
+        nodes = spark.createDataFrame([(i, bytes([i]), v.tobytes()) for i, v in enumerate(x)], "node bigint, key binary, vector binary")
+        units = embedding_dedup._units(x)
+        for sample in (embedding_dedup._Sample(nodes, 20, np.float64), embedding_dedup._Sample(nodes.limit(0), 20, np.float64)):
+            left, right = sample.leading(units)
+            assert (left @ right.T >= units @ units.T - 1 - embedding_dedup._ROUNDED).all()
+
+
 def _staged(monkeypatch, module):
     """Records the number of rows of each staged table."""
     counts, plain = collections.defaultdict(list), module.stage
