@@ -147,3 +147,42 @@ def test_digests_side_by_side(spark):
     for r in df.select("i", digests.fuzzy_digest("c").alias("f")).collect():
         expected = (None,) * 3 if contents[r["i"]] is None else fuzzy_by_definition(contents[r["i"]])
         assert tuple(r["f"]) == expected
+
+
+def test_a_segment_in_common_far_apart_makes_no_block(spark):
+    """Digests that all hold a segment of one of them, but of sizes or at places that no link allows, do not meet under it."""
+    rng = random.Random(8)
+    word = lambda n: "".join(rng.choices(V.FUZZY_ALPHABET, k=n))
+    places = [(3, 0)] + [(size, p) for size in (3, 12, 48, 192) for p in (20, 29, 38, 44, 52)]  # only the first begins with a segment
+    rows = [(size, word(p) + "QQQQ" + word(56 - p), word(30)) for size, p in places]
+    texts = spark.createDataFrame([(i, *r, 1) for i, r in enumerate(rows)], "node bigint, size bigint, h1 string, h2 string, n bigint")
+    blocks = fuzzy._packed(fuzzy._keyed(texts, fuzzy._Rule(80)), 128)
+    assert blocks.where(F.size("node") > 5).count() == 0
+
+
+def test_blocks_of_a_common_key_are_shared_out(spark):
+    blocks = [(key, long, i, i, [1000 * key + i]) for key, n in ((1, 9), (2, 1), (3, 40)) for long in (True, False) for i in range(n)]
+    frame = spark.createDataFrame(blocks, "key bigint, long boolean, size_from bigint, at_from int, node array<bigint>")
+    short, long = fuzzy._shared_out(frame, 4)
+    assert sorted(r["node"][0] for r in short.collect()) == sorted(b[4][0] for b in blocks if not b[1])
+    met = short.alias("s").join(long.alias("l"), ["key", "share"]).groupBy("key", "share").count().collect()
+    by_key = {key: [r["count"] for r in met if r["key"] == key] for key in (1, 2, 3)}
+    assert {key: sum(found) for key, found in by_key.items()} == {1: 81, 2: 1, 3: 1600}
+    assert len(by_key[3]) > 5 and max(by_key[3]) < 1600 / 3
+
+
+@pytest.mark.parametrize("threshold", [60, 80, 90])
+def test_equals_all_pairs_with_few_letters(spark, threshold, monkeypatch):
+    """Segments that stand at many places, and in one digest several times."""
+    monkeypatch.setattr(fuzzy, "SHORTS", 1)
+    rng = random.Random(threshold)
+    rows = []
+    for k, n in ((1, 40), (2, 12), (2, 33), (3, 60), (3, 64)):
+        base, other = ("".join(rng.choices("aéZ"[:k], k=m)) for m in (n, n // 2))
+        for _ in range(14):
+            h1 = altered(rng, base, rng.randrange(9)).replace("+", "a")
+            at = rng.randrange(4)
+            rows.append((rng.choice((3, 6, 12)), h1[at:] + h1[:at], altered(rng, other, rng.randrange(3))))
+    rows = [(i, r) for i, r in enumerate(rows)]
+    df = spark.createDataFrame(rows, f"id bigint, digest {DIGEST}").repartition(3)
+    assert sorted(map(tuple, fuzzy.fuzzy_classes(df, threshold, block=4).collect()), key=repr) == brute(rows, threshold)
