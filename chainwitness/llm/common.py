@@ -1,6 +1,5 @@
 """Helpers that the operators of this folder share."""
 
-import time
 from functools import wraps
 
 import pyarrow as pa
@@ -8,7 +7,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from chainwitness.session import ship_package
+from chainwitness.session import let_go, ship_package
 from chainwitness.session import stage as _stage
 
 SLICE_BYTES = 4_000_000
@@ -20,19 +19,6 @@ def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def let_go(spark):
-    """Collect the plans that are no longer in use, and so let Spark remove their shuffle files.
-
-    Spark removes the files of a shuffle once the driver has collected the plan that
-    made it, so collecting keeps the steps of a long query from adding up on disk. Plans
-    have finalizers, hence the second collection.
-    """
-    system = spark.sparkContext._jvm.System
-    system.gc()
-    time.sleep(0.2)
-    system.gc()
-
-
 def stage(df: DataFrame, name) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, and let go of its shuffle files."""
     staged = _stage(df, name)

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from chainwitness import fixed_values as V
 from chainwitness.operators.components import components
-from chainwitness.session import release, ship_package, stage
+from chainwitness.session import let_go, release, ship_package, stage
 
 BLOCK = 128
 PAIRS = 20_000  # whose edit distances are computed side by side
@@ -246,11 +246,23 @@ def _fitting(batch):
     begins, of = np.flatnonzero(new_key), np.cumsum(new_key) - 1
     ends = (of == 0) | (of == len(begins) - 1)
     fits = np.ones(len(keys), bool)
+    sizes, rank = np.unique(size, return_inverse=True)
+    cells, cell = np.unique(of * len(sizes) + rank, return_inverse=True)  # of one key and size
     for side in (~longer, longer):
-        down = lambda x: np.minimum.reduceat(np.where(~side & fits, x, 1 << 62), begins)[of]
-        up = lambda x: np.maximum.reduceat(np.where(~side & fits, x, -(1 << 62)), begins)[of]
-        may = (low <= up(high)) & (high >= down(low)) & (least <= up(width)) & (width >= down(least))
-        fits &= ~side | ends | (may & (2 * size >= down(size)) & (size // 2 <= up(size)))
+        other = np.flatnonzero(~side & fits)
+        down, up = ([np.full(len(cells) + 1, far) for _ in range(3)] for far in (1 << 62, -(1 << 62)))  # the last cell holds nothing
+        for k, (lower, upper) in enumerate(((low, high), (least, width), (node, node))):
+            np.minimum.at(down[k], cell[other], lower[other])
+            np.maximum.at(up[k], cell[other], upper[other])
+        may = ends.copy()
+        for near, known in ((size, True), (2 * size, True), (size // 2, size % 2 == 0)):
+            at = np.minimum(np.searchsorted(sizes, near), len(sizes) - 1)
+            met = of * len(sizes) + at
+            at = np.where(known & (sizes[at] == near), np.minimum(np.searchsorted(cells, met), len(cells) - 1), len(cells))
+            at[cells[np.minimum(at, len(cells) - 1)] != met] = len(cells)
+            apart = (down[2][at] != node) | (up[2][at] != node)
+            may |= apart & (low <= up[0][at]) & (high >= down[0][at]) & (least <= up[1][at]) & (width >= down[1][at])
+        fits &= ~side | may
     wanted = np.logical_or.reduceat(fits & longer, begins) & np.logical_or.reduceat(fits & ~longer, begins)
     wanted &= np.minimum.reduceat(np.where(fits, node, 1 << 62), begins) != np.maximum.reduceat(np.where(fits, node, -(1 << 62)), begins)
     wanted[[0, -1]] = True
@@ -509,10 +521,14 @@ def fuzzy_classes(rows: DataFrame, threshold=V.MIN_FUZZY_SCORE, id_col="id", dig
     parts = stage(parts, "fuzzy-digests")
     texts = parts.where(sound).groupBy("size", "h1", "h2").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least"))
     texts = stage(texts.withColumn("node", F.monotonically_increasing_id()), "fuzzy-texts")  # stored, so numbers stay
+    spark = rows.sparkSession
+    let_go(spark)
     met = stage(_meeting(_keyed(texts, rule, whole=False)), "fuzzy-met")  # without signatures, which would take most of the disk
+    let_go(spark)
     blocks = stage(_packed(met.join(texts.select("node", *_SIGNATURES), "node"), block), "fuzzy-blocks")
     release(met)
-    conf, records = rows.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    let_go(spark)
+    conf, records = spark.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
     kept = conf.get(records)
     conf.set(records, ROWS)  # a row holds two blocks
     try:
@@ -520,6 +536,7 @@ def fuzzy_classes(rows: DataFrame, threshold=V.MIN_FUZZY_SCORE, id_col="id", dig
     finally:
         conf.set(records, kept)
     release(blocks)
+    let_go(spark)
     links = found.groupBy("node").agg(F.sum("n").alias("links"))
     stars = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
     placed = texts.join(links, "node", "left").join(stars, "node", "left").withColumn("component", F.coalesce("component", "node"))

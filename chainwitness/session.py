@@ -2,6 +2,7 @@
 
 import shutil
 import tempfile
+import time
 import uuid
 from pathlib import Path
 
@@ -78,6 +79,19 @@ def stage(df: DataFrame, name="stage"):
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark):
+    """Collect the plans that are no longer in use, and so let Spark remove their shuffle files.
+
+    Spark removes the files of a shuffle once the driver has collected the plan that
+    made it, so collecting keeps the steps of a long query from adding up on disk. Plans
+    have finalizers, hence the second collection.
+    """
+    system = spark.sparkContext._jvm.System
+    system.gc()
+    time.sleep(0.2)
+    system.gc()
+
+
 def release(*frames):
     """Delete the staged tables that these DataFrames read; they and what builds on them end with it."""
     for df in frames:
